@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assay.functions.numeric import rnd
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -28,7 +30,7 @@ def set_f1(a_tokens, b_tokens, digits: int = 4) -> Column:
     r = F.try_divide(inter, nb)
     f1 = F.try_divide(F.lit(2.0) * (p * r), p + r)
     return (F.when((na == 0) | (nb == 0) | (inter == 0), F.lit(0.0))
-            .otherwise(F.round(f1, digits)))
+            .otherwise(rnd(f1, digits)))
 
 
 def token_overlap_f1(response_tokens, reference_tokens) -> Column:
@@ -45,4 +47,4 @@ def response_length_ratio(response_tokens, reference_tokens) -> Column:
     """H4 — token-list length ratio; NULL when the reference has no tokens."""
     ref_n = F.size(_c(reference_tokens))
     return F.when(ref_n == 0, F.lit(None).cast("double")).otherwise(
-        F.round(F.size(_c(response_tokens)) / ref_n, 4))
+        rnd(F.size(_c(response_tokens)) / ref_n, 4))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from assay.plans import qa_plans as qp
+from assay.plans import session_plans as sp
 
 QUERIES = {
     "qa_verdict": qp.qa_verdict_query,
     "qa_scores": qp.qa_scores_query,
     "qa_breakdown": qp.qa_breakdown_query,
     "qa_failure_rates": qp.qa_failure_rates_query,
+    "attempt_scores": sp.attempt_scores_query,
+    "pass_at_k": sp.pass_at_k_query,
+    "self_consistency": sp.self_consistency_query,
+    "chunk_attribution": sp.chunk_attribution_query,
 }
 
 ORACLE_SQL = {
@@ -16,4 +21,8 @@ ORACLE_SQL = {
     "qa_scores": qp.QA_SCORES_SQL,
     "qa_breakdown": qp.QA_BREAKDOWN_SQL,
     "qa_failure_rates": qp.QA_FAILURE_RATES_SQL,
+    "attempt_scores": sp.ATTEMPT_SCORES_SQL,
+    "pass_at_k": sp.PASS_AT_K_SQL,
+    "self_consistency": sp.SELF_CONSISTENCY_SQL,
+    "chunk_attribution": sp.CHUNK_ATTRIBUTION_SQL,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.classify import FAILURE_MODE_SQL
+from assay.functions.numeric import fixed_mean_sql, fixed_var_pop_sql
 from assay.functions.lexicon import DRIVER_SURFACE_ROWS, driver_lexicon
 from assay.operators.aggregate import (aggregate_overall_and_by, aggregate_scores, failure_mode_rates,
                                        unpivot_metrics)
@@ -92,8 +93,8 @@ long AS (
   WHERE value IS NOT NULL
 )"""
 
-_AGG_SQL = """round(avg(value), 4) AS mean,
-       round(CASE WHEN count(value) < 2 THEN 0.0 ELSE stddev_pop(value) END, 4) AS std,
+_AGG_SQL = f"""round({fixed_mean_sql('value')}, 4) AS mean,
+       round(CASE WHEN count(value) < 2 THEN 0.0 ELSE sqrt({fixed_var_pop_sql('value')}) END, 4) AS std,
        count(value) AS count"""
 
 QA_BREAKDOWN_SQL = "WITH " + _LONG_SQL + f"""

@@ -6,7 +6,8 @@ its work grows with them. Next to each builder is the equivalent DuckDB SQL
 
 qa        documents ⋈ labels ⋈ benchmark: one scored response per labelled doc.
 attempts  conversations: assistant turns are attempts of a session, the
-          question is the latest user turn before the attempt.
+          question is the latest user turn before the attempt, the reference
+          the first user turn of the conversation.
 chunks    documents assigned to a conversation as retrieval chunks.
 scores    events averaged per (user, event type): long score table.
 lines     lineitem as a multi-metric score table (model=returnflag).
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assay.functions.numeric import rnd
+
 from assay.sources.tables import read_table
 
 
@@ -80,15 +83,18 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations")
     w_prev = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     w_att = Window.partitionBy("conv_id").orderBy("turn")
-    q = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w_prev)
+    user_text = F.when(F.col("role") == "user", F.col("text"))
+    q = F.last(user_text, ignorenulls=True).over(w_prev)
+    ref = F.first(user_text, ignorenulls=True).over(w_prev)
     return (
-        c.withColumn("question", F.coalesce(q, F.lit("")))
+        c.withColumns({"question": F.coalesce(q, F.lit("")), "reference": F.coalesce(ref, F.lit(""))})
         .filter(F.col("role") == "assistant")
         .select(
             F.col("conv_id").alias("session_id"),
             (F.row_number().over(w_att) - 1).alias("attempt"),
             F.col("turn"),
             F.col("question"),
+            F.col("reference"),
             F.col("text").alias("response"),
         )
     )
@@ -97,13 +103,15 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ATTEMPTS_SQL = """conv_q AS (
   SELECT conv_id, turn, role, text,
          coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (
-             PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS question
+             PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS question,
+         coalesce(first_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (
+             PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS reference
   FROM conversations
 ),
 attempts AS (
   SELECT conv_id AS session_id,
          CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS attempt,
-         turn, question, text AS response
+         turn, question, reference, text AS response
   FROM conv_q WHERE role = 'assistant'
 )"""
 
@@ -121,7 +129,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.col("doc_id"), n_conv).alias("session_id"),
         F.col("doc_id").alias("chunk_id"),
         F.col("text").alias("content"),
-        F.round(F.pmod(F.col("n_chars"), F.lit(97)) / 97.0, 4).alias("chunk_score"),
+        rnd(F.pmod(F.col("n_chars"), F.lit(97)) / 97.0, 4).alias("chunk_score"),
     )
 
 
@@ -137,7 +145,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     return (
         e.groupBy("event_type", "user_id")
-        .agg(F.round(F.avg("value"), 4).alias("value"))
+        .agg(rnd(F.avg("value"), 4).alias("value"))
         .select(
             F.col("event_type").alias("model"),
             F.when(F.pmod(F.col("user_id"), F.lit(2)) == 0, "positivo").otherwise("negativo").alias("category"),
