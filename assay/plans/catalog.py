@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from assay.plans import qa_plans as qp
 from assay.plans import session_plans as sp
+from assay.plans import stats_plans as tp
+from assay.plans import verdict_plans as vp
 
 QUERIES = {
     "qa_verdict": qp.qa_verdict_query,
@@ -14,6 +16,22 @@ QUERIES = {
     "pass_at_k": sp.pass_at_k_query,
     "self_consistency": sp.self_consistency_query,
     "chunk_attribution": sp.chunk_attribution_query,
+    "wilcoxon_stats": tp.wilcoxon_stats_query,
+    "wilcoxon_test": tp.wilcoxon_test_query,
+    "mannwhitney_stats": tp.mannwhitney_stats_query,
+    "mannwhitney_test": tp.mannwhitney_test_query,
+    "mcnemar_stats": tp.mcnemar_query,
+    "mcnemar_test": tp.mcnemar_test_query,
+    "chi2_stats": tp.chi2_query,
+    "chi2_test": tp.chi2_test_query,
+    "pairing": tp.pairing_query,
+    "bh_fdr": tp.bh_query,
+    "welch_stats": tp.welch_query,
+    "welch_test": tp.welch_test_query,
+    "thresholds": vp.thresholds_query,
+    "hypothesis_tests": vp.hypothesis_tests_query,
+    "statistical_verdict": vp.statistical_verdict_query,
+    "verdict_metrics": vp.verdict_metrics_query,
 }
 
 ORACLE_SQL = {
@@ -25,4 +43,11 @@ ORACLE_SQL = {
     "pass_at_k": sp.PASS_AT_K_SQL,
     "self_consistency": sp.SELF_CONSISTENCY_SQL,
     "chunk_attribution": sp.CHUNK_ATTRIBUTION_SQL,
+    "wilcoxon_stats": tp.WILCOXON_STATS_SQL,
+    "mannwhitney_stats": tp.MANNWHITNEY_STATS_SQL,
+    "mcnemar_stats": tp.MCNEMAR_SQL,
+    "chi2_stats": tp.CHI2_SQL,
+    "pairing": tp.PAIRING_SQL,
+    "bh_fdr": tp.BH_SQL,
+    "welch_stats": tp.WELCH_SQL,
 }

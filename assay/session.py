@@ -21,6 +21,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # local mode: the driver JVM is the only JVM (ignored once a JVM is running)
+    "spark.driver.memory": "16g",
 }
 
 
