@@ -67,21 +67,42 @@ def _chi2_p(x: pd.Series) -> pd.Series:
     return x.map(lambda v: float("nan") if pd.isna(v) else special.chi2_1_sf(float(v)))
 
 
+# Pandas UDFs run on every row whatever CASE branch is taken, so each one
+# decides between the exact null and the asymptotic formula itself.
 @F.pandas_udf(DoubleType())
-def _mcnemar_exact_p(b: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series([min(1.0, 2.0 * special.binom_cdf(int(min(x, y)), int(x + y)))
-                      for x, y in zip(b, c)], dtype="float64")
+def _mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(b, c):
+        x, y = int(x), int(y)
+        if x + y < 25:
+            out.append(min(1.0, 2.0 * special.binom_cdf(min(x, y), x + y)))
+        else:
+            out.append(special.chi2_1_sf((abs(x - y) - 1.0) ** 2 / (x + y)))
+    return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
-def _wilcoxon_exact_p(n: pd.Series, t: pd.Series) -> pd.Series:
-    return pd.Series([special.wilcoxon_exact_p(int(a), float(b)) for a, b in zip(n, t)], dtype="float64")
+def _wilcoxon_p(n: pd.Series, t: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    out = []
+    for a, b, tie, zz in zip(n, t, ties, z):
+        if pd.isna(a) or int(a) == 0:
+            out.append(1.0)
+        elif int(a) <= 50 and not bool(tie):
+            out.append(special.wilcoxon_exact_p(int(a), float(b)))
+        else:
+            out.append(1.0 if pd.isna(zz) else special.two_sided_normal_p(float(zz)))
+    return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
-def _mwu_exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
-    return pd.Series([special.mannwhitney_exact_p(int(a), int(b), float(c)) for a, b, c in zip(n1, n2, u)],
-                     dtype="float64")
+def _mwu_p(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    out = []
+    for a, b, uu, tie, zz in zip(n1, n2, u, ties, z):
+        if int(a) <= 8 and int(b) <= 8 and not bool(tie) and int(a) > 0 and int(b) > 0:
+            out.append(special.mannwhitney_exact_p(int(a), int(b), float(uu)))
+        else:
+            out.append(1.0 if pd.isna(zz) else special.two_sided_normal_p(float(zz)))
+    return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
@@ -108,7 +129,7 @@ def mann_whitney_stats(long: DataFrame, group: list[str], side_col="side", value
     g = r.groupBy(*group).agg(
         F.sum("c1").alias("n1"), F.sum("c2").alias("n2"),
         F.sum(F.col("c1") * F.col("midrank")).alias("r1"),
-        F.sum(F.col("t") ** 3 - F.col("t")).alias("tie_term"),
+        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"),
         F.max("t").alias("_maxt"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -125,9 +146,7 @@ def mann_whitney(long: DataFrame, group: list[str], side_col="side", value_col="
     with tie correction and continuity; effect = Cohen's d."""
     s = mann_whitney_stats(long, group, side_col, value_col)
     mo = side_moments(long, group, side_col, value_col)
-    exact = (F.col("n1") <= 8) & (F.col("n2") <= 8) & ~F.col("has_ties")
-    p = F.when(exact, _mwu_exact_p("n1", "n2", "u_statistic")).otherwise(
-        F.coalesce(_normal_p("z"), F.lit(1.0)))
+    p = _mwu_p("n1", "n2", "u_statistic", "has_ties", "z")
     j = s.join(mo.drop("n1", "n2"), group)
     d = cohens_d(F.col("n1"), F.col("m1"), F.col("v1"), F.col("n2"), F.col("m2"), F.col("v2"))
     return j.select(*group, F.lit("mannwhitneyu").alias("test_name"), F.col("u_statistic").alias("statistic"),
@@ -155,7 +174,7 @@ def wilcoxon_stats(pairs: DataFrame, group: list[str]) -> DataFrame:
         F.sum("t").alias("n_nonzero"),
         F.sum(F.col("pos") * F.col("midrank")).alias("w_plus"),
         F.sum(F.col("neg") * F.col("midrank")).alias("w_minus"),
-        F.sum(F.col("t") ** 3 - F.col("t")).alias("tie_term"),
+        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"),
         F.max("t").alias("_maxt"),
     )
     n = F.col("n_nonzero").cast("double")
@@ -175,10 +194,8 @@ def wilcoxon(pairs: DataFrame, group: list[str]) -> DataFrame:
         F.avg("ref").alias("m2"), F.var_samp("ref").alias("v2"))
     s = wilcoxon_stats(pairs, group)
     j = base.join(s, group, "left")
-    exact = (F.col("n_nonzero") <= 50) & ~F.col("has_ties")
-    p = (F.when(F.col("n_nonzero").isNull(), F.lit(1.0))
-         .when(exact, _wilcoxon_exact_p("n_nonzero", "t_statistic"))
-         .otherwise(F.coalesce(_normal_p("z"), F.lit(1.0))))
+    p = _wilcoxon_p(F.coalesce("n_nonzero", F.lit(0)), F.coalesce("t_statistic", F.lit(0.0)),
+                    F.coalesce("has_ties", F.lit(False)), "z")
     d = cohens_d(F.col("n"), F.col("m1"), F.col("v1"), F.col("n"), F.col("m2"), F.col("v2"))
     return j.select(*group, F.lit("wilcoxon").alias("test_name"),
                     F.coalesce("t_statistic", F.lit(0.0)).alias("statistic"), p.alias("p_value"),
@@ -206,7 +223,7 @@ def mcnemar(pairs: DataFrame, group: list[str]) -> DataFrame:
     exact = (b + c) < 25
     chi = F.try_divide((F.abs(b - c) - 1).cast("double") ** 2, (b + c).cast("double"))
     stat = F.when(exact, F.least(b, c).cast("double")).otherwise(chi)
-    p = F.when(exact, _mcnemar_exact_p(b, c)).otherwise(_chi2_p(chi))
+    p = _mcnemar_p(b, c)
     return k.select(*group, F.lit("mcnemar").alias("test_name"), stat.alias("statistic"), p.alias("p_value"),
                     odds_ratio(b, c).alias("effect_size"), "candidate_value", "threshold_value",
                     F.col("n").alias("sample_size_candidate"), F.col("n").alias("sample_size_reference"),

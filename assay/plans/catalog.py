@@ -51,3 +51,41 @@ ORACLE_SQL = {
     "bh_fdr": tp.BH_SQL,
     "welch_stats": tp.WELCH_SQL,
 }
+
+from assay.plans import dashboard_plans as dp  # noqa: E402
+
+QUERIES.update({
+    "silver": dp.silver_query,
+    "weighted_sample": dp.weighted_sample_query,
+    "sample_report": dp.sample_report_query,
+    "descriptive_stats": dp.descriptive_stats_query,
+    "zscores": dp.zscore_query,
+    "kpi_cards": dp.kpi_query,
+    "radar_profile": dp.radar_query,
+    "failure_bars": dp.failure_bars_query,
+    "sankey_edges": dp.sankey_query,
+    "complexity_bins": dp.complexity_query,
+    "filter_summary": dp.filtered_query,
+    "filter_options": dp.filter_options_query,
+    "metric_ranges": dp.metric_ranges_query,
+    "low_sample_groups": dp.low_sample_query,
+    "comparison_table": dp.comparison_query,
+    "scatter_points": dp.scatter_query,
+})
+ORACLE_SQL.update({
+    "silver": dp.SILVER_SQL,
+    "weighted_sample": dp.WEIGHTED_SAMPLE_SQL,
+    "sample_report": dp.SAMPLE_REPORT_SQL,
+    "descriptive_stats": dp.DESCRIPTIVE_STATS_SQL,
+    "zscores": dp.ZSCORE_SQL,
+    "kpi_cards": dp.KPI_SQL,
+    "radar_profile": dp.RADAR_SQL,
+    "failure_bars": dp.FAILURE_BARS_SQL,
+    "sankey_edges": dp.SANKEY_SQL,
+    "complexity_bins": dp.COMPLEXITY_SQL,
+    "filter_summary": dp.FILTERED_SQL,
+    "filter_options": dp.FILTER_OPTIONS_SQL,
+    "metric_ranges": dp.METRIC_RANGES_SQL,
+    "low_sample_groups": dp.LOW_SAMPLE_SQL,
+    "scatter_points": dp.SCATTER_SQL,
+})
