@@ -12,6 +12,7 @@ QUERIES = {
     "qa_scores": qp.qa_scores_query,
     "qa_breakdown": qp.qa_breakdown_query,
     "qa_failure_rates": qp.qa_failure_rates_query,
+    "rouge_l": qp.rouge_l_query,
     "attempt_scores": sp.attempt_scores_query,
     "pass_at_k": sp.pass_at_k_query,
     "self_consistency": sp.self_consistency_query,

@@ -159,3 +159,13 @@ c AS (SELECT model, failure_mode, count(*) AS count FROM scored_fm GROUP BY mode
 SELECT model, failure_mode, count, CAST(sum(count) OVER (PARTITION BY model) AS BIGINT) AS total_scored,
        round(count / sum(count) OVER (PARTITION BY model), 4) AS rate
 FROM c"""
+
+
+def rouge_l_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5 — ROUGE-L of every response against its reference (no SQL oracle: the LCS
+    recurrence is checked against the dynamic program in unit tests)."""
+    from assay.functions.lcs import rouge_l
+    from assay.functions.tokens import tokens
+    q = qa(spark, sf_dir)
+    return q.select("session_id", "model", "category",
+                    rouge_l(tokens("response"), tokens("reference")).alias("rouge_l"))
