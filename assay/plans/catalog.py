@@ -90,3 +90,39 @@ ORACLE_SQL.update({
     "low_sample_groups": dp.LOW_SAMPLE_SQL,
     "scatter_points": dp.SCATTER_SQL,
 })
+
+from assay.plans import records_plans as rp  # noqa: E402
+
+QUERIES.update({
+    "class_match": rp.class_match_query,
+    "prompts": rp.prompts_query,
+    "knowledge": rp.knowledge_query,
+    "tool_args": rp.tool_args_query,
+    "judge_normalisation": rp.judge_norm_query,
+    "provider": rp.provider_query,
+    "cache_counts": rp.cache_counts_query,
+    "sessions": rp.sessions_query,
+    "upsert": rp.upsert_query,
+    "token_usage": rp.token_usage_query,
+    "bookkeeping": rp.bookkeeping_query,
+    "global_delta": rp.global_delta_query,
+    "session_shape": rp.session_shape_query,
+    "predictions_roundtrip": rp.predictions_roundtrip_query,
+    "reference_scores": rp.reference_scores_query,
+})
+ORACLE_SQL.update({
+    "class_match": rp.CLASS_MATCH_SQL,
+    "prompts": rp.PROMPTS_SQL,
+    "knowledge": rp.KNOWLEDGE_SQL,
+    "tool_args": rp.TOOL_ARGS_SQL,
+    "judge_normalisation": rp.JUDGE_NORM_SQL,
+    "provider": rp.PROVIDER_SQL,
+    "cache_counts": rp.CACHE_COUNTS_SQL,
+    "upsert": rp.UPSERT_SQL,
+    "token_usage": rp.TOKEN_USAGE_SQL,
+    "bookkeeping": rp.BOOKKEEPING_SQL,
+    "global_delta": rp.GLOBAL_DELTA_SQL,
+    "session_shape": rp.SESSION_SHAPE_SQL,
+    "predictions_roundtrip": rp.PREDICTIONS_ROUNDTRIP_SQL,
+    "reference_scores": rp.REFERENCE_SCORES_SQL,
+})
