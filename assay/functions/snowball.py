@@ -1,0 +1,417 @@
+"""Snowball stemmers (English "Porter2", Portuguese, Spanish) written from the
+published algorithm descriptions (snowballstem.org).
+
+They run on the *distinct vocabulary* of a corpus inside ``mapInPandas``
+(``stem_frame``), never per token of the corpus: the lexicon scorers join
+the resulting ``(word, language, stem)`` table back to the tokens.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+
+# --------------------------------------------------------------------------- English
+_EN_V = set("aeiouy")
+_EN_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+_EN_LI = set("cdeghkmnrt")
+_EN_EXCEPTIONS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl",
+    "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos",
+    "bias": "bias", "andes": "andes",
+}
+_EN_EXCEPTIONS2 = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
+
+
+def _en_is_v(w: str, i: int) -> bool:
+    return w[i] in _EN_V
+
+
+def _en_regions(w: str) -> tuple[int, int]:
+    def after_vc(start: int) -> int:
+        for i in range(start + 1, len(w)):
+            if not _en_is_v(w, i) and _en_is_v(w, i - 1):
+                return i + 1
+        return len(w)
+    r1 = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None)
+    if r1 is None:
+        r1 = after_vc(0)
+    r2 = after_vc(r1) if r1 < len(w) else len(w)
+    return r1, r2
+
+
+def _en_short_syllable_end(w: str) -> bool:
+    n = len(w)
+    if n >= 3 and not _en_is_v(w, n - 3) and _en_is_v(w, n - 2) and not _en_is_v(w, n - 1) \
+            and w[n - 1] not in "wxY":
+        return True
+    return n == 2 and _en_is_v(w, 0) and not _en_is_v(w, 1)
+
+
+def _en_has_vowel(s: str) -> bool:
+    return any(c in _EN_V for c in s)
+
+
+def stem_english(word: str) -> str:
+    w = word.lower()
+    if len(w) <= 2:
+        return w
+    if w in _EN_EXCEPTIONS:
+        return _EN_EXCEPTIONS[w]
+    if w.startswith("'"):
+        w = w[1:]
+    if w.startswith("y"):
+        w = "Y" + w[1:]
+    w = "".join("Y" if c == "y" and i > 0 and w[i - 1] in _EN_V else c for i, c in enumerate(w))
+    r1, r2 = _en_regions(w)
+    # step 0
+    for suf in ("'s'", "'s", "'"):
+        if w.endswith(suf):
+            w = w[: -len(suf)]
+            break
+    # step 1a
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith("ied") or w.endswith("ies"):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("us") or w.endswith("ss"):
+        pass
+    elif w.endswith("s"):
+        if _en_has_vowel(w[:-2]):
+            w = w[:-1]
+    if w in _EN_EXCEPTIONS2:
+        return w
+    # step 1b
+    for suf in ("eedly", "ingly", "edly", "eed", "ing", "ed"):
+        if w.endswith(suf):
+            if suf in ("eed", "eedly"):
+                if len(w) - len(suf) >= r1:
+                    w = w[: -len(suf)] + "ee"
+            else:
+                stem = w[: -len(suf)]
+                if _en_has_vowel(stem):
+                    w = stem
+                    if w.endswith(("at", "bl", "iz")):
+                        w += "e"
+                    elif w.endswith(_EN_DOUBLES):
+                        w = w[:-1]
+                    elif _en_short_syllable_end(w) and r1 >= len(w):
+                        w += "e"
+            break
+    # step 1c
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _EN_V:
+        w = w[:-1] + "i"
+    # step 2
+    step2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"),
+             ("entli", "ent"), ("ization", "ize"), ("izer", "ize"), ("ation", "ate"), ("ator", "ate"),
+             ("alism", "al"), ("aliti", "al"), ("alli", "al"), ("fulness", "ful"), ("ousli", "ous"),
+             ("ousness", "ous"), ("iveness", "ive"), ("iviti", "ive"), ("biliti", "ble"), ("bli", "ble"),
+             ("ogi", "og"), ("fulli", "ful"), ("lessli", "less"), ("li", ""))
+    for suf, rep in sorted(step2, key=lambda x: -len(x[0])):
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r1:
+                if suf == "ogi":
+                    if w[-4:-3] == "l":
+                        w = w[:-3] + "og"
+                elif suf == "li":
+                    if len(w) >= 3 and w[-3] in _EN_LI:
+                        w = w[:-2]
+                else:
+                    w = w[: -len(suf)] + rep
+            break
+    # step 3
+    step3 = (("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"),
+             ("ical", "ic"), ("ful", ""), ("ness", ""), ("ative", ""))
+    for suf, rep in sorted(step3, key=lambda x: -len(x[0])):
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r1:
+                if suf == "ative":
+                    if len(w) - len(suf) >= r2:
+                        w = w[: -len(suf)]
+                else:
+                    w = w[: -len(suf)] + rep
+            break
+    # step 4
+    step4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous",
+             "ive", "ize", "ion", "al", "er", "ic")
+    for suf in sorted(step4, key=len, reverse=True):
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r2:
+                if suf == "ion":
+                    if len(w) >= 4 and w[-4] in "st":
+                        w = w[:-3]
+                else:
+                    w = w[: -len(suf)]
+            break
+    # step 5
+    if w.endswith("e"):
+        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _en_short_syllable_end(w[:-1])):
+            w = w[:-1]
+    elif w.endswith("l"):
+        if len(w) - 1 >= r2 and w[-2:-1] == "l":
+            w = w[:-1]
+    return w.replace("Y", "y")
+
+
+# --------------------------------------------------------------------- Romance helpers
+def _rv_r1_r2(w: str, vowels: str) -> tuple[int, int, int]:
+    n = len(w)
+
+    def isv(i):
+        return w[i] in vowels
+
+    if n < 2:
+        rv = n
+    elif not isv(1):
+        rv = next((i + 1 for i in range(2, n) if isv(i)), n)
+    elif isv(0) and isv(1):
+        rv = next((i + 1 for i in range(2, n) if not isv(i)), n)
+    else:
+        rv = 3 if n >= 3 else n
+    r1 = next((i + 1 for i in range(1, n) if not isv(i) and isv(i - 1)), n)
+    r2 = next((i + 1 for i in range(r1 + 1, n) if not isv(i) and isv(i - 1)), n)
+    return rv, r1, r2
+
+
+def _longest(w: str, suffixes) -> str | None:
+    best = None
+    for s in suffixes:
+        if w.endswith(s) and (best is None or len(s) > len(best)):
+            best = s
+    return best
+
+
+# ------------------------------------------------------------------------- Portuguese
+_PT_V = "aeiouáéíóúâêô"
+_PT_S1_DEL = ("eza", "ezas", "ico", "ica", "icos", "icas", "ismo", "ismos", "ável", "ível", "ista", "istas",
+              "oso", "osa", "osos", "osas", "amento", "amentos", "imento", "imentos", "adora", "ador",
+              "aça~o", "adoras", "adores", "aço~es", "ante", "antes", "ância")
+_PT_S1_ALL = _PT_S1_DEL + ("logia", "logias", "uça~o", "uço~es", "ência", "ências", "amente", "mente",
+                           "idade", "idades", "iva", "ivo", "ivas", "ivos", "ira", "iras")
+_PT_VERB = ("ada", "ida", "ia", "aria", "eria", "iria", "ará", "ara", "erá", "era", "irá", "ava", "asse",
+            "esse", "isse", "aste", "este", "iste", "ei", "arei", "erei", "irei", "am", "iam", "ariam",
+            "eriam", "iriam", "aram", "eram", "iram", "avam", "em", "arem", "erem", "irem", "assem", "essem",
+            "issem", "ado", "ido", "ando", "endo", "indo", "ara~o", "era~o", "ira~o", "ar", "er", "ir", "as",
+            "adas", "idas", "ias", "arias", "erias", "irias", "arás", "aras", "erás", "eras", "irás", "avas",
+            "es", "ardes", "erdes", "irdes", "ares", "eres", "ires", "asses", "esses", "isses", "astes",
+            "estes", "istes", "is", "ais", "eis", "íeis", "aríeis", "eríeis", "iríeis", "áreis", "areis",
+            "éreis", "ereis", "íreis", "ireis", "ásseis", "ésseis", "ísseis", "áveis", "ados", "idos",
+            "ámos", "amos", "íamos", "aríamos", "eríamos", "iríamos", "áramos", "éramos", "íramos",
+            "ávamos", "emos", "aremos", "eremos", "iremos", "ássemos", "êssemos", "íssemos", "imos",
+            "armos", "ermos", "irmos", "eu", "iu", "ou", "ira", "iras")
+
+
+def stem_portuguese(word: str) -> str:
+    w = word.lower().replace("ã", "a~").replace("õ", "o~")
+    rv, r1, r2 = _rv_r1_r2(w, _PT_V)
+
+    def in_(region, suf):
+        return len(w) - len(suf) >= region
+
+    altered = False
+    s = _longest(w, _PT_S1_ALL)
+    if s is not None:
+        before = w
+        if s in _PT_S1_DEL:
+            if in_(r2, s):
+                w = w[: -len(s)]
+        elif s in ("logia", "logias"):
+            if in_(r2, s):
+                w = w[: -len(s)] + "log"
+        elif s in ("uça~o", "uço~es"):
+            if in_(r2, s):
+                w = w[: -len(s)] + "u"
+        elif s in ("ência", "ências"):
+            if in_(r2, s):
+                w = w[: -len(s)] + "ente"
+        elif s == "amente":
+            if in_(r1, s):
+                w = w[: -len(s)]
+                if w.endswith("iv") and in_(r2, "iv"):
+                    w = w[:-2]
+                    if w.endswith("at") and in_(r2, "at"):
+                        w = w[:-2]
+                else:
+                    for p in ("os", "ic", "ad"):
+                        if w.endswith(p) and in_(r2, p):
+                            w = w[:-2]
+                            break
+        elif s == "mente":
+            if in_(r2, s):
+                w = w[: -len(s)]
+                for p in ("ante", "avel", "ível"):
+                    if w.endswith(p) and in_(r2, p):
+                        w = w[: -len(p)]
+                        break
+        elif s in ("idade", "idades"):
+            if in_(r2, s):
+                w = w[: -len(s)]
+                for p in ("abil", "ic", "iv"):
+                    if w.endswith(p) and in_(r2, p):
+                        w = w[: -len(p)]
+                        break
+        elif s in ("iva", "ivo", "ivas", "ivos"):
+            if in_(r2, s):
+                w = w[: -len(s)]
+                if w.endswith("at") and in_(r2, "at"):
+                    w = w[:-2]
+        elif s in ("ira", "iras"):
+            if in_(rv, s) and w[: -len(s)].endswith("e"):
+                w = w[: -len(s)] + "ir"
+        altered = w != before
+    if not altered:
+        v = _longest(w[rv:], _PT_VERB) if rv < len(w) else None
+        if v is not None:
+            w = w[: -len(v)]
+            altered = True
+    if altered:
+        if w.endswith("i") and in_(rv, "i") and w[:-1].endswith("c"):
+            w = w[:-1]
+    else:
+        r = _longest(w, ("os", "a", "i", "o", "á", "í", "ó"))
+        if r is not None and in_(rv, r):
+            w = w[: -len(r)]
+    r = _longest(w, ("e", "é", "ê"))
+    if r is not None and in_(rv, r):
+        w = w[:-1]
+        if (w.endswith("gu") or w.endswith("ci")) and in_(rv, w[-1]):
+            w = w[:-1]
+    elif w.endswith("ç"):
+        w = w[:-1] + "c"
+    return w.replace("a~", "ã").replace("o~", "õ")
+
+
+# ---------------------------------------------------------------------------- Spanish
+_ES_V = "aeiouáéíóúü"
+_ES_PRONOUNS = ("me", "se", "sela", "selo", "selas", "selos", "la", "le", "lo", "las", "les", "los", "nos")
+_ES_S1_DEL = ("anza", "anzas", "ico", "ica", "icos", "icas", "ismo", "ismos", "able", "ables", "ible", "ibles",
+              "ista", "istas", "oso", "osa", "osos", "osas", "amiento", "amientos", "imiento", "imientos")
+_ES_S1_IC = ("adora", "ador", "ación", "adoras", "adores", "aciones", "ante", "antes", "ancia", "ancias")
+_ES_S1_ALL = _ES_S1_DEL + _ES_S1_IC + ("logía", "logías", "ución", "uciones", "encia", "encias", "amente",
+                                       "mente", "idad", "idades", "iva", "ivo", "ivas", "ivos")
+_ES_Y = ("ya", "ye", "yan", "yen", "yeron", "yendo", "yo", "yó", "yas", "yes", "yais", "yamos")
+_ES_VERB_GU = ("en", "es", "éis", "emos")
+_ES_VERB = ("arían", "arías", "arán", "arás", "aríais", "aría", "aréis", "aríamos", "aremos", "ará", "aré",
+            "erían", "erías", "erán", "erás", "eríais", "ería", "eréis", "eríamos", "eremos", "erá", "eré",
+            "irían", "irías", "irán", "irás", "iríais", "iría", "iréis", "iríamos", "iremos", "irá", "iré",
+            "aba", "ada", "ida", "ía", "ara", "iera", "ad", "ed", "id", "ase", "iese", "aste", "iste", "an",
+            "aban", "ían", "aran", "ieran", "asen", "iesen", "aron", "ieron", "ado", "ido", "ando", "iendo",
+            "ió", "ar", "er", "ir", "as", "abas", "adas", "idas", "ías", "aras", "ieras", "ases", "ieses",
+            "ís", "áis", "abais", "íais", "arais", "ierais", "aseis", "ieseis", "asteis", "isteis", "ados",
+            "idos", "amos", "ábamos", "íamos", "imos", "áramos", "iéramos", "iésemos", "ásemos")
+_ACUTE = str.maketrans("áéíóú", "aeiou")
+
+
+def stem_spanish(word: str) -> str:
+    w = word.lower()
+    rv, r1, r2 = _rv_r1_r2(w, _ES_V)
+
+    def in_(region, suf):
+        return len(w) - len(suf) >= region
+
+    # step 0: attached pronoun
+    p = _longest(w, _ES_PRONOUNS)
+    if p is not None and in_(rv, p):
+        base = w[: -len(p)]
+        for pre in ("iéndo", "ándo", "ár", "ér", "ír"):
+            if base.endswith(pre) and len(base) - len(pre) >= rv:
+                # the pronoun goes and the accent of the verb ending is removed
+                w = base[: -len(pre)] + pre.translate(_ACUTE)
+                break
+        else:
+            for pre in ("ando", "iendo", "ar", "er", "ir"):
+                if base.endswith(pre) and len(base) - len(pre) >= rv:
+                    w = base
+                    break
+            else:
+                if base.endswith("uyendo") and len(base) - len("yendo") >= rv:
+                    w = base
+    # step 1
+    altered = False
+    s = _longest(w, _ES_S1_ALL)
+    if s is not None:
+        before = w
+        if s in _ES_S1_DEL:
+            if in_(r2, s):
+                w = w[: -len(s)]
+        elif s in _ES_S1_IC:
+            if in_(r2, s):
+                w = w[: -len(s)]
+                if w.endswith("ic") and in_(r2, "ic"):
+                    w = w[:-2]
+        elif s in ("logía", "logías"):
+            if in_(r2, s):
+                w = w[: -len(s)] + "log"
+        elif s in ("ución", "uciones"):
+            if in_(r2, s):
+                w = w[: -len(s)] + "u"
+        elif s in ("encia", "encias"):
+            if in_(r2, s):
+                w = w[: -len(s)] + "ente"
+        elif s == "amente":
+            if in_(r1, s):
+                w = w[: -len(s)]
+                if w.endswith("iv") and in_(r2, "iv"):
+                    w = w[:-2]
+                    if w.endswith("at") and in_(r2, "at"):
+                        w = w[:-2]
+                else:
+                    for q in ("os", "ic", "ad"):
+                        if w.endswith(q) and in_(r2, q):
+                            w = w[:-2]
+                            break
+        elif s == "mente":
+            if in_(r2, s):
+                w = w[: -len(s)]
+                for q in ("ante", "able", "ible"):
+                    if w.endswith(q) and in_(r2, q):
+                        w = w[: -len(q)]
+                        break
+        elif s in ("idad", "idades"):
+            if in_(r2, s):
+                w = w[: -len(s)]
+                for q in ("abil", "ic", "iv"):
+                    if w.endswith(q) and in_(r2, q):
+                        w = w[: -len(q)]
+                        break
+        elif s in ("iva", "ivo", "ivas", "ivos"):
+            if in_(r2, s):
+                w = w[: -len(s)]
+                if w.endswith("at") and in_(r2, "at"):
+                    w = w[:-2]
+        altered = w != before
+    if not altered:
+        # step 2a: verb suffixes beginning with y, preceded by u
+        y = _longest(w[rv:], _ES_Y) if rv < len(w) else None
+        if y is not None and w[: -len(y)].endswith("u"):
+            w = w[: -len(y)]
+        else:
+            # step 2b: other verb suffixes in RV
+            v = _longest(w[rv:], _ES_VERB + _ES_VERB_GU) if rv < len(w) else None
+            if v is not None:
+                w = w[: -len(v)]
+                if v in _ES_VERB_GU and w.endswith("gu"):
+                    w = w[:-1]
+    # step 3: residual suffix
+    r = _longest(w, ("os", "a", "o", "á", "í", "ó"))
+    if r is not None and in_(rv, r):
+        w = w[: -len(r)]
+    else:
+        r = _longest(w, ("e", "é"))
+        if r is not None and in_(rv, r):
+            w = w[:-1]
+            if w.endswith("gu") and in_(rv, "u"):
+                w = w[:-1]
+    return w.translate(_ACUTE)
+
+
+STEMMERS = {"english": stem_english, "portuguese": stem_portuguese, "spanish": stem_spanish}
+
+
+def stem_frame(batches):
+    """mapInPandas body: ``word`` -> rows ``(word, language, stem)`` for every language."""
+    for pdf in batches:
+        words = pdf["word"].tolist()
+        frames = [pd.DataFrame({"word": words, "language": lang, "stem": [fn(x) for x in words]})
+                  for lang, fn in STEMMERS.items()]
+        yield pd.concat(frames, ignore_index=True)

@@ -29,11 +29,13 @@ BLOCK = 500  # replicates drawn per task row
 def histogram(long: DataFrame, group: list[str], value_col: str = "value") -> DataFrame:
     """Packed value histogram per group: ``n``, ``mean``, ``std_samp``, ``hist`` (array<struct<v,c>>)."""
     h = long.filter(F.col(value_col).isNotNull()).groupBy(*group, value_col).agg(F.count(F.lit(1)).alias("c"))
-    return h.groupBy(*group).agg(
+    g = h.groupBy(*group).agg(
         F.sum("c").alias("n"),
-        (F.sum(F.col(value_col) * F.col("c")) / F.sum("c")).alias("mean"),
         F.array_sort(F.collect_list(F.struct(F.col(value_col).cast("double").alias("v"), F.col("c")))).alias("hist"),
     )
+    # the mean is summed over the sorted histogram, so it does not depend on partitioning
+    total = F.aggregate("hist", F.lit(0.0), lambda acc, x: acc + x["v"] * x["c"])
+    return g.withColumn("mean", total / F.col("n"))
 
 
 def _draw_fn(group: list[str], seed: int):
