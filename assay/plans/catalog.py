@@ -126,3 +126,17 @@ ORACLE_SQL.update({
     "predictions_roundtrip": rp.PREDICTIONS_ROUNDTRIP_SQL,
     "reference_scores": rp.REFERENCE_SCORES_SQL,
 })
+
+from assay.plans import pipeline_plans as pp  # noqa: E402
+
+QUERIES.update({
+    "incremental_gold": pp.incremental_gold_query,
+    "profile_roundtrip": pp.profile_roundtrip_query,
+    "trace_lookup": pp.trace_lookup_query,
+    "lexicon_snowball": pp.lexicon_snowball_query,
+    "pipeline": pp.pipeline_query,
+})
+ORACLE_SQL.update({
+    "incremental_gold": pp.INCREMENTAL_GOLD_SQL,
+    "trace_lookup": pp.TRACE_LOOKUP_SQL,
+})
