@@ -16,14 +16,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def set_f1(a_tokens, b_tokens, digits: int = 4) -> Column:
+def set_f1(a_tokens, b_tokens, digits: int = 4, distinct_inputs: bool = False) -> Column:
     """Set precision/recall F1 of two token arrays.
 
     0.0 when either side is empty or nothing overlaps; else rounded F1.
-    Arithmetic order is 2*(p*r)/(p+r).
+    Arithmetic order is 2*(p*r)/(p+r). With ``distinct_inputs=True`` the arrays
+    are already de-duplicated (done once per side before a pairwise join).
     """
-    da = F.array_distinct(_c(a_tokens))
-    db = F.array_distinct(_c(b_tokens))
+    da = _c(a_tokens) if distinct_inputs else F.array_distinct(_c(a_tokens))
+    db = _c(b_tokens) if distinct_inputs else F.array_distinct(_c(b_tokens))
     na, nb = F.size(da), F.size(db)
     inter = F.size(F.array_intersect(da, db))
     p = F.try_divide(inter, na)

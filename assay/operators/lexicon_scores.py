@@ -58,43 +58,29 @@ def _lang_order():
     return F.coalesce(F.try_element_at(m, F.col("language")), F.lit(len(LANGUAGES)))
 
 
-def refusal_from_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Per response: refusal flag and the first language (in LANGUAGES order) that fires."""
-    h = hits.filter(F.col("role").isin("negation", "capability", "self_negating"))
-    w = (Window.partitionBy(*keys, "language").orderBy("pos")
-         .rangeBetween(-REFUSAL_WINDOW, REFUSAL_WINDOW))
-    near_cap = F.max((F.col("role") == "capability").cast("int")).over(w)
-    flagged = h.withColumn(
-        "fires",
-        (F.col("role") == "self_negating") | ((F.col("role") == "negation") & (near_cap == 1)),
-    )
-    per_lang = flagged.groupBy(*keys, "language").agg(F.bool_or("fires").alias("fires"))
-    return (per_lang.filter("fires")
-            .groupBy(*keys)
-            .agg(F.min(F.struct(_lang_order().alias("o"), F.col("language").alias("l"))).alias("first"))
-            .select(*keys, F.lit(True).alias("refusal_detection"),
-                    F.col("first.l").alias("refusal_language")))
-
-
-def hedging_from_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Per response: distinct solo stems, plus verb stems with a subject within ±3."""
-    h = hits.filter(F.col("role").isin("solo", "verb", "subject"))
-    w = (Window.partitionBy(*keys, "language").orderBy("pos")
-         .rangeBetween(-HEDGING_WINDOW, HEDGING_WINDOW))
-    near_subj = F.max((F.col("role") == "subject").cast("int")).over(w)
-    m = (h.withColumn("near_subject", near_subj)
-         .filter((F.col("role") == "solo") | ((F.col("role") == "verb") & (F.col("near_subject") == 1)))
-         .select(*keys, "language", "stem",
-                 F.when(F.col("role") == "solo", "solo").otherwise("verb+subject").alias("type"))
-         .distinct())
+def _per_language(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (response, language) with the refusal flag and the hedging stems.
+
+    Both proximity rules (E4) run in one window pass: the two frames share the
+    partitioning (response, language) and the order (position), so the hits
+    are shuffled and sorted once. The aggregate that follows reuses that
+    partitioning; its sets are bounded by the lexicon size.
+    """
+    w = Window.partitionBy(*keys, "language").orderBy("pos")
+    near_cap = F.max((F.col("role") == "capability").cast("int")).over(
+        w.rangeBetween(-REFUSAL_WINDOW, REFUSAL_WINDOW))
+    near_subj = F.max((F.col("role") == "subject").cast("int")).over(
+        w.rangeBetween(-HEDGING_WINDOW, HEDGING_WINDOW))
+    h = hits.withColumns({"near_cap": near_cap, "near_subj": near_subj})
+    fires = (F.col("role") == "self_negating") | ((F.col("role") == "negation") & (F.col("near_cap") == 1))
+    solo = F.when(F.col("role") == "solo", F.col("stem"))
+    verb = F.when((F.col("role") == "verb") & (F.col("near_subj") == 1), F.col("stem"))
+    g = h.groupBy(*keys, "language").agg(
+        F.bool_or(fires).alias("fires"),
+        F.array_sort(F.collect_set(solo)).alias("solo"),
+        F.array_sort(F.collect_set(verb)).alias("verb"))
     # a stem already matched as solo in a language is not matched again as a verb
-    solo = m.filter(F.col("type") == "solo").select(*keys, "language", "stem")
-    m = m.join(solo.withColumn("is_solo", F.lit(True)), [*keys, "language", "stem"], "left") \
-        .filter((F.col("type") == "solo") | F.col("is_solo").isNull())
-    return m.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("hedging_count"),
-        F.array_sort(F.collect_list(F.struct("language", "stem", "type"))).alias("hedging_matches"),
-    ).withColumn("hedging_detection", F.lit(True))
+    return g.withColumn("verb", F.array_except("verb", "solo"))
 
 
 def lexicon_flags(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame,
@@ -104,8 +90,24 @@ def lexicon_flags(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFr
     Callers left-join this to their response table and fill the defaults with
     ``fill_lexicon_defaults`` — responses without hits never leave the map side.
     """
-    hits = lexicon_hits(df, keys, text_col, lexicon, stemmer)
-    return refusal_from_hits(hits, keys).join(hedging_from_hits(hits, keys), keys, "full")
+    per = _per_language(lexicon_hits(df, keys, text_col, lexicon, stemmer), keys)
+    order = _lang_order()
+
+    def matches(col, kind):
+        return F.transform(col, lambda st: F.struct(F.col("language").alias("language"), st.alias("stem"),
+                                                   F.lit(kind).alias("type")))
+    g = per.groupBy(*keys).agg(
+        F.min(F.when(F.col("fires"), F.struct(order.alias("o"), F.col("language").alias("l")))).alias("_first"),
+        F.sum(F.size("solo") + F.size("verb")).alias("hedging_count"),
+        F.flatten(F.collect_list(F.concat(matches(F.col("solo"), "solo"), matches(F.col("verb"), "verb+subject"))))
+        .alias("_m"),
+    )
+    return g.select(*keys,
+                    F.col("_first").isNotNull().alias("refusal_detection"),
+                    F.col("_first.l").alias("refusal_language"),
+                    (F.col("hedging_count") > 0).alias("hedging_detection"),
+                    F.col("hedging_count").cast("long").alias("hedging_count"),
+                    F.when(F.size("_m") > 0, F.array_sort("_m")).alias("hedging_matches"))
 
 
 def fill_lexicon_defaults(df: DataFrame) -> DataFrame:

@@ -63,9 +63,9 @@ def self_consistency(attempts: DataFrame, keys: list[str], response_col: str = "
                      attempt_col: str = "attempt") -> DataFrame:
     """H10 — mean and population variance of pairwise set-F1 (pairs use the
     already rounded F1); NULL for sessions with fewer than 2 attempts."""
-    t = attempts.select(*keys, attempt_col, tokens(response_col).alias("tok"))
+    t = attempts.select(*keys, attempt_col, F.array_distinct(tokens(response_col)).alias("tok"))
     pairs = attempt_pairs(t, keys, attempt_col, ["tok"]).select(
-        *keys, set_f1("tok_i", "tok_j").alias("f1"))
+        *keys, set_f1("tok_i", "tok_j", distinct_inputs=True).alias("f1"))
     agg = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         rnd(fixed_mean("f1"), 4).alias("self_consistency"),
@@ -88,18 +88,22 @@ def chunk_attribution(attempts: DataFrame, chunks: DataFrame, keys: list[str],
     from sums with ``try_divide`` (a constant side gives correlation 0).
     Responses without chunks get no row (N/A).
     """
-    a = attempts.select(*keys, attempt_col, tokens(response_col).alias("r_tok"))
+    # token sets are built once per response and once per chunk, before the join
+    a = attempts.select(*keys, attempt_col, F.array_distinct(tokens(response_col)).alias("r_tok"))
     c = chunks.select(*keys, chunk_id, F.col(score_col).cast("double").alias("x"),
-                      tokens(content_col).alias("c_tok"))
+                      F.array_distinct(tokens(content_col)).alias("c_tok"))
     rk = [*keys, attempt_col]
-    pc = a.join(c, keys).select(*rk, chunk_id, "x", set_f1("r_tok", "c_tok").alias("y"))
+    pc = a.join(c, keys).select(*rk, chunk_id, "x", set_f1("r_tok", "c_tok", distinct_inputs=True).alias("y"))
+    # mid-rank = (first rank + last rank of the tie group) / 2: rank() gives the first,
+    # a running count over the default RANGE frame (peers included) gives the last.
+    # All windows share the partitioning by response, so the pairs are shuffled once.
     w = Window.partitionBy(*rk)
     wx = Window.partitionBy(*rk).orderBy("x")
     wy = Window.partitionBy(*rk).orderBy("y")
     ranked = pc.select(
         *rk, chunk_id, "x", "y",
-        (F.rank().over(wx) + (F.count(F.lit(1)).over(Window.partitionBy(*rk, "x")) - 1) / 2.0).alias("rx"),
-        (F.rank().over(wy) + (F.count(F.lit(1)).over(Window.partitionBy(*rk, "y")) - 1) / 2.0).alias("ry"),
+        ((F.rank().over(wx) + F.count(F.lit(1)).over(wx)) / 2.0).alias("rx"),
+        ((F.rank().over(wy) + F.count(F.lit(1)).over(wy)) / 2.0).alias("ry"),
         F.sum("y").over(w).alias("total"),
     )
     p = F.col("y") / F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("total"))
