@@ -74,8 +74,10 @@ def bootstrap_means(hist: DataFrame, group: list[str], bootstrap_b: int, seed: i
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"))
     blocks = blocks.withColumn(
         "_size", F.least(F.lit(BLOCK), F.lit(bootstrap_b) - F.col("_block") * BLOCK))
-    # spread blocks over the cluster: (group, block) is a unique, balanced key
-    spread = blocks.repartition(max(1, min(n_blocks * 8, 200)), *group, "_block")
+    # spread blocks over the cluster: (group, block) is a unique, balanced key; one
+    # to two waves of tasks (the cluster's default parallelism) is enough work per task
+    parts = max(1, min(n_blocks * 8, 2 * hist.sparkSession.sparkContext.defaultParallelism))
+    spread = blocks.repartition(parts, *group, "_block")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in hist.select(*group).schema.fields]
                        + ["replicate bigint", "boot_mean double"])
     return spread.mapInPandas(_draw_fn(group, seed), schema)
