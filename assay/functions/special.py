@@ -58,23 +58,23 @@ def wilcoxon_exact_p(n: int, t: float) -> float:
 
 @lru_cache(maxsize=256)
 def _rank_sum_counts(n1: int, n2: int) -> tuple[int, ...]:
-    """Number of arrangements with each value of U (exact null of Mann-Whitney U)."""
-    # f[i][j][u]: count for i of sample 1 and j of sample 2; build iteratively
-    prev = {(0, j): [1] for j in range(n2 + 1)}
-    for i in range(1, n1 + 1):
-        cur = {(i, 0): [1]}
-        for j in range(1, n2 + 1):
-            a = cur[(i, j - 1)]          # last element from sample 2: U unchanged
-            b = prev[(i - 1, j)]         # last element from sample 1: U grows by j
-            size = i * j + 1
-            out = [0] * size
-            for u, v in enumerate(a):
-                out[u] += v
-            for u, v in enumerate(b):
-                out[u + j] += v
-            cur[(i, j)] = out
-        prev = {(i, j): cur[(i, j)] for j in range(n2 + 1)}
-    return tuple(prev[(n1, n2)])
+    """Number of arrangements with each value of U (exact null of Mann-Whitney U).
+
+    The counts are the coefficients of the Gaussian binomial [n1+n2 choose m]_q with
+    m = min(n1, n2): multiply by (1 - q^(M+i)) and divide by (1 - q^i) for i = 1..m,
+    O(m^2 * M) integer operations (m is small whenever the exact null is used).
+    """
+    m, big = min(n1, n2), max(n1, n2)
+    size = m * big + 1
+    c = [0] * size
+    c[0] = 1
+    for i in range(1, m + 1):
+        step = big + i
+        for k in range(size - 1, step - 1, -1):   # times (1 - q^(big+i))
+            c[k] -= c[k - step]
+        for k in range(i, size):                  # divided by (1 - q^i)
+            c[k] += c[k - i]
+    return tuple(c)
 
 
 def mannwhitney_exact_p(n1: int, n2: int, u1: float) -> float:

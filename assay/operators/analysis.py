@@ -12,7 +12,7 @@ its rows).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.numeric import fixed_mean
@@ -196,6 +196,12 @@ def comparison_table(df: DataFrame, metrics: list[str], model_a: str, model_b: s
 
 
 def first_of_session(df: DataFrame, session_col: str = "session_id", order_col: str = "attempt") -> DataFrame:
-    """B14 — the first row (lowest attempt) of every session."""
-    w = Window.partitionBy(session_col).orderBy(order_col)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    """B14 — the first row (lowest ``order_col``) of every session.
+
+    A ``min_by`` aggregate (partial aggregation before the shuffle), so a
+    session with very many rows is reduced map-side instead of being sorted
+    in one task as a window would.
+    """
+    others = [c for c in df.columns if c != session_col]
+    row = F.min_by(F.struct(*others), F.struct(order_col, *[c for c in others if c != order_col]))
+    return df.groupBy(session_col).agg(row.alias("_r")).select(session_col, "_r.*")

@@ -98,7 +98,8 @@ def _wilcoxon_p(n: pd.Series, t: pd.Series, ties: pd.Series, z: pd.Series) -> pd
 def _mwu_p(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
     out = []
     for a, b, uu, tie, zz in zip(n1, n2, u, ties, z):
-        if int(a) <= 8 and int(b) <= 8 and not bool(tie) and int(a) > 0 and int(b) > 0:
+        # exact null when either sample is small and there are no ties
+        if (int(a) <= 8 or int(b) <= 8) and not bool(tie) and int(a) > 0 and int(b) > 0:
             out.append(special.mannwhitney_exact_p(int(a), int(b), float(uu)))
         else:
             out.append(1.0 if pd.isna(zz) else special.two_sided_normal_p(float(zz)))
@@ -142,8 +143,8 @@ def mann_whitney_stats(long: DataFrame, group: list[str], side_col="side", value
 
 
 def mann_whitney(long: DataFrame, group: list[str], side_col="side", value_col="value") -> DataFrame:
-    """I6 — two-sided Mann-Whitney U; exact when both n <= 8 and no ties, else normal
-    with tie correction and continuity; effect = Cohen's d."""
+    """I6 — two-sided Mann-Whitney U; exact when either sample has n <= 8 and there are
+    no ties, else normal with tie correction and continuity; effect = Cohen's d."""
     s = mann_whitney_stats(long, group, side_col, value_col)
     mo = side_moments(long, group, side_col, value_col)
     p = _mwu_p("n1", "n2", "u_statistic", "has_ties", "z")
