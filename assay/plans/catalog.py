@@ -109,6 +109,8 @@ QUERIES.update({
     "session_shape": rp.session_shape_query,
     "predictions_roundtrip": rp.predictions_roundtrip_query,
     "reference_scores": rp.reference_scores_query,
+    "registry_scores": rp.registry_scores_query,
+    "run_metrics": rp.run_metrics_query,
 })
 ORACLE_SQL.update({
     "class_match": rp.CLASS_MATCH_SQL,
@@ -125,6 +127,8 @@ ORACLE_SQL.update({
     "session_shape": rp.SESSION_SHAPE_SQL,
     "predictions_roundtrip": rp.PREDICTIONS_ROUNDTRIP_SQL,
     "reference_scores": rp.REFERENCE_SCORES_SQL,
+    "registry_scores": rp.REGISTRY_SCORES_SQL,
+    "run_metrics": rp.RUN_METRICS_SQL,
 })
 
 from assay.plans import pipeline_plans as pp  # noqa: E402

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from assay.functions import text as tx
 from assay.functions.numeric import fixed_mean, fixed_mean_sql
+from assay.functions.numeric import fixed_var_pop_sql as _var_sql
+from assay.plans.sqlkit import length_ratio_sql as _ratio_sql
+from assay.plans.sqlkit import set_f1_sql as _f1_sql
+from assay.plans.sqlkit import tokens_sql as _tok_sql
 from assay.operators import requests as rq
 from assay.operators.aggregate import completeness_gate, unpivot_metrics
 from assay.operators.analysis import first_of_session
@@ -354,3 +358,53 @@ long AS (
 ok AS (SELECT data_category_QA, metric FROM long GROUP BY 1, 2 HAVING count(value) = count(*))
 SELECT l.data_category_QA, l.metric, count(*) AS n_values
 FROM long l JOIN ok USING (data_category_QA, metric) WHERE l.value IS NOT NULL GROUP BY 1, 2"""
+
+
+def registry_scores_query(spark, sf_dir):
+    """M1-M4: the default deterministic scorer set applied to the dataset records."""
+    from assay.functions.registry import DEFAULT_SCORERS, apply_scorers, select_scorers
+    r = records(spark, sf_dir)
+    s = apply_scorers(r, select_scorers(DEFAULT_SCORERS, deterministic_only=True))
+    return s.select("session_id", "token_overlap_f1", "question_response_overlap", "response_length_ratio",
+                    "class_exact_match")
+
+
+def run_metrics_query(spark, sf_dir):
+    """D3: flat run metrics ``{scorer}_mean`` / ``{scorer}_std`` per model."""
+    from assay.operators.aggregate import aggregate_scores, flat_run_metrics
+    long = unpivot_metrics(scored_qa(spark, sf_dir), ["model", "session_id"], QA_METRICS)
+    return flat_run_metrics(aggregate_scores(long, ["model"]), ["model"])
+
+
+REGISTRY_SCORES_SQL = "WITH " + RECORDS_SQL + """,
+t AS (SELECT *, """ + _tok_sql("response") + """ AS r_tok, """ + _tok_sql("reference") + """ AS f_tok,
+             """ + _tok_sql("question") + """ AS q_tok,
+             list_filter(classes, lambda x: x.id = chosen_class_id)[1].class AS class_name FROM records)
+SELECT session_id, """ + _f1_sql("r_tok", "f_tok") + """ AS token_overlap_f1,
+       """ + _f1_sql("r_tok", "q_tok") + """ AS question_response_overlap,
+       """ + _ratio_sql("r_tok", "f_tok") + """ AS response_length_ratio,
+       CASE WHEN chosen_class_id IS NULL OR chosen_class_id = '' OR class_name IS NULL THEN NULL
+            ELSE contains(lower(response), lower(chosen_class_id))
+                 OR (coalesce(class_name, '') <> '' AND contains(lower(response), lower(replace(class_name, '_', ' '))))
+       END AS class_exact_match
+FROM t"""
+
+RUN_METRICS_SQL = "WITH " + SCORED_QA_SQL + """,
+long AS (
+  SELECT model, scorer_name, value FROM (
+    UNPIVOT (SELECT model, CAST(token_overlap_f1 AS DOUBLE) AS token_overlap_f1,
+                    CAST(question_response_overlap AS DOUBLE) AS question_response_overlap,
+                    CAST(response_length_ratio AS DOUBLE) AS response_length_ratio,
+                    CAST(refusal_detection AS DOUBLE) AS refusal_detection,
+                    CAST(hedging_detection AS DOUBLE) AS hedging_detection FROM scored)
+    ON token_overlap_f1, question_response_overlap, response_length_ratio, refusal_detection, hedging_detection
+    INTO NAME scorer_name VALUE value)
+),
+agg AS (
+  SELECT model, scorer_name, round(""" + fixed_mean_sql("value") + """, 4) AS mean,
+         round(CASE WHEN count(value) < 2 THEN 0.0 ELSE sqrt(""" + _var_sql("value") + """) END, 4) AS std
+  FROM long GROUP BY model, scorer_name
+)
+SELECT model, scorer_name || '_mean' AS metric_key, mean AS metric_value FROM agg
+UNION ALL
+SELECT model, scorer_name || '_std', std FROM agg"""
