@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from assay.functions.lexicon import HEDGING_WINDOW, LANGUAGES, REFUSAL_WINDOW
 from assay.functions.tokens import words
 from assay.operators.joins import broadcast_if_small, fixed_broadcast
+from assay.session import ensure_checkpoint_dir
 
 
 def explode_words(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -45,7 +46,10 @@ def lexicon_hits(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFra
                  stemmer: str = "snowball") -> DataFrame:
     exploded = explode_words(df, keys, text_col)
     if stemmer == "snowball":
-        vocab = broadcast_if_small(stemmed_vocabulary(exploded, lexicon))
+        # the stemmed lexicon vocabulary is small; it is written once to the checkpoint
+        # folder so the size check and the join read it instead of re-stemming
+        ensure_checkpoint_dir(df.sparkSession)
+        vocab = broadcast_if_small(stemmed_vocabulary(exploded, lexicon).checkpoint())
     elif stemmer == "none":
         vocab = fixed_broadcast(surface_vocabulary(lexicon))
     else:
