@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.text import cache_key, knowledge_content, prompt_hash, render_prompt
@@ -31,10 +31,13 @@ def build_requests(records: DataFrame, model: str, k: int) -> DataFrame:
     return fan_out(r, k)
 
 
-def number_attempts(cache: DataFrame, key_col: str = "cache_key", order_cols=("created_at", "trace_id")) -> DataFrame:
-    """E3 — attempt = row_number per key in arrival order - 1."""
-    w = Window.partitionBy(key_col).orderBy(*order_cols)
-    return cache.withColumn("attempt", F.row_number().over(w) - 1)
+def number_attempts(cache: DataFrame, key_col: str = "cache_key", order_cols=("created_at", "trace_id"),
+                    hot_rows: int | None = None) -> DataFrame:
+    """E3 — attempt = row_number per key in arrival order - 1 (hot keys are split, see
+    ``skew.number_within``)."""
+    from assay.operators.skew import DEFAULT_HOT_ROWS, number_within
+    out = number_within(cache, [key_col], list(order_cols), rn_col="_rn", hot_rows=hot_rows or DEFAULT_HOT_ROWS)
+    return out.withColumn("attempt", F.col("_rn") - 1).drop("_rn")
 
 
 def resolve_cache(requests: DataFrame, cache: DataFrame, key_col: str = "cache_key") -> tuple[DataFrame, DataFrame]:
@@ -77,8 +80,10 @@ def assemble_sessions(responses: DataFrame, keys: list[str]) -> DataFrame:
 def upsert_latest(current: DataFrame, updates: DataFrame, id_col: str = "id", version_col: str = "version") -> DataFrame:
     """K5 — dataset registration as upsert by identity: keep the latest version per id."""
     u = current.unionByName(updates, allowMissingColumns=True)
-    w = Window.partitionBy(id_col).orderBy(F.col(version_col).desc())
-    return u.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    others = [c for c in u.columns if c != id_col]
+    # max_by is partial-aggregated: an id with very many versions is reduced map-side
+    return u.groupBy(id_col).agg(F.max_by(F.struct(*others), F.col(version_col)).alias("_r")) \
+        .select(id_col, "_r.*")
 
 
 def token_usage(calls: DataFrame, trace_col: str = "trace_id") -> DataFrame:

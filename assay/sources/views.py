@@ -7,7 +7,7 @@ its work grows with them. Next to each builder is the equivalent DuckDB SQL
 qa        documents ⋈ labels ⋈ benchmark: one scored response per labelled doc.
 attempts  conversations: assistant turns are attempts of a session, the
           question is the latest user turn before the attempt, the reference
-          the first user turn of the conversation.
+          the first user turn of the conversation (when it precedes the attempt).
 chunks    documents assigned to a conversation as retrieval chunks.
 scores    events averaged per (user, event type): long score table.
 lines     lineitem as a multi-metric score table (model=returnflag).
@@ -74,29 +74,32 @@ QA_SQL = """qa AS (
 )"""
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as attempts; question = latest user turn before it.
+def attempts(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
+    """Assistant turns as attempts; question = latest user turn before it; reference =
+    the conversation's first user turn when it comes before the attempt.
 
-    The window is partitioned by conversation and ordered by turn; the frame
-    is a running one (unbounded preceding), evaluated incrementally.
+    Running values per conversation use ``number_within``: a plain window for
+    normal conversations, a range-partitioned scan for hot ones. The first user
+    turn is a ``min_by`` aggregate joined back on the conversation id.
     """
-    c = read_table(spark, sf_dir, "conversations")
-    w_prev = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    w_att = Window.partitionBy("conv_id").orderBy("turn")
+    from assay.operators.skew import DEFAULT_HOT_ROWS, number_within
+    hot = hot_rows or DEFAULT_HOT_ROWS
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     user_text = F.when(F.col("role") == "user", F.col("text"))
-    q = F.last(user_text, ignorenulls=True).over(w_prev)
-    ref = F.first(user_text, ignorenulls=True).over(w_prev)
-    return (
-        c.withColumns({"question": F.coalesce(q, F.lit("")), "reference": F.coalesce(ref, F.lit(""))})
-        .filter(F.col("role") == "assistant")
-        .select(
-            F.col("conv_id").alias("session_id"),
-            (F.row_number().over(w_att) - 1).alias("attempt"),
-            F.col("turn"),
-            F.col("question"),
-            F.col("reference"),
-            F.col("text").alias("response"),
-        )
+    q = number_within(c.withColumn("_user_text", user_text), ["conv_id"], ["turn"], value_col="_user_text",
+                      rn_col="_rn_all", prev_col="_question", hot_rows=hot)
+    first = (c.filter(F.col("role") == "user").groupBy("conv_id")
+             .agg(F.min_by(F.struct("turn", "text"), "turn").alias("_first")))
+    a = number_within(q.filter(F.col("role") == "assistant"), ["conv_id"], ["turn"], rn_col="_rn", hot_rows=hot)
+    a = a.join(first, "conv_id", "left")
+    ref = F.when(F.col("_first.turn") < F.col("turn"), F.col("_first.text"))
+    return a.select(
+        F.col("conv_id").alias("session_id"),
+        (F.col("_rn") - 1).alias("attempt"),
+        F.col("turn"),
+        F.coalesce(F.col("_question"), F.lit("")).alias("question"),
+        F.coalesce(ref, F.lit("")).alias("reference"),
+        F.col("text").alias("response"),
     )
 
 

@@ -83,3 +83,24 @@ def test_top_n_exact_matches_sort(spark):
     got = sorted(r["id"] for r in md.top_n_exact(df, "k", "id", 321, num_partitions=7).collect())
     exp = sorted(r["id"] for r in df.orderBy(F.col("k").desc(), F.col("id")).limit(321).collect())
     assert got == exp
+
+
+def test_number_within_hot_path_equals_window(spark):
+    from assay.operators.skew import number_within
+    data = [("hot", t, f"u{t}" if t % 3 == 0 else None) for t in range(400)] + \
+           [("k1", t, "a" if t == 1 else None) for t in range(5)] + [("k2", 0, None)]
+    df = spark.createDataFrame(data, "k string, t long, v string")
+    plain = number_within(df, ["k"], ["t"], value_col="v", hot_rows=10_000)
+    split = number_within(df, ["k"], ["t"], value_col="v", hot_rows=50, num_partitions=6)
+    a = sorted((r["k"], r["t"], r["rn"], r["prev_value"]) for r in plain.collect())
+    b = sorted((r["k"], r["t"], r["rn"], r["prev_value"]) for r in split.collect())
+    assert a == b
+    assert ("hot", 4, 5, "u3") in a
+
+
+def test_attempts_view_hot_path(spark):
+    from assay.sources.views import attempts
+    from conftest import SF001
+    a = sorted(tuple(r) for r in attempts(spark, SF001).collect())
+    b = sorted(tuple(r) for r in attempts(spark, SF001, hot_rows=3).collect())
+    assert a == b
