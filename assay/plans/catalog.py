@@ -139,8 +139,10 @@ QUERIES.update({
     "trace_lookup": pp.trace_lookup_query,
     "lexicon_snowball": pp.lexicon_snowball_query,
     "pipeline": pp.pipeline_query,
+    "medallion_build": pp.medallion_build_query,
 })
 ORACLE_SQL.update({
     "incremental_gold": pp.INCREMENTAL_GOLD_SQL,
     "trace_lookup": pp.TRACE_LOOKUP_SQL,
+    "medallion_build": "WITH " + dp.RAW_SQL + ",\n" + dp.PREDS_SQL + pp.MEDALLION_BUILD_SQL_TAIL,
 })

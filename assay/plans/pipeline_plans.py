@@ -43,6 +43,16 @@ def incremental_gold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.countDistinct("id").alias("n_sessions"))
 
 
+MEDALLION_BUILD_SQL_TAIL = """
+SELECT 'int_filtered_dataset' AS "table", data_category_QA, count(*) AS n_rows FROM raw
+WHERE question IS NOT NULL AND question <> '' AND content IS NOT NULL GROUP BY data_category_QA
+UNION ALL
+SELECT 'fct_inference_results', p.data_category_QA_s, count(*) FROM (
+  SELECT r.data_category_QA AS data_category_QA_s FROM preds JOIN raw r ON r.id = preds.id
+  WHERE r.question IS NOT NULL AND r.question <> '' AND r.content IS NOT NULL) p GROUP BY 2
+UNION ALL
+SELECT 'fct_evaluation_scores', data_category_QA, count(*) FROM preds GROUP BY 2"""
+
 INCREMENTAL_GOLD_SQL = "WITH " + PREDS_SQL + """
 SELECT run_id, count(*) AS n_rows, count(DISTINCT id) AS n_sessions FROM preds GROUP BY run_id"""
 
@@ -134,3 +144,21 @@ def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:  # pragma: no cover - helper for notebooks
     return qa(spark, sf_dir)
+
+
+def medallion_build_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze -> silver table -> gold fact tables (flag on),
+    read back; rows per (table, category)."""
+    from assay.plans.dashboard_plans import raw_dataset
+    base = _scratch(spark, "medallion")
+    raw_path, pred_path = os.path.join(base, "raw"), os.path.join(base, "predictions")
+    raw_dataset(spark, sf_dir).write.mode("overwrite").parquet(raw_path)
+    md.write_predictions(md_typed(predictions(spark, sf_dir)), pred_path, "append")
+    paths = md.build_medallion(spark, raw_path, os.path.join(base, "out"), predictions_path=pred_path, gold=True)
+    sil = spark.read.parquet(paths["int_filtered_dataset"]).groupBy("data_category_QA").agg(
+        F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit("int_filtered_dataset"))
+    inf = spark.read.parquet(paths["fct_inference_results"]).groupBy("data_category_QA").agg(
+        F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit("fct_inference_results"))
+    sc = spark.read.parquet(paths["fct_evaluation_scores"]).groupBy("data_category_QA").agg(
+        F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit("fct_evaluation_scores"))
+    return sil.unionByName(inf).unionByName(sc)

@@ -126,7 +126,8 @@ def fct_inference_results(silver_df: DataFrame, predictions: DataFrame) -> DataF
     p = predictions.select(F.col("id").alias("session_id"), "run_id", "attempt",
                            F.to_timestamp("timestamp").alias("timestamp"),
                            F.col("question").alias("input"), F.col("prediction").alias("output"), "model")
-    s = silver_df.select(F.col("id").alias("session_id"), "data_category_QA", "language")
+    lang = F.col("language") if "language" in silver_df.columns else F.lit(None).cast("long")
+    s = silver_df.select(F.col("id").alias("session_id"), "data_category_QA", lang.alias("language"))
     return p.join(s, "session_id")
 
 
@@ -147,6 +148,29 @@ def fct_evaluation_scores(predictions: DataFrame) -> DataFrame:
         "failure_mode")
 
 
+def build_medallion(spark: SparkSession, raw_path: str, out_dir: str, *, categories=None,
+                    predictions_path: str | None = None, gold: bool = False) -> dict[str, str]:
+    """A9 — materialisation policy: bronze as a view, silver as a table (A4: parquet
+    overwrite), gold fact tables only when ``gold`` is set and predictions exist.
+    Path variables of the original project become arguments. Returns the table paths."""
+    raw = bronze(spark, raw_path)
+    sil = silver(raw)
+    if categories:
+        sil = category_filter(sil, categories)
+    paths = {"int_filtered_dataset": os.path.join(out_dir, "int_filtered_dataset")}
+    sil.write.mode("overwrite").parquet(paths["int_filtered_dataset"])
+    if gold and predictions_path:
+        preds = read_predictions(spark, predictions_path)
+        silver_t = spark.read.parquet(paths["int_filtered_dataset"])
+        paths["fct_inference_results"] = os.path.join(out_dir, "fct_inference_results")
+        paths["fct_evaluation_scores"] = os.path.join(out_dir, "fct_evaluation_scores")
+        fct_inference_results(silver_t, preds).write.mode("overwrite").partitionBy("run_id") \
+            .parquet(paths["fct_inference_results"])
+        fct_evaluation_scores(preds).write.mode("overwrite").partitionBy("run_id") \
+            .parquet(paths["fct_evaluation_scores"])
+    return paths
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the session's checkpoint dir (shared storage on a cluster)."""
     return os.path.join(ensure_checkpoint_dir(spark), "tables", name)
