@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.classify import classify_failure_mode
+from assay.functions.lexicon import LEXICON_SCHEMA
+from assay.functions.lexicon_inline import lexicon_inline
 from assay.functions.overlap import question_response_overlap, response_length_ratio, token_overlap_f1
-from assay.functions.tokens import tokens
+from assay.functions.tokens import tokens, words
 from assay.operators.lexicon_scores import fill_lexicon_defaults, lexicon_flags
 
 
@@ -37,13 +39,30 @@ def score_text_metrics(df: DataFrame, response="response", reference="reference"
     return t.withColumns(out).drop(*[f"{k}_tok" for k in cols])
 
 
-def score_responses(df: DataFrame, keys: list[str], lexicon: DataFrame, stemmer: str = "snowball",
+def score_responses(df: DataFrame, keys: list[str], lexicon, stemmer: str = "snowball",
                     response="response", reference="reference", question="question",
-                    category="category") -> DataFrame:
-    """Column scorers + lexicon scorers + failure mode for every response row."""
+                    category="category", inline: bool = False) -> DataFrame:
+    """Column scorers + lexicon scorers + failure mode for every response row.
+
+    ``lexicon`` is a lexicon DataFrame or a list of ``(language, role, stem)`` rows.
+    By default the lexicon scorers run as the exploded hit plan (one shuffle of
+    lexicon hits). ``inline=True`` (surface lexicon rows only) evaluates them per
+    row with array functions and no shuffle; it gives the same results but was
+    about 3x slower locally at sf0.1 (higher-order functions are interpreted).
+    """
     scored = score_text_metrics(df, response, reference, question)
-    flags = lexicon_flags(df, keys, response, lexicon, stemmer)
-    out = fill_lexicon_defaults(scored.join(flags, keys, "left"))
+    if inline:
+        if stemmer != "none" or not isinstance(lexicon, list):
+            raise ValueError("inline lexicon scoring needs surface-form lexicon rows (stemmer='none')")
+        # the word array is a column of its own, read (not recomputed) by the lambdas
+        out = (scored.withColumn("_words", words(response))
+               .withColumn("_lx", lexicon_inline("_words", lexicon))
+               .select("*", "_lx.*").drop("_lx", "_words"))
+    else:
+        if isinstance(lexicon, list):
+            lexicon = df.sparkSession.createDataFrame(lexicon, LEXICON_SCHEMA)
+        flags = lexicon_flags(df, keys, response, lexicon, stemmer)
+        out = fill_lexicon_defaults(scored.join(flags, keys, "left"))
     return out.withColumn(
         "failure_mode",
         classify_failure_mode("refusal_detection", "token_overlap_f1", "hedging_detection", category),

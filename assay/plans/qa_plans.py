@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.classify import FAILURE_MODE_SQL
 from assay.functions.numeric import fixed_mean_sql, fixed_var_pop_sql
-from assay.functions.lexicon import DRIVER_SURFACE_ROWS, driver_lexicon
+from assay.functions.lexicon import DRIVER_SURFACE_ROWS
 from assay.operators.aggregate import (aggregate_overall_and_by, aggregate_scores, failure_mode_rates,
                                        unpivot_metrics)
 from assay.operators.scoring import score_responses
@@ -23,11 +23,10 @@ QA_METRICS = ["token_overlap_f1", "question_response_overlap", "response_length_
               "refusal_detection", "hedging_detection"]
 
 
-def scored_qa(spark: SparkSession, sf_dir: str, stemmer: str = "none") -> DataFrame:
+def scored_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every labelled document scored (H2-H4, H7, H8, H12). The registered
-    queries use the surface lexicon of the driver's text (``stemmer='none'``)."""
-    lex = driver_lexicon(spark)
-    return score_responses(qa(spark, sf_dir), ["session_id"], lex, stemmer=stemmer)
+    queries use the surface lexicon of the driver's text, evaluated per row."""
+    return score_responses(qa(spark, sf_dir), ["session_id"], list(DRIVER_SURFACE_ROWS), stemmer="none")
 
 
 SCORED_QA_SQL = QA_SQL + """,
