@@ -104,3 +104,13 @@ def test_attempts_view_hot_path(spark):
     a = sorted(tuple(r) for r in attempts(spark, SF001).collect())
     b = sorted(tuple(r) for r in attempts(spark, SF001, hot_rows=3).collect())
     assert a == b
+
+
+def test_attempt_numbering_hot_key_path(spark):
+    cache = spark.createDataFrame([("hot", t, f"t{t:03d}", "x") for t in range(120)] + [("k", 0, "a", "y")],
+                                  "cache_key string, created_at long, trace_id string, output_text string")
+    plain = sorted((r["cache_key"], r["trace_id"], r["attempt"]) for r in rq.number_attempts(cache).collect())
+    split = sorted((r["cache_key"], r["trace_id"], r["attempt"])
+                   for r in rq.number_attempts(cache, hot_rows=10).collect())
+    assert plain == split
+    assert ("hot", "t119", 119) in plain and ("k", "a", 0) in plain
