@@ -1,0 +1,200 @@
+"""Main text of HTML pages.
+
+The standard library's parser streams events; text between block-level tags makes a
+line, which knows its number of tags. The ratio of text to tags of the lines outside
+menus, adverts and the like is smoothed with a Gaussian, and a threshold splits content
+lines from the rest. The content lines point at the region that holds the article; all
+of that region's text is kept, short paragraphs too.
+
+Defined cases: null or empty html gives an empty text; markup that is cut off, unclosed
+or nested wrongly is read as browsers do for paragraphs and list items; a page without
+any article element takes the innermost element that holds almost all content; pages
+with nothing but menus, scripts or adverts give an empty text; repeated rows give
+repeated results; a page of any length is read whole.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from assay.llm.batches import map_chunks
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that do not end a line.
+INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt "
+                    "rp s samp small span strike strong sub sup time tt u var wbr").split())
+#: Elements whose text is never part of an article.
+DROPPED = frozenset(("script style noscript template head title nav footer aside form iframe object svg canvas menu "
+                     "button select textarea option dialog audio video").split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Words of class and id names that mark adverts, notices, menus and reader comments.
+MARKS = frozenset(("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie "
+                   "cookies consent gdpr notice notices newsletter subscribe subscription sidebar sidebars nav navbar "
+                   "navigation menu menus breadcrumb breadcrumbs footer masthead comment comments disqus respond share "
+                   "sharing social related recommended popup modal login signup paywall").split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+REGIONS = frozenset("article main".split())
+#: A new block of these kinds ends an open paragraph.
+ENDS_P = frozenset(("address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
+                    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul").split())
+SIBLINGS = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", frozenset(("dl",))),
+            "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr td th", frozenset(("table",))),
+            "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))),
+            "option": ("option", frozenset(("select",)))}
+
+#: Width of the smoothing in lines, and the share of content that a region must hold.
+SIGMA, HELD = 1.0, 0.9
+
+
+class _Lines(HTMLParser):
+    """Lines of a page: (text, tags, open elements, dropped)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines: list[tuple[str, int, tuple, bool]] = []
+        self.open: list[tuple[int, str, bool]] = []  # number, tag, drops
+        self.names: dict[int, str] = {}
+        self.words: list[str] = []
+        self.tags = 0
+        self.serial = 0
+
+    def flush(self):
+        text = " ".join("".join(self.words).split())
+        if text:
+            drops = bool(self.open) and self.open[-1][2]
+            self.lines.append((text, self.tags, tuple(x[0] for x in self.open), drops))
+        if text or self.words:
+            self.words = []
+        self.tags = 0
+
+    def close_to(self, place: int):
+        """End the open elements from ``place`` on; dropped text and kept text don't mix."""
+        if any(x[1] not in INLINE or x[2] for x in self.open[place:]):
+            self.flush()
+        del self.open[place:]
+
+    def handle_starttag(self, tag, attrs):
+        self.tags += 1
+        if tag in ENDS_P:
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i][1] == "p":
+                    self.close_to(i)
+                    break
+                if self.open[i][1] not in INLINE:
+                    break
+        elif tag in SIBLINGS:
+            ends, within = SIBLINGS[tag]
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i][1] in ends.split():
+                    self.close_to(i)
+                    break
+                if self.open[i][1] in within:
+                    break
+        if tag not in INLINE:
+            self.flush()
+            self.tags = 1
+        if tag in VOID:
+            if tag == "img":
+                return
+            self.words.append(" ")
+            return
+        above = bool(self.open) and self.open[-1][2]
+        own = self.drops(tag, dict(attrs))
+        if own and not above:
+            self.flush()
+        self.serial += 1
+        self.names[self.serial] = tag
+        if above and tag in HEADINGS and self.in_header():
+            above = False
+        self.open.append((self.serial, tag, above or own))
+
+    def in_header(self) -> bool:
+        """Within the header of an article, and nothing else that drops."""
+        tags = [(t, d) for _, t, d in self.open]
+        return any(t in REGIONS and not d for t, d in tags) and all(t == "header" or not d for t, d in tags if d) \
+            and next((t for t, d in tags if d), "") == "header"
+
+    def drops(self, tag: str, attrs: dict) -> bool:
+        if tag in DROPPED or tag == "header" or "hidden" in attrs:
+            return True
+        if tag in ("html", "body") or not attrs:
+            return False
+        if (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
+            return True
+        if tag in REGIONS and not re.search("comment", f"{attrs.get('class')} {attrs.get('id')}", re.IGNORECASE):
+            return False
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
+        return not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", names))
+
+    def handle_endtag(self, tag):
+        self.tags += 1
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][1] == tag:
+                self.close_to(i)
+                return
+        if tag not in INLINE:
+            self.flush()
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_data(self, data):
+        self.words.append(data)
+
+
+def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Gaussian smoothing over the lines, ends repeated."""
+    r = max(1, int(np.ceil(2 * sigma)))
+    kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return np.convolve(np.pad(ratios, r, mode="edge"), kernel / kernel.sum(), mode="valid")
+
+
+def main_text(html: str) -> str:
+    """The article of one page, its blocks joined by one space."""
+    parser = _Lines()
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    lines = [x[:3] for x in parser.lines if not x[3]]
+    if not lines:
+        return ""
+    size = np.array([len(t) for t, _, _ in lines], float)
+    ratio = smooth(size / np.maximum(1, [n for _, n, _ in lines]))
+    content = ratio >= min(ratio.std(), ratio.mean())
+    held: dict[int, float] = {}
+    for (_, _, inside), n, ok in zip(lines, size, content, strict=True):
+        if ok:
+            for e in inside:
+                held[e] = held.get(e, 0.0) + n
+    regions = {e for e in held if parser.names[e] in REGIONS}
+    if regions:
+        most = max(held[e] for e in regions)
+        chosen = {e for e in regions if held[e] * 5 >= most}
+    else:
+        whole = float(size[content].sum())
+        chosen = {max((e for e in held if held[e] >= HELD * whole), default=0)}  # the innermost opened last
+        if chosen == {0}:
+            return " ".join(t for t, _, _ in lines)
+    return " ".join(t for t, _, inside in lines if not chosen.isdisjoint(inside))
+
+
+def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: id, url, text, n_chars (code points)."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [main_text("" if h is None else h.decode("utf-8", "replace")) for h in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+            [id_col, url_col, "text", "n_chars"])
+
+    only = df.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), F.col(f"`{html_col}`").cast("binary").alias("text"))
+    return map_chunks(only, run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars bigint", "text")
