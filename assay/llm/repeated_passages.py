@@ -36,6 +36,8 @@ from assay.session import ship_package
 WINDOW = 13
 #: Words of the phrases that stand for windows.
 PHRASE = 6
+#: Phrases of an automaton; their words have code points enough.
+SHARD = 150_000
 #: Text of a block.
 BLOCK_BYTES = 12 << 20
 
@@ -117,29 +119,31 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
 
 
-def occurrences(words: np.ndarray, ends: np.ndarray, phrases: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Where the phrases at ``places`` (of PHRASE words) occur in the documents: an
-    Aho-Corasick automaton over the words' numbers, through which each document streams."""
-    hit = np.zeros(len(phrases), bool)
-    if not len(places):
-        return hit
-    vocabulary = np.unique(words[places[:, None] + np.arange(PHRASE)])
-    number = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    number = np.where(vocabulary[number] == words, number + 1, 0)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for row in number[places[:, None] + np.arange(PHRASE)].tolist():
-        automaton.add_word(tuple(row), 1)
-    automaton.make_automaton()
-    a = 0
-    for z in ends.tolist():
-        if z - a >= WINDOW and number[a:z].any():
-            found = [e for e, _ in automaton.iter(tuple(number[a:z].tolist()))]
-            if found:
-                hit[a + np.array(found) - PHRASE + 1] = True
-        a = z
+def occurrences(words: np.ndarray, hits_of: int, places: np.ndarray) -> np.ndarray:
+    """Where the phrases at ``places`` (of PHRASE words) occur in the block's text: automata
+    over the words' numbers, written as code points, each with at most SHARD phrases;
+    through each the whole text streams."""
+    hit = np.zeros(hits_of, bool)
+    for a in range(0, len(places), SHARD):
+        rows = places[a:a + SHARD, None] + np.arange(PHRASE)
+        vocabulary, number = np.unique(words[rows], return_inverse=True)
+        phrases = _letters(number.reshape(-1) + 1)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k in range(0, len(phrases), PHRASE):
+            automaton.add_word(phrases[k:k + PHRASE], 1)
+        automaton.make_automaton()
+        at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+        text = _letters(np.where(vocabulary[at] == words, at + 1, 0))
+        found = np.array([e for e, _ in automaton.iter(text)], np.int64)
+        hit[found - PHRASE + 1] = True
     return hit
 
 
+def _letters(numbers: np.ndarray) -> str:
+    """One code point for each number, surrogates left out."""
+    return (numbers + np.where(numbers >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+
+
 def _candidates(key, docs: pa.Table, recurring: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return _LISTED.empty_table()
@@ -149,7 +153,7 @@ def _candidates(key, docs: pa.Table, recurring: pa.Table) -> pa.Table:
     used = np.unique(at[whole])
     used = used[_find(hashes[used], _sorted_keys(recurring))]
     places = used[np.unique(hashes[used], return_index=True)[1]]
-    hit = occurrences(b.words, b.ends, hashes, places)
+    hit = occurrences(b.words, len(hashes), places)
     start = np.flatnonzero(whole)
     start = start[hit[at[start]]]
     return _listed(key[0].as_py(), b.windows()[start], b.owner[start])
@@ -220,10 +224,7 @@ def remove_repeats(docs: DataFrame, *, carry: tuple[str, ...] = (), leave_clean:
         cols = {"text": pa.array(texts, pa.binary()), "n_words": pa.array(b.count, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
         return pa.table({n: cols.get(n, docs.column(n) if n in docs.schema.names else None) for n in names})
 
-    def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
-        return kept(docs, confirmed)
-
-    result = dealt.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(run, out)
+    result = dealt.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(kept, out)
     return result.withColumn("text", F.col("text").cast("string"))
 
 
