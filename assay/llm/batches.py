@@ -32,7 +32,7 @@ def chunks(batch: pa.RecordBatch, by: str, limit: int = CHUNK_BYTES) -> Iterator
         yield batch.slice(a, b - a)
 
 
-def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema,
                by: str) -> DataFrame:
     """``mapInArrow`` over slices bounded in bytes; ``fn`` sees one slice at a time."""
     ship_package(df.sparkSession)

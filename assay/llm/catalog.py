@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, exact_dedup, language_id, main_text, packing, token_output, topk, urls
+from assay.llm import bpe, exact_dedup, jaccard_join, language_id, main_text, packing, repeated_passages, token_output, topk, urls
 from assay.sources.tables import read_table
 
 #: Vocabularies of the registered queries; operators take any path.
@@ -26,6 +26,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.repeat_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_windows(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
@@ -46,8 +54,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_language_id, op5_url_filter, op6_packing,
-                                   op7_token_output, op9_top_k, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_language_id, op4_substring_dedup,
+                                   op5_url_filter, op6_packing, op7_token_output, op8_jaccard_join, op9_top_k, op10_main_text)}
 
 #: A-Z lower-cased, as the operators compare texts.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

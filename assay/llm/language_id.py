@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from assay.llm.batches import map_chunks
 
@@ -201,3 +202,14 @@ def identify(df: DataFrame, net: Network) -> DataFrame:
 
     only = df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     return map_chunks(only, run, "doc_id bigint, held_out boolean, lang_pred string, score double", "text")
+
+
+def with_language(df: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with two more columns, the label and the score of its ``text``."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        label, score = judge(net, batch.column("text").cast(pa.binary()).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())],
+                                          [*batch.schema.names, *names])
+
+    schema = T.StructType([*df.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return map_chunks(df, run, schema, "text")

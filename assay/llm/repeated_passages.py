@@ -36,8 +36,9 @@ from assay.session import ship_package
 WINDOW = 13
 #: Words of the phrases that stand for windows.
 PHRASE = 6
-#: Phrases of an automaton; their words have code points enough.
-SHARD = 150_000
+#: Digits of a word's number, and phrases of an automaton (their words have numbers enough).
+BASE, DIGITS = 64, 3
+SHARD = BASE ** DIGITS // PHRASE - 1
 #: Text of a block.
 BLOCK_BYTES = 12 << 20
 
@@ -121,27 +122,32 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def occurrences(words: np.ndarray, hits_of: int, places: np.ndarray) -> np.ndarray:
     """Where the phrases at ``places`` (of PHRASE words) occur in the block's text: automata
-    over the words' numbers, written as code points, each with at most SHARD phrases;
-    through each the whole text streams."""
+    of at most SHARD phrases each, through each of which the whole text streams. Words are
+    written as DIGITS characters, so that the automaton's nodes have few children."""
     hit = np.zeros(hits_of, bool)
     for a in range(0, len(places), SHARD):
         rows = places[a:a + SHARD, None] + np.arange(PHRASE)
         vocabulary, number = np.unique(words[rows], return_inverse=True)
-        phrases = _letters(number.reshape(-1) + 1)
+        phrases, size = _written(number.reshape(-1) + 1), PHRASE * DIGITS
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k in range(0, len(phrases), PHRASE):
-            automaton.add_word(phrases[k:k + PHRASE], 1)
+        for k in range(0, len(phrases), size):
+            automaton.add_word(phrases[k:k + size], 1)
         automaton.make_automaton()
         at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        text = _letters(np.where(vocabulary[at] == words, at + 1, 0))
+        text = _written(np.where(vocabulary[at] == words, at + 1, 0))
         found = np.array([e for e, _ in automaton.iter(text)], np.int64)
-        hit[found - PHRASE + 1] = True
+        hit[(found + 1) // DIGITS - PHRASE] = True
     return hit
 
 
-def _letters(numbers: np.ndarray) -> str:
-    """One code point for each number, surrogates left out."""
-    return (numbers + np.where(numbers >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+def _written(numbers: np.ndarray) -> str:
+    """DIGITS characters for each number; a first one is never a later one."""
+    out = np.empty((len(numbers), DIGITS), np.uint8)
+    for k in range(DIGITS):
+        out[:, DIGITS - 1 - k] = numbers % BASE
+        numbers = numbers // BASE
+    out[:, 0] += BASE
+    return out.tobytes().decode("latin-1")
 
 
 def _candidates(key, docs: pa.Table, recurring: pa.Table) -> pa.Table:
