@@ -138,7 +138,7 @@ QUERIES.update({
     "profile_roundtrip": pp.profile_roundtrip_query,
     "trace_lookup": pp.trace_lookup_query,
     "lexicon_snowball": pp.lexicon_snowball_query,
-    "pipeline": pp.pipeline_query,
+    "verdict_pipeline": pp.pipeline_query,
     "medallion_build": pp.medallion_build_query,
 })
 ORACLE_SQL.update({
