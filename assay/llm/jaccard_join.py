@@ -8,7 +8,8 @@ differ bound the size of the symmetric difference from below, and so the overlap
 above; pairs that pass are decided by intersecting their sorted arrays.
 
 A tile is never expanded into all its pairs. First each document is compared with the
-first document of its band, and links found so far are merged into components. Then only
+hub of each of its tiles (the document in most tiles: of a text and its many near copies
+the text itself), and links found so far are merged into components. Then only
 tiles that still hold several components are compared, between components, with bitmaps in
 the task, in squares of bounded size; only pairs that pass the bound leave it. So a group
 of thousands of near copies costs a star, not a square.
@@ -38,6 +39,8 @@ from assay.session import ship_package
 N = 5
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Rows of a tile up to which its rows are compared in place, without bitmaps beside them.
+SMALL = 64
 #: Side of the squares into which a tile of several components is cut.
 SQUARE = 2048
 
@@ -62,8 +65,8 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Bits of the hashes' low ends: at least two a hash, 64 to 65536."""
-    width = min(1 << 16, max(64, 1 << (2 * len(hashes) - 1).bit_length()))
+    """Bits of the hashes' low ends: at least four a hash, 64 to 131072."""
+    width = min(1 << 17, max(64, 1 << (4 * len(hashes) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(hashes & U(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -96,7 +99,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return map_chunks(only, run, "doc_id bigint, n bigint, digest binary, bits binary, prefix binary", "text")
 
 
-_TOKENS = pa.schema([("token", pa.int64()), ("row", pa.int64()), ("n", pa.int32())])
+TOKENS = "token bigint, row bigint, n int, place int"
+_TOKENS = pa.schema([("token", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
 
 def _tokens(it):
@@ -114,70 +118,100 @@ def _tokens(it):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.frombuffer(b"".join([prefix[k] for k in new]), np.int64)),
                  pa.array(np.repeat(np.array([row[k] for k in new], np.int64), size)),
-                 pa.array(np.repeat(np.array([n[k] for k in new], np.int32), size))], schema=_TOKENS)
+                 pa.array(np.repeat(np.array([n[k] for k in new], np.int32), size)),
+                 pa.array((np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32))], schema=_TOKENS)
 
 
-_TILED = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
-TILED = "token bigint, a bigint, b bigint, n int"
+def may_meet(n_a, place_a, n_b, place_b, percent: int = PERCENT):
+    """Whether two sets that share the hashes at these places of their sorted arrays, and
+    none before, can overlap enough; true at the first shared hash of every pair that links."""
+    return np.minimum(n_a - place_a, n_b - place_b) * (100 + percent) >= percent * (n_a + n_b)
 
 
-def _star(token, row, n, known_large: bool, percent: int):
-    """Pairs (row, first of its band) as b >= 0, and the rows of tiles of three or more as
-    b = -1; ``known_large``: the first tile goes on from before, with its last leader first."""
+def _near(token, n, place, percent: int, differ=None):
+    """Index pairs (i, i + o), o < SMALL, of rows sorted by token that may meet."""
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    for o in range(1, SMALL):
+        i = np.flatnonzero(token[o:] == token[:-o])
+        if not len(i):
+            return
+        i = i[may_meet(n[i], place[i], n[i + o], place[i + o], percent)]
+        if differ is not None:
+            i = i[differ[i] != differ[i + o]]
+        if len(i):
+            yield i, i + o
+
+
+def _sizes(token: np.ndarray) -> np.ndarray:
+    """Rows of each row's tile."""
     new = np.concatenate([[True], token[1:] != token[:-1]])
     start = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    leader = start[group]
-    while True:
-        late = np.flatnonzero(percent * n > 100 * n[leader].astype(np.int64))
-        if not len(late):
-            break
-        same = leader[late]
-        first = np.concatenate([[True], same[1:] != same[:-1]])
-        leader[late] = late[first][np.cumsum(first) - 1]
-    size = np.diff(np.append(start, len(token)))
-    large = size[group] >= 3
-    if known_large:
-        large[group == 0] = True
-        large[0] = False  # has been told before
-    k = np.flatnonzero(leader != np.arange(len(token)))
-    pairs = np.unique(np.stack([np.maximum(row[k], row[leader[k]]), np.minimum(row[k], row[leader[k]])]), axis=1) if len(k) else np.zeros((2, 0), np.int64)
-    t = np.flatnonzero(large)
-    zeros = np.zeros(pairs.shape[1], np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([zeros, token[t]])), pa.array(np.concatenate([pairs[0], row[t]])),
-         pa.array(np.concatenate([pairs[1], np.full(len(t), -1)])),
-         pa.array(np.concatenate([zeros, n[t]]).astype(np.int32))], schema=_TILED), leader
-
-
-def _tiles(percent: int):
-    """Over rows sorted by (token, n, row); keeps a bounded part of a tile that goes on."""
-    def run(it):
-        held, large = None, False
-        for batch in it:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            token = cols[0]
-            last = int(np.searchsorted(token == token[-1], True)) if len(token) else 0
-            if len(token) - last > SQUARE:
-                out, leader = _star(*cols, large, percent)
-                keep = leader[-1:]  # its leader goes on
-                large = True
-            else:
-                out = None
-                if last:
-                    out, _ = _star(*[c[:last] for c in cols], large, percent)
-                    large = False
-                keep = slice(last, None)
-            held = [c[keep] for c in cols]
-            if out is not None and out.num_rows:
-                yield out
-        if held is not None and len(held[0]):
-            out, _ = _star(*held, large, percent)
-            if out.num_rows:
-                yield out
-    return run
+    return np.diff(np.append(start, len(token)))[np.cumsum(new) - 1]
+
+
+def _by_tile(it, fn):
+    """``fn(columns, large)`` over rows sorted by token, whole tiles at a time; of a tile of
+    more than SQUARE rows in parts, with ``large`` set."""
+    held, large = None, None
+    for batch in it:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        if not len(cols[0]):
+            continue
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        token = cols[0]
+        if large is not None:  # the rest of a tile that has begun
+            z = int(np.searchsorted(token != large, True))
+            yield fn([c[:z] for c in cols], True)
+            cols, token = [c[z:] for c in cols], token[z:]
+            held = None
+            if not len(token):
+                continue
+            large = None
+        z = len(token) - int((token[::-1] != token[-1]).argmax()) if (token != token[-1]).any() else 0
+        if z:
+            yield fn([c[:z] for c in cols], False)
+            cols = [c[z:] for c in cols]
+        if len(cols[0]) > SQUARE:
+            yield fn(cols, True)
+            large, held = cols[0][0], None
+        else:
+            held = cols
+    if held is not None and len(held[0]):
+        yield fn(held, False)
+
+
+def _shared(percent: int):
+    """Rows that may meet another row of their tile (all rows of large tiles)."""
+    def tell(cols, large):
+        token, _, n, place = cols
+        use = np.full(len(token), large) | (_sizes(token) > SMALL)
+        for i, j in _near(token, n, place, percent):
+            use[i] = use[j] = True
+        return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in cols], schema=_TOKENS)
+
+    return lambda it: _by_tile(it, tell)
+
+
+CROSS = "token bigint, a bigint, b bigint, place int, comp bigint"
+_CROSS = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int32()), ("comp", pa.int64())])
+
+
+def _cross(percent: int):
+    """Of small tiles the pairs between components that may meet (b >= 0); of others the
+    rows (b = -1)."""
+    def tell(cols, large):
+        token, row, n, place, comp = cols
+        much = np.full(len(token), large) | (_sizes(token) > SMALL)
+        found = [np.stack([row[i], row[j]])[:, ~much[i]] for i, j in _near(token, n, place, percent, comp)]
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
+        zero, k = np.zeros(pairs.shape[1], np.int64), np.flatnonzero(much)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([zero, token[k]])), pa.array(np.concatenate([pairs[1], row[k]])),
+             pa.array(np.concatenate([pairs[0], np.full(len(k), -1)])),
+             pa.array(np.concatenate([zero, place[k]]).astype(np.int32)), pa.array(np.concatenate([zero, comp[k]]))], schema=_CROSS)
+
+    return lambda it: _by_tile(it, tell)
 
 
 def _words(raw: list[bytes]) -> list[np.ndarray]:
@@ -200,23 +234,23 @@ def _bounded(percent: int):
     return run
 
 
-def _square(row, n, comp, side, bits, percent: int):
+def _square(row, n, place, comp, side, bits, percent: int):
     """Pairs between components whose bitmaps leave a link possible (side 0 with side 1;
     within one square side is 2)."""
     order = np.argsort(n, kind="stable")
-    row, n, comp, side = row[order], n[order], comp[order], side[order]
+    row, n, place, comp, side = row[order], n[order], place[order], comp[order], side[order]
     bits = [bits[k] for k in order.tolist()]
     width = np.array([len(b) for b in bits])
     packed = {w: (np.flatnonzero(width == w), np.stack([b for b in bits if len(b) == w])) for w in np.unique(width).tolist()}
     reach = np.searchsorted(n, 100 * n // percent, side="right")
     found = []
     for i in range(len(row)):
-        for w, (place, rows) in packed.items():
-            lo, hi = np.searchsorted(place, [i + 1, reach[i]])
+        for w, (at, rows) in packed.items():
+            lo, hi = np.searchsorted(at, [i + 1, reach[i]])
             if lo >= hi:
                 continue
-            j = place[lo:hi]
-            ok = (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2))
+            j = at[lo:hi]
+            ok = (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2)) & may_meet(n[i], place[i], n[j], place[j], percent)
             if not ok.any():
                 continue
             j, other = j[ok], rows[lo:hi][ok]
@@ -237,15 +271,15 @@ def _squares(percent: int):
         def flush():
             if len(rows) < 2:
                 return None
-            row, n, comp, side = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            found = _square(row, n, comp, side, _words([r[4] for r in rows]), percent)
+            row, n, place, comp, side = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+            found = _square(row, n, place, comp, side, _words([r[5] for r in rows]), percent)
             if not found:
                 return None
             a, b = np.array(found, np.int64).T
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=_PAIRS)
 
         for batch in it:
-            for r in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
+            for r in zip(*[batch.column(k).to_pylist() for k in range(9)], strict=True):
                 if r[:3] != key:
                     out = flush()
                     if out is not None:
@@ -294,8 +328,8 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, percent: int) ->
     return _with(_with(pairs, "a", sets, ["set"]), "b", sets, ["set"]).mapInArrow(_exact(percent), "a bigint, b bigint")
 
 
-def similar_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n of every row; links a > b between rows that connect all linked rows)."""
+def similar_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """row, doc_id, n (set size) and comp of every row; rows that links connect share comp."""
     ship_package(docs.sparkSession)
     sketches = written(_sketches(docs).select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
     rows = sketches.select("row", "doc_id", "n", "digest", "bits")
@@ -303,40 +337,59 @@ def similar_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     same = part.groupBy("digest").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     same = written(part.select(F.col("row").alias("a"), "digest").join(same, "digest").filter("a <> b").select("a", "b"), "same")
 
-    tokens = sketches.filter("n > 0 and doc_id is not null").select("row", "n", "digest", "prefix").mapInArrow(_tokens, "token bigint, row bigint, n int")
-    tiled = written(tokens.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_tiles(percent), TILED), "tiles")
-
-    pairs = tiled.filter("b >= 0").select("a", "b").distinct()
-    digests = _with(_with(pairs, "a", part, ["n", "digest", "bits"]), "b", part, ["n", "digest", "bits"])
-    pairs = written(digests.filter("digest_a <> digest_b").drop("digest_a", "digest_b").mapInArrow(_bounded(percent), "a bigint, b bigint"), "pairs")
+    tokens = sketches.filter("n > 0 and doc_id is not null").select("row", "n", "digest", "prefix").mapInArrow(_tokens, TOKENS)
+    tiles = written(tokens.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_shared(percent), TOKENS), "tiles")
+
+    # each document with the hub of its tiles: the one that is in most tiles
+    often = tiles.groupBy("row").agg(F.count(F.lit(1)).alias("often"))
+    ranked = tiles.join(often, "row").select("token", "row", "n", (F.col("often") * 1000003 + F.pmod("row", F.lit(1000003))).alias("rank"))
+    hubs = ranked.groupBy("token").agg(F.max_by("row", "rank").alias("hub"), F.max_by("n", "rank").alias("hub_n"))
+    stars = (ranked.join(hubs, "token")
+             .filter(F.col("row") != F.col("hub"))
+             .filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+             .select(F.greatest("row", "hub").alias("a"), F.least("row", "hub").alias("b")).distinct())
+    pairs = written(_possible(stars, part, percent), "pairs")
     links = written(_links(pairs, docs, rows, percent).unionByName(same), "links")
 
     # tiles that hold several components: between components only
     comp = components(links)
-    tile = (tiled.filter("b < 0").select("token", F.col("a").alias("row"))
-            .join(comp.withColumnRenamed("node", "row"), "row", "left")
-            .select("token", "row", F.coalesce("component", "row").alias("comp")))
-    tile = written(tile, "tile")
-    mixed = (tile.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"))
-             .filter("x < y").select("token", F.ceil(F.col("m") / SQUARE).cast("int").alias("cuts")))
-    own = F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")
-    squares = (tile.join(mixed, "token").select("token", "row", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-               .select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "row", "comp",
+    tile = written(tiles.join(comp.withColumnRenamed("node", "row"), "row", "left")
+                   .withColumn("comp", F.coalesce("component", "row")).drop("component"), "tile")
+    mixed = tile.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).filter("x < y and m > 2")
+    cross = written(tile.join(mixed.select("token"), "token", "left_semi").select("token", "row", "n", "place", "comp")
+                    .repartition("token").sortWithinPartitions("token", "n").mapInArrow(_cross(percent), CROSS), "cross")
+    beside = written(_possible(cross.filter("b >= 0").select("a", "b").distinct(), part, percent), "beside")
+    large = cross.filter("b < 0")
+    cuts = large.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("a"), F.col("cuts")).cast("int")
+    squares = (large.join(cuts, "token").select("token", F.col("a").alias("row"), "place", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+               .select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "row", "place", "comp",
                        F.expr("case when own = other then 2 when own < other then 0 else 1 end").cast("bigint").alias("side"))
                .join(part.select("row", "n", "bits"), "row")
-               .select("token", "lo", "hi", "row", "n", "comp", "side", "bits"))
+               .select("token", "lo", "hi", "row", "n", "place", "comp", "side", "bits"))
     crossed = written(squares.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-                      .mapInArrow(_squares(percent), "a bigint, b bigint").distinct(), "crossed")
+                      .mapInArrow(_squares(percent), "a bigint, b bigint").unionByName(beside).distinct(), "crossed")
+    rows = rows.join(comp.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", "n", "digest", F.coalesce("component", "row").alias("comp"))
     if not crossed.isEmpty():
-        links = written(links.unionByName(_links(crossed, docs, rows, percent)), "links")
-    return rows.select("row", "doc_id", "n"), links
+        # links between components are few; they are merged by themselves
+        of = comp.select("node", "component")
+        between = written(_links(crossed, docs, rows, percent), "between")
+        for side in ("a", "b"):
+            between = between.join(of.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+        merged = components(between.select("a", "b")).withColumnRenamed("node", "comp")
+        rows = rows.join(merged, "comp", "left").withColumn("comp", F.coalesce("component", "comp"))
+    return rows.select("row", "doc_id", "n", "comp")
+
+
+def _possible(pairs: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different sets whose bitmaps leave a link possible."""
+    sides = _with(_with(pairs, "a", part, ["n", "digest", "bits"]), "b", part, ["n", "digest", "bits"])
+    return sides.filter("digest_a <> digest_b").drop("digest_a", "digest_b").mapInArrow(_bounded(percent), "a bigint, b bigint")
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    rows, links = similar_links(docs, percent)
-    comp = components(links).withColumnRenamed("node", "row")
-    named = rows.join(comp, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"),
-                                                 F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = similar_rows(docs, percent)
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"),
+                                            F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
