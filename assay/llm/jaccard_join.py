@@ -25,6 +25,7 @@ chance with odds of about (shingles of one * shingles of the other) / 2**64.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ N = 5
 PERCENT = 80
 #: Rows of a tile up to which its rows are compared in place, without bitmaps beside them.
 SMALL = 64
-#: Side of the squares into which a tile of several components is cut.
-SQUARE = 2048
+#: Rows of a size band of a tile up to which it is one square; more are cut by hash.
+SQUARE = 8192
 
 
 def shingle_sets(raw: list[bytes], n: int = N) -> list[np.ndarray]:
@@ -234,15 +235,16 @@ def _bounded(percent: int):
     return run
 
 
-def _square(row, n, place, comp, side, bits, percent: int):
-    """Pairs between components whose bitmaps leave a link possible (side 0 with side 1;
-    within one square side is 2)."""
+def _square(row, n, place, comp, part, above, bits, percent: int):
+    """Pairs between components whose bitmaps leave a link possible: of one part or of two
+    (then between them), and not both above the band."""
     order = np.argsort(n, kind="stable")
-    row, n, place, comp, side = row[order], n[order], place[order], comp[order], side[order]
+    row, n, place, comp, part, above = (x[order] for x in (row, n, place, comp, part, above))
     bits = [bits[k] for k in order.tolist()]
     width = np.array([len(b) for b in bits])
     packed = {w: (np.flatnonzero(width == w), np.stack([b for b in bits if len(b) == w])) for w in np.unique(width).tolist()}
     reach = np.searchsorted(n, 100 * n // percent, side="right")
+    two = len(np.unique(part)) > 1
     found = []
     for i in range(len(row)):
         for w, (at, rows) in packed.items():
@@ -250,7 +252,9 @@ def _square(row, n, place, comp, side, bits, percent: int):
             if lo >= hi:
                 continue
             j = at[lo:hi]
-            ok = (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2)) & may_meet(n[i], place[i], n[j], place[j], percent)
+            ok = (comp[j] != comp[i]) & may_meet(n[i], place[i], n[j], place[j], percent) & (above[j] + above[i] < 2)
+            if two:
+                ok &= part[j] != part[i]
             if not ok.any():
                 continue
             j, other = j[ok], rows[lo:hi][ok]
@@ -264,28 +268,28 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _squares(percent: int):
-    """Over rows sorted by (token, lo, hi): one square at a time."""
+    """Over rows sorted by (token, band, lo, hi): one square at a time."""
     def run(it):
         key, rows = None, []
 
         def flush():
             if len(rows) < 2:
                 return None
-            row, n, place, comp, side = (np.array([r[k] for r in rows], np.int64) for k in range(5))
-            found = _square(row, n, place, comp, side, _words([r[5] for r in rows]), percent)
+            row, n, place, comp, part, above = (np.array([r[k] for r in rows], np.int64) for k in range(6))
+            found = _square(row, n, place, comp, part, above, _words([r[6] for r in rows]), percent)
             if not found:
                 return None
             a, b = np.array(found, np.int64).T
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=_PAIRS)
 
         for batch in it:
-            for r in zip(*[batch.column(k).to_pylist() for k in range(9)], strict=True):
-                if r[:3] != key:
+            for r in zip(*[batch.column(k).to_pylist() for k in range(11)], strict=True):
+                if r[:4] != key:
                     out = flush()
                     if out is not None:
                         yield out
-                    key, rows = r[:3], []
-                rows.append(r[3:])
+                    key, rows = r[:4], []
+                rows.append(r[4:])
         out = flush()
         if out is not None:
             yield out
@@ -359,15 +363,20 @@ def similar_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     cross = written(tile.join(mixed.select("token"), "token", "left_semi").select("token", "row", "n", "place", "comp")
                     .repartition("token").sortWithinPartitions("token", "n").mapInArrow(_cross(percent), CROSS), "cross")
     beside = written(_possible(cross.filter("b >= 0").select("a", "b").distinct(), part, percent), "beside")
-    large = cross.filter("b < 0")
-    cuts = large.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("cuts"))
-    own = F.pmod(F.xxhash64("a"), F.col("cuts")).cast("int")
-    squares = (large.join(cuts, "token").select("token", F.col("a").alias("row"), "place", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-               .select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "row", "place", "comp",
-                       F.expr("case when own = other then 2 when own < other then 0 else 1 end").cast("bigint").alias("side"))
-               .join(part.select("row", "n", "bits"), "row")
-               .select("token", "lo", "hi", "row", "n", "place", "comp", "side", "bits"))
-    crossed = written(squares.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    # large tiles: a document stands in the tile of its band of sizes, and above the band below
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
+    large = (cross.filter("b < 0").select("token", F.col("a").alias("row"), "place", "comp").join(part.select("row", "n", "bits"), "row")
+             .select("token", "row", "n", "place", "comp", "bits", F.explode(F.array(
+                 F.struct(band.alias("band"), F.lit(0).alias("above")), F.struct((band - 1).alias("band"), F.lit(1).alias("above")))).alias("at"))
+             .select("token", "at.band", "at.above", "row", "n", "place", "comp", "bits"))
+    sizes = (large.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"), F.min("above").alias("own"))
+             .filter("own = 0 and m > 1").select("token", "band", F.ceil(F.col("m") / SQUARE).cast("int").alias("cuts")))
+    part_of = F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")
+    squares = (large.join(sizes, ["token", "band"]).withColumn("part", part_of)
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+               .select("token", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+                       "row", "n", "place", "comp", "part", "above", "bits"))
+    crossed = written(squares.repartition("token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi")
                       .mapInArrow(_squares(percent), "a bigint, b bigint").unionByName(beside).distinct(), "crossed")
     rows = rows.join(comp.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", "n", "digest", F.coalesce("component", "row").alias("comp"))
     if not crossed.isEmpty():
