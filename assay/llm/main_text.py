@@ -39,6 +39,8 @@ MARKS = frozenset(("ad ads advert adverts advertisement advertising sponsor spon
                    "navigation menu menus breadcrumb breadcrumbs footer masthead comment comments disqus respond share "
                    "sharing social related recommended popup modal login signup paywall").split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a paragraph, not a region.
+LEAVES = INLINE | HEADINGS | frozenset("p li dt dd pre blockquote figcaption td th tr caption summary".split())
 REGIONS = frozenset("article main".split())
 #: A new block of these kinds ends an open paragraph.
 ENDS_P = frozenset(("address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
@@ -180,7 +182,7 @@ def main_text(html: str) -> str:
         chosen = {e for e in regions if held[e] * 5 >= most}
     else:
         whole = float(size[content].sum())
-        chosen = {max((e for e in held if held[e] >= HELD * whole), default=0)}  # the innermost opened last
+        chosen = {max((e for e in held if held[e] >= HELD * whole and parser.names[e] not in LEAVES), default=0)}
         if chosen == {0}:
             return " ".join(t for t, _, _ in lines)
     return " ".join(t for t, _, inside in lines if not chosen.isdisjoint(inside))
