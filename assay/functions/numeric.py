@@ -29,15 +29,16 @@ def fixed_mean(value) -> Column:
     Scorer values are rounded to 4 decimals, so ``round(x * 1e4)`` is exact and
     the integer sum does not depend on partitioning or summation order.
     """
-    return F.sum(_q(value)) / F.count(_q(value)) / F.lit(10000.0)
+    q = _q(value)
+    return F.sum(q.cast("decimal(19,0)")).cast("double") / F.nullif(F.count(q), F.lit(0)) / F.lit(10000.0)
 
 
 def fixed_var_pop(value) -> Column:
     """Aggregate: population variance of 4-decimal scores from exact integer sums."""
     q = _q(value)
     n = F.count(q)
-    s1 = F.sum(q).cast("decimal(38,0)")
-    s2 = F.sum(q * q).cast("decimal(38,0)")
+    d = q.cast("decimal(19,0)")  # a product or sum of longs could leave 64 bits
+    s1, s2 = F.sum(d).cast("decimal(38,0)"), F.sum(d * d).cast("decimal(38,0)")
     num = (s2 * n.cast("decimal(20,0)") - s1 * s1).cast("double")
     return num / (n.cast("double") * n.cast("double")) / F.lit(1e8)
 

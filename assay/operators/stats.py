@@ -102,7 +102,7 @@ def _mwu_p(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series, z: pd.Se
         if (int(a) <= 8 or int(b) <= 8) and not bool(tie) and int(a) > 0 and int(b) > 0:
             out.append(special.mannwhitney_exact_p(int(a), int(b), float(uu)))
         else:
-            out.append(1.0 if pd.isna(zz) else special.two_sided_normal_p(float(zz)))
+            out.append(1.0 if pd.isna(zz) else min(1.0, 2.0 * special.norm_sf(float(zz))))
     return pd.Series(out, dtype="float64")
 
 
@@ -136,7 +136,7 @@ def mann_whitney_stats(long: DataFrame, group: list[str], side_col="side", value
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     z = F.try_divide(F.abs(u1 - n1 * n2 / 2.0) - 0.5, F.when(sigma > 0, sigma))
     return g.select(*group, "n1", "n2", u1.alias("u_statistic"), "tie_term",
                     (F.col("_maxt") > 1).alias("has_ties"), z.alias("z"))
@@ -252,16 +252,16 @@ def chi2(long: DataFrame, group: list[str], side_col="side", value_col="value")
     cells = ((cp, 0, 0), (cn, 0, 1), (rp, 1, 0), (rn, 1, 1))
     terms = []
     for o, i, j in cells:
-        e = rows[i] * cols[j] / n
+        e = F.try_divide(rows[i] * cols[j], n)
         diff = F.abs(o - e)
-        terms.append((diff - F.least(F.lit(0.5), diff)) ** 2 / e)
+        terms.append(F.try_divide((diff - F.least(F.lit(0.5), diff)) ** 2, e))
     stat = terms[0] + terms[1] + terms[2] + terms[3]
     degenerate = (rows[0] == 0) | (rows[1] == 0) | (cols[0] == 0) | (cols[1] == 0)
     all_zero = n == 0
     return k.select(
         *group, F.lit("chi2").alias("test_name"),
         F.when(all_zero, F.lit(0.0)).when(degenerate, F.lit(None).cast("double")).otherwise(stat).alias("statistic"),
-        F.when(all_zero | degenerate, F.lit(1.0)).otherwise(_chi2_p(stat)).alias("p_value"),
+        F.when(all_zero | degenerate, F.lit(1.0)).otherwise(_chi2_p(F.when(~degenerate, stat))).alias("p_value"),
         F.when(all_zero, F.lit(1.0)).otherwise(odds_ratio(F.col("cn"), F.col("rp"))).alias("effect_size"),
         F.when(all_zero, F.lit(0.0)).otherwise(F.try_divide(cp, cp + cn)).alias("candidate_value"),
         F.when(all_zero, F.lit(0.0)).otherwise(F.try_divide(rp, rp + rn)).alias("threshold_value"),
