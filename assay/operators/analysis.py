@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.numeric import fixed_mean
 from assay.operators.stats import CAND, REF, welch
 
 # fixed values: language code -> label, and the dashboard's metric columns
@@ -77,13 +76,13 @@ def z_scores(long: DataFrame, group: list[str]) -> DataFrame:
 def kpi_cards(df: DataFrame, metrics: list[str]) -> DataFrame:
     """D10 — overall mean and sample std per metric (one aggregate, stacked to long)."""
     return melt(df, [], metrics).filter(F.col("value").isNotNull()).groupBy("metric").agg(
-        fixed_mean("value").alias("mean"), F.stddev_samp("value").alias("std"))
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
 def radar_profile(df: DataFrame, metrics: list[str], group_col: str) -> DataFrame:
     """D11 — mean per metric per group."""
     return (melt(df, [group_col], metrics).filter(F.col("value").isNotNull())
-            .groupBy(group_col, "metric").agg(fixed_mean("value").alias("mean")))
+            .groupBy(group_col, "metric").agg(F.avg("value").alias("mean")))
 
 
 def failure_mode_counts(df: DataFrame, group_col: str) -> DataFrame:
@@ -109,15 +108,15 @@ def complexity_bins(df: DataFrame, metrics: list[str], group_col: str, x_col: st
                     n_bins: int = 5) -> DataFrame:
     """D14 — mean score by equal-width, right-closed bin of ``x_col`` (as pandas.cut with
     an integer bin count): bin = max(1, ceil((x - min) / (max - min) * n)); a constant
-    ``x`` puts every row in the middle bin. Global min/max are scalar subqueries."""
-    lo = df.select(F.min(x_col).cast("double")).scalar()
-    hi = df.select(F.max(x_col).cast("double")).scalar()
+    ``x`` puts every row in the middle bin. Global min and max are one scalar subquery."""
+    ends = df.select(F.struct(F.min(x_col).cast("double").alias("lo"), F.max(x_col).cast("double").alias("hi"))).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     x = F.col(x_col).cast("double")
     b = F.when(hi == lo, F.lit((n_bins + 1) // 2)).otherwise(
         F.greatest(F.lit(1), F.ceil((x - lo) / (hi - lo) * n_bins).cast("int")))
     binned = df.withColumn("complexity_bin", b.cast("int"))
     long = melt(binned, [group_col, "complexity_bin"], metrics)
-    return long.groupBy(group_col, "complexity_bin", "metric").agg(fixed_mean("value").alias("mean")) \
+    return long.groupBy(group_col, "complexity_bin", "metric").agg(F.avg("value").alias("mean")) \
         .filter(F.col("mean").isNotNull())
 
 

@@ -157,11 +157,18 @@ def mann_whitney(long: DataFrame, group: list[str], side_col="side", value_col="
 
 
 def paired(long: DataFrame, group: list[str], side_col="side", id_col="session_id",
-           value_col="value") -> DataFrame:
-    """C6 — align candidate and reference on (group, session): one row per common id."""
-    c = long.filter(F.col(side_col) == CAND).select(*group, id_col, F.col(value_col).alias("cand"))
-    r = long.filter(F.col(side_col) == REF).select(*group, id_col, F.col(value_col).alias("ref"))
-    return c.join(r, [*group, id_col])
+           value_col="value", order: list[str] | None = None) -> DataFrame:
+    """C6 — align candidate and reference on (group, session): one row per id with a value
+    on both sides. Of rows that repeat an id on one side the latest by ``order`` counts
+    (ties, or no order: the largest value)."""
+    def latest(side):
+        here = F.col(side_col) == side
+        if not order:
+            return F.max(F.when(here, F.col(value_col)))
+        return F.max_by(F.when(here, F.col(value_col)), F.when(here, F.struct(*order, value_col)))
+
+    both = long.groupBy(*group, id_col).agg(latest(CAND).alias("cand"), latest(REF).alias("ref"))
+    return both.filter(F.col("cand").isNotNull() & F.col("ref").isNotNull())
 
 
 def wilcoxon_stats(pairs: DataFrame, group: list[str]) -> DataFrame:

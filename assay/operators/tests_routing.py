@@ -86,13 +86,14 @@ def run_all_tests(cand: DataFrame, ref: DataFrame | None, profile: DataFrame, *,
     plan = plan.checkpoint() if plan.sparkSession.sparkContext.getCheckpointDir() else plan
     used = {r["route"] for r in plan.select("route").distinct().collect()}
     parts = []
+    order = [c for c in ("model", "run_id", "attempt") if c in long.columns]  # latest value of a repeated id
     if ref is not None:
         if "wilcoxon" in used:
             pl = long.join(F.broadcast(routed("wilcoxon")), g, "left_semi")
-            parts.append(st.wilcoxon(st.paired(pl, g), g))
+            parts.append(st.wilcoxon(st.paired(pl, g, order=order), g))
         if "mcnemar" in used:
             pb = long.join(F.broadcast(routed("mcnemar")), g, "left_semi")
-            parts.append(st.mcnemar(st.paired(pb, g), g).drop("a", "b", "c", "d"))
+            parts.append(st.mcnemar(st.paired(pb, g, order=order), g).drop("a", "b", "c", "d"))
         if "mannwhitneyu" in used:
             ul = long.join(F.broadcast(routed("mannwhitneyu")), g, "left_semi")
             parts.append(st.mann_whitney(ul, g))

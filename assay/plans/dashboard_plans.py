@@ -1,7 +1,7 @@
 """Medallion, gold and dashboard plans over the driver tables.
 
-raw      documents as the bronze dataset: id=doc_id, question = first line,
-         content = whole text, data_category_QA = lang
+raw      documents as the bronze dataset: id=doc_id, question = whole text in one
+         line, content = whole text, data_category_QA = lang
 preds    scored ``qa`` responses as prediction rows (one attempt per session)
 dash     gold scores LEFT JOIN gold inference on (session_id, run_id, attempt),
          with language labels, text lengths and model_label (C3, A11, B5-B7)
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.numeric import fixed_mean_sql
 from assay.operators import analysis as an
 from assay.plans.qa_plans import SCORED_QA_SQL, scored_qa
 from assay.sources import medallion as md
@@ -30,13 +29,13 @@ VALID_LANGS = ("en", "es", "fr", "de")
 def raw_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"),
-                    F.substring_index(F.col("text"), "\n", 1).alias("question"),
+                    F.translate("text", "\n", " ").alias("question"),
                     F.col("lang").alias("data_category_QA"), F.col("source").alias("name"))
 
 
 RAW_SQL = """raw AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, text AS content,
-         CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS question,
+         replace(text, chr(10), ' ') AS question,
          lang AS data_category_QA, source AS name
   FROM documents
 )"""
@@ -225,7 +224,7 @@ _DASH_PRESENT = ["correctness", "guidelines", "class_exact_match", "refusal_dete
 
 KPI_SQL = "WITH " + DASH_SQL + f""",
 long AS {_melt_sql('dash', '', _DASH_PRESENT)}
-SELECT metric, round({fixed_mean_sql('value')}, 6) AS mean, round(stddev_samp(value), 6) AS std
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
 FROM long GROUP BY metric"""
 
 
@@ -237,7 +236,7 @@ def radar_query(spark, sf_dir):
 
 RADAR_SQL = "WITH " + DASH_SQL + f""",
 long AS {_melt_sql('dash', 'model_label', _DASH_PRESENT)}
-SELECT model_label, metric, round({fixed_mean_sql('value')}, 6) AS mean FROM long GROUP BY model_label, metric"""
+SELECT model_label, metric, round(avg(value), 6) AS mean FROM long GROUP BY model_label, metric"""
 
 
 def failure_bars_query(spark, sf_dir):
@@ -266,20 +265,20 @@ SELECT refusal_label AS source, failure_mode AS target, count(*) AS value, 2 AS
 
 def complexity_query(spark, sf_dir):
     """Mean score per model and equal-width input-length bin."""
-    c = an.complexity_bins(dash_frame(spark, sf_dir), STAT_METRICS, "model_label", x_col="output_len")
+    c = an.complexity_bins(dash_frame(spark, sf_dir), STAT_METRICS, "model_label")
     return c.select("model_label", "complexity_bin", "metric", _r6("mean").alias("mean"))
 
 
 COMPLEXITY_SQL = "WITH " + DASH_SQL + f""",
-mm AS (SELECT CAST(min(output_len) AS DOUBLE) AS lo, CAST(max(output_len) AS DOUBLE) AS hi FROM dash),
+mm AS (SELECT CAST(min(input_len) AS DOUBLE) AS lo, CAST(max(input_len) AS DOUBLE) AS hi FROM dash),
 b AS (
   SELECT d.*, CAST(CASE WHEN mm.hi = mm.lo THEN 3
-                   ELSE greatest(1, CAST(ceil((output_len - mm.lo) / (mm.hi - mm.lo) * 5) AS INTEGER)) END AS INTEGER)
+                   ELSE greatest(1, CAST(ceil((input_len - mm.lo) / (mm.hi - mm.lo) * 5) AS INTEGER)) END AS INTEGER)
                 AS complexity_bin
   FROM dash d, mm
 ),
 long AS {_melt_sql('b', 'model_label, complexity_bin', STAT_METRICS)}
-SELECT model_label, complexity_bin, metric, round({fixed_mean_sql('value')}, 6) AS mean
+SELECT model_label, complexity_bin, metric, round(avg(value), 6) AS mean
 FROM long GROUP BY model_label, complexity_bin, metric HAVING avg(value) IS NOT NULL"""
 
 

@@ -15,7 +15,9 @@ from assay.operators.aggregate import aggregate_scores, unpivot_metrics
 from assay.operators.lexicon_scores import lexicon_scores
 from assay.operators.verdict import critical_metrics, rule_verdict, statistical_verdict
 from assay.plans.dashboard_plans import PREDS_SQL, md_typed, predictions
-from assay.plans.verdict_plans import ALPHA, BOOTSTRAP_B, PERCENTILE, SEED, profile_from, scores_long
+from assay.plans.qa_plans import QA_METRICS
+from assay.plans.verdict_plans import (ALPHA, BOOTSTRAP_B, PERCENTILE, REFERENCE_MODELS, SEED,
+                                       profile_from, scores_long)
 from assay.sources import medallion as md
 from assay.sources.profile_io import load_profile, profile_document, save_profile
 from assay.sources.tables import read_table
@@ -61,9 +63,12 @@ def profile_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6 + I13/I14/I18: derive the threshold profile, save it as JSON, load it back."""
     long = scores_long(spark, sf_dir)
     flat = profile_from(long).checkpoint()
-    n_sessions = long.select("session_id").distinct().count()
+    # one row of each response of the reference runs (sessions are summed over runs), and the run names
+    ref = long.filter(F.col("is_reference") & (F.col("metric") == QA_METRICS[0]))
+    n_sessions = ref.count()
+    run_ids = sorted(r["run_id"] for r in ref.select(F.concat(F.lit("run-"), "model").alias("run_id")).distinct().collect())
     doc = profile_document(flat, created_at="2024-01-01T00:00:00+00:00", benchmark="driver-qa",
-                           reference_models=["even sources"], reference_run_ids=[], total_sessions=n_sessions,
+                           reference_models=list(REFERENCE_MODELS), reference_run_ids=run_ids, total_sessions=n_sessions,
                            bootstrap_b=BOOTSTRAP_B, seed=SEED, percentile=PERCENTILE, alpha=ALPHA)
     path = _scratch(spark, "profile")
     save_profile(doc, path)
@@ -122,7 +127,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, with_statistical: bool = True
     """J6 — scored responses -> per-category breakdown -> rule verdict per model, plus
     the statistical verdict of the candidate runs when a profile can be derived (J5:
     no profile or no candidate rows -> the statistical columns stay NULL)."""
-    from assay.plans.qa_plans import QA_METRICS, scored_qa
+    from assay.plans.qa_plans import scored_qa
     from assay.plans.verdict_plans import hypothesis_tests
     long = unpivot_metrics(scored_qa(spark, sf_dir), ["model", "category", "session_id"], QA_METRICS)
     rule = rule_verdict(aggregate_scores(long, ["model", "category"]), ["model"])

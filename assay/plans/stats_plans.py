@@ -16,11 +16,11 @@ from assay.operators import stats as st
 from assay.sources.views import BINARY_SQL, LINES_SQL, SCORES_SQL, binary, lines, scores
 
 # fixed parameters of the registered stats queries
-EVENT_CAND, EVENT_REF = "click", "view"
-LINE_CAND, LINE_REF = "A", "N"
-ORDER_CAND, ORDER_REF = "1-URGENT", "2-HIGH"
+EVENT_REF = "view"
+LINE_REF = "N"
+ORDER_REF = "2-HIGH"
 LINE_METRICS = ["quantity", "discount", "tax"]
-G = ["category", "metric"]
+G = ["model", "category", "metric"]
 
 
 def _r6(c):
@@ -28,66 +28,68 @@ def _r6(c):
 
 
 # ------------------------------------------------------------------ long inputs
+def against(rows: DataFrame, reference: str) -> DataFrame:
+    """Every model but the reference as a candidate: its rows, and beside them the
+    reference's rows of each category that the model has."""
+    cand = rows.filter(F.col("model") != reference)
+    models = cand.select("category", "model").distinct()
+    ref = rows.filter(F.col("model") == reference).drop("model").join(models, "category")
+    return cand.withColumn("side", F.lit(st.CAND)).unionByName(ref.withColumn("side", F.lit(st.REF)))
+
+
+def _against_sql(src: str, reference: str, cols: str) -> str:
+    return f"""SELECT model, category, 'candidate' AS side, {cols} FROM {src} WHERE model <> '{reference}'
+  UNION ALL
+  SELECT m.model, m.category, 'reference' AS side, {cols}
+  FROM (SELECT category AS of, {cols} FROM {src} WHERE model = '{reference}') r
+  JOIN (SELECT DISTINCT model, category FROM {src} WHERE model <> '{reference}') m ON m.category = r.of"""
+
+
 def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scores(spark, sf_dir).filter(F.col("model").isin(EVENT_CAND, EVENT_REF))
-    return s.select("category", F.lit("event_value").alias("metric"),
-                    F.when(F.col("model") == EVENT_CAND, st.CAND).otherwise(st.REF).alias("side"),
-                    "session_id", "value")
+    s = scores(spark, sf_dir).select("model", "category", "session_id", "value")
+    return against(s, EVENT_REF).withColumn("metric", F.lit("event_value"))
 
 
 EVENTS_LONG_SQL = SCORES_SQL + f""",
 ev_long AS (
-  SELECT category, 'event_value' AS metric,
-         CASE WHEN model = '{EVENT_CAND}' THEN 'candidate' ELSE 'reference' END AS side, session_id, value
-  FROM scores WHERE model IN ('{EVENT_CAND}', '{EVENT_REF}')
+  SELECT *, 'event_value' AS metric FROM ({_against_sql("scores", EVENT_REF, "session_id, value")})
 )"""
 
 
 def lines_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = lines(spark, sf_dir).filter(F.col("model").isin(LINE_CAND, LINE_REF))
-    w = li.select("category", F.when(F.col("model") == LINE_CAND, st.CAND).otherwise(st.REF).alias("side"),
-                  "session_id", *LINE_METRICS)
-    return w.unpivot(["category", "side", "session_id"], LINE_METRICS, "metric", "value")
+    w = against(lines(spark, sf_dir).select("model", "category", "session_id", *LINE_METRICS), LINE_REF)
+    return w.unpivot(["model", "category", "side", "session_id"], LINE_METRICS, "metric", "value")
 
 
 LINES_LONG_SQL = LINES_SQL + f""",
 li_long AS (
-  SELECT category, side, session_id, metric, value FROM (
-    UNPIVOT (SELECT category, CASE WHEN model = '{LINE_CAND}' THEN 'candidate' ELSE 'reference' END AS side,
-                    session_id, {', '.join(LINE_METRICS)}
-             FROM lines WHERE model IN ('{LINE_CAND}', '{LINE_REF}'))
+  SELECT model, category, side, session_id, metric, value FROM (
+    UNPIVOT ({_against_sql("lines", LINE_REF, "session_id, " + ", ".join(LINE_METRICS))})
     ON {', '.join(LINE_METRICS)} INTO NAME metric VALUE value)
 )"""
 
 
 def orders_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per customer: did any urgent / any high-priority order finish (max flag)."""
-    b = binary(spark, sf_dir).filter(F.col("model").isin(ORDER_CAND, ORDER_REF))
-    per = b.groupBy("custkey").agg(
-        F.max(F.when(F.col("model") == ORDER_CAND, F.col("flag"))).alias("cand"),
-        F.max(F.when(F.col("model") == ORDER_REF, F.col("flag"))).alias("ref"))
-    return per.filter(F.col("cand").isNotNull() & F.col("ref").isNotNull()).select(
-        F.lit("orders").alias("category"), F.lit("finished").alias("metric"),
-        F.col("custkey").alias("session_id"), "cand", "ref")
+    """Per customer and priority: did any order finish (max flag); each priority but the
+    reference's is paired with it."""
+    b = binary(spark, sf_dir).select("model", F.lit("orders").alias("category"), F.lit("finished").alias("metric"),
+                                     F.col("custkey").alias("session_id"), F.col("flag").alias("value"))
+    return st.paired(against(b, ORDER_REF), G)
 
 
 ORDERS_PAIRED_SQL = BINARY_SQL + f""",
-per_cust AS (
-  SELECT custkey, max(CASE WHEN model = '{ORDER_CAND}' THEN flag END) AS cand,
-         max(CASE WHEN model = '{ORDER_REF}' THEN flag END) AS ref
-  FROM binary_v WHERE model IN ('{ORDER_CAND}', '{ORDER_REF}') GROUP BY custkey
-),
+per_cust AS (SELECT custkey, model, max(flag) AS flag FROM binary_v GROUP BY custkey, model),
 o_pairs AS (
-  SELECT 'orders' AS category, 'finished' AS metric, custkey AS session_id, cand, ref
-  FROM per_cust WHERE cand IS NOT NULL AND ref IS NOT NULL
+  SELECT c.model, 'orders' AS category, 'finished' AS metric, c.custkey AS session_id, c.flag AS cand, r.flag AS ref
+  FROM per_cust c JOIN per_cust r ON r.custkey = c.custkey AND r.model = '{ORDER_REF}' AND c.model <> '{ORDER_REF}'
+  WHERE c.flag IS NOT NULL AND r.flag IS NOT NULL
 )"""
 
 
 def orders_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = binary(spark, sf_dir).filter(F.col("model").isin(ORDER_CAND, ORDER_REF))
-    return b.select(F.lit("orders").alias("category"), F.lit("finished").alias("metric"),
-                    F.when(F.col("model") == ORDER_CAND, st.CAND).otherwise(st.REF).alias("side"),
-                    "session_id", F.col("flag").alias("value"))
+    b = binary(spark, sf_dir).select("model", F.lit("orders").alias("category"), F.lit("finished").alias("metric"),
+                                     "session_id", F.col("flag").alias("value"))
+    return against(b, ORDER_REF)
 
 
 # ------------------------------------------------------------------- queries
@@ -114,26 +116,26 @@ _COHEN_SQL = """CASE WHEN {n1} < 2 OR {n2} < 2 THEN 0.0 ELSE ({m1} - {m2}) / (CA
 
 WILCOXON_STATS_SQL = "WITH " + EVENTS_LONG_SQL + """,
 pairs AS (
-  SELECT c.category, c.metric, c.session_id, c.value AS cand, r.value AS ref
-  FROM ev_long c JOIN ev_long r ON c.category = r.category AND c.metric = r.metric
+  SELECT c.model, c.category, c.metric, c.session_id, c.value AS cand, r.value AS ref
+  FROM ev_long c JOIN ev_long r ON c.model = r.model AND c.category = r.category AND c.metric = r.metric
    AND c.session_id = r.session_id AND c.side = 'candidate' AND r.side = 'reference'
 ),
 base AS (
-  SELECT category, metric, count(*) AS n, avg(cand) AS m1, var_samp(cand) AS v1,
-         avg(ref) AS m2, var_samp(ref) AS v2 FROM pairs GROUP BY category, metric
+  SELECT model, category, metric, count(*) AS n, avg(cand) AS m1, var_samp(cand) AS v1,
+         avg(ref) AS m2, var_samp(ref) AS v2 FROM pairs GROUP BY model, category, metric
 ),
-d AS (SELECT category, metric, cand - ref AS d FROM pairs WHERE cand - ref <> 0),
+d AS (SELECT model, category, metric, cand - ref AS d FROM pairs WHERE cand - ref <> 0),
 hist AS (
-  SELECT category, metric, abs(d) AS absd, count(*) FILTER (WHERE d > 0) AS pos,
+  SELECT model, category, metric, abs(d) AS absd, count(*) FILTER (WHERE d > 0) AS pos,
          count(*) FILTER (WHERE d < 0) AS neg, count(*) AS t
-  FROM d GROUP BY category, metric, abs(d)
+  FROM d GROUP BY model, category, metric, abs(d)
 ),
-ranked AS (SELECT *, """ + _midrank_sql("hist", "category, metric", "absd") + """ AS midrank FROM hist),
+ranked AS (SELECT *, """ + _midrank_sql("hist", "model, category, metric", "absd") + """ AS midrank FROM hist),
 g AS (
-  SELECT category, metric, sum(t) AS n_nonzero, sum(pos * midrank) AS w_plus, sum(neg * midrank) AS w_minus,
-         sum(t * t * t - t) AS tie_term FROM ranked GROUP BY category, metric
+  SELECT model, category, metric, sum(t) AS n_nonzero, sum(pos * midrank) AS w_plus, sum(neg * midrank) AS w_minus,
+         sum(t * t * t - t) AS tie_term FROM ranked GROUP BY model, category, metric
 )
-SELECT b.category, b.metric, b.n AS sample_size_candidate, CAST(g.n_nonzero AS BIGINT) AS n_nonzero,
+SELECT b.model, b.category, b.metric, b.n AS sample_size_candidate, CAST(g.n_nonzero AS BIGINT) AS n_nonzero,
        round(g.w_plus, 6) AS w_plus, round(g.w_minus, 6) AS w_minus,
        round(coalesce(least(g.w_plus, g.w_minus), 0.0), 6) AS statistic, CAST(g.tie_term AS BIGINT) AS tie_term,
        round((least(g.w_plus, g.w_minus) - g.n_nonzero * (g.n_nonzero + 1) / 4.0)
@@ -141,7 +143,7 @@ SELECT b.category, b.metric, b.n AS sample_size_candidate, CAST(g.n_nonzero AS B
        round(""" + _COHEN_SQL.format(n1="b.n", n2="b.n", m1="b.m1", m2="b.m2", v1="b.v1", v2="b.v2") + """, 6)
          AS effect_size,
        round(b.m1, 6) AS candidate_value, round(b.m2, 6) AS threshold_value
-FROM base b LEFT JOIN g ON g.category = b.category AND g.metric = b.metric"""
+FROM base b LEFT JOIN g ON g.model = b.model AND g.category = b.category AND g.metric = b.metric"""
 
 
 def wilcoxon_test_query(spark, sf_dir):
@@ -162,28 +164,28 @@ def mannwhitney_stats_query(spark, sf_dir):
 
 MANNWHITNEY_STATS_SQL = "WITH " + LINES_LONG_SQL + """,
 hist AS (
-  SELECT category, metric, value, count(*) FILTER (WHERE side = 'candidate') AS c1,
+  SELECT model, category, metric, value, count(*) FILTER (WHERE side = 'candidate') AS c1,
          count(*) FILTER (WHERE side = 'reference') AS c2, count(*) AS t
-  FROM li_long GROUP BY category, metric, value
+  FROM li_long GROUP BY model, category, metric, value
 ),
-ranked AS (SELECT *, """ + _midrank_sql("hist", "category, metric", "value") + """ AS midrank FROM hist),
+ranked AS (SELECT *, """ + _midrank_sql("hist", "model, category, metric", "value") + """ AS midrank FROM hist),
 g AS (
-  SELECT category, metric, CAST(sum(c1) AS BIGINT) AS n1, CAST(sum(c2) AS BIGINT) AS n2,
+  SELECT model, category, metric, CAST(sum(c1) AS BIGINT) AS n1, CAST(sum(c2) AS BIGINT) AS n2,
          sum(c1 * midrank) AS r1, sum(t * t * t - t) AS tie_term, max(t) > 1 AS has_ties
-  FROM ranked GROUP BY category, metric
+  FROM ranked GROUP BY model, category, metric
 ),
 mo AS (
-  SELECT category, metric,
+  SELECT model, category, metric,
          avg(value) FILTER (WHERE side = 'candidate') AS m1, var_samp(value) FILTER (WHERE side = 'candidate') AS v1,
          avg(value) FILTER (WHERE side = 'reference') AS m2, var_samp(value) FILTER (WHERE side = 'reference') AS v2
-  FROM li_long GROUP BY category, metric
+  FROM li_long GROUP BY model, category, metric
 ),
 u AS (
   SELECT g.*, mo.m1, mo.v1, mo.m2, mo.v2, g.r1 - g.n1 * (g.n1 + 1) / 2.0 AS u1,
          sqrt(g.n1 * g.n2 / 12.0 * ((g.n1 + g.n2 + 1) - g.tie_term / ((g.n1 + g.n2) * (g.n1 + g.n2 - 1.0)))) AS sigma
-  FROM g JOIN mo USING (category, metric)
+  FROM g JOIN mo USING (model, category, metric)
 )
-SELECT category, metric, n1, n2, round(u1, 6) AS u_statistic, CAST(tie_term AS BIGINT) AS tie_term, has_ties,
+SELECT model, category, metric, n1, n2, round(u1, 6) AS u_statistic, CAST(tie_term AS BIGINT) AS tie_term, has_ties,
        round((abs(u1 - n1 * n2 / 2.0) - 0.5) / sigma, 6) AS z,
        round(""" + _COHEN_SQL.format(n1="n1", n2="n2", m1="m1", m2="m2", v1="v1", v2="v2") + """, 6) AS effect_size,
        round(m1, 6) AS candidate_value, round(m2, 6) AS threshold_value
@@ -205,13 +207,13 @@ def mcnemar_query(spark, sf_dir):
 
 MCNEMAR_SQL = "WITH " + ORDERS_PAIRED_SQL + """,
 k AS (
-  SELECT category, metric,
+  SELECT model, category, metric,
          count(*) FILTER (WHERE cand = 1 AND ref = 1) AS a, count(*) FILTER (WHERE cand = 1 AND ref <> 1) AS b,
          count(*) FILTER (WHERE cand <> 1 AND ref = 1) AS c, count(*) FILTER (WHERE cand <> 1 AND ref <> 1) AS d,
          avg(cand) AS cv, avg(ref) AS tv, count(*) AS n
-  FROM o_pairs GROUP BY category, metric
+  FROM o_pairs GROUP BY model, category, metric
 )
-SELECT category, metric, a, b, c, d,
+SELECT model, category, metric, a, b, c, d,
        round(CASE WHEN b + c < 25 THEN least(b, c) ELSE (abs(b - c) - 1.0) ^ 2 / (b + c) END, 6) AS statistic,
        round(CASE WHEN b = 0 OR c = 0 THEN (b + 0.5) / (c + 0.5) ELSE b / c END, 6) AS effect_size,
        round(cv, 6) AS candidate_value, round(tv, 6) AS threshold_value, n AS sample_size_candidate
@@ -233,12 +235,13 @@ def chi2_query(spark, sf_dir):
 
 CHI2_SQL = "WITH " + BINARY_SQL + f""",
 k AS (
-  SELECT 'orders' AS category, 'finished' AS metric,
-         CAST(count(*) FILTER (WHERE model = '{ORDER_CAND}' AND flag = 1) AS DOUBLE) AS cp,
-         CAST(count(*) FILTER (WHERE model = '{ORDER_CAND}' AND flag <> 1) AS DOUBLE) AS cn,
-         CAST(count(*) FILTER (WHERE model = '{ORDER_REF}' AND flag = 1) AS DOUBLE) AS rp,
-         CAST(count(*) FILTER (WHERE model = '{ORDER_REF}' AND flag <> 1) AS DOUBLE) AS rn
-  FROM binary_v WHERE model IN ('{ORDER_CAND}', '{ORDER_REF}')
+  SELECT c.model, 'orders' AS category, 'finished' AS metric, c.cp, c.cn, r.rp, r.rn
+  FROM (SELECT model, CAST(count(*) FILTER (WHERE flag = 1) AS DOUBLE) AS cp,
+               CAST(count(*) FILTER (WHERE flag <> 1) AS DOUBLE) AS cn
+        FROM binary_v WHERE model <> '{ORDER_REF}' GROUP BY model) c,
+       (SELECT CAST(count(*) FILTER (WHERE flag = 1) AS DOUBLE) AS rp,
+               CAST(count(*) FILTER (WHERE flag <> 1) AS DOUBLE) AS rn
+        FROM binary_v WHERE model = '{ORDER_REF}') r
 ),
 e AS (
   SELECT *, cp + cn + rp + rn AS n,
@@ -246,7 +249,7 @@ e AS (
          (rp + rn) * (cp + rp) / (cp + cn + rp + rn) AS e_rp, (rp + rn) * (cn + rn) / (cp + cn + rp + rn) AS e_rn
   FROM k
 )
-SELECT category, metric,
+SELECT model, category, metric,
   round((abs(cp - e_cp) - least(0.5, abs(cp - e_cp))) ^ 2 / e_cp + (abs(cn - e_cn) - least(0.5, abs(cn - e_cn))) ^ 2 / e_cn
       + (abs(rp - e_rp) - least(0.5, abs(rp - e_rp))) ^ 2 / e_rp + (abs(rn - e_rn) - least(0.5, abs(rn - e_rn))) ^ 2 / e_rn, 6)
     AS statistic,
@@ -264,23 +267,24 @@ def chi2_test_query(spark, sf_dir):
 
 
 def pairing_query(spark, sf_dir):
-    """Share of candidate ids also present in the reference, per category."""
+    """Share of candidate ids also present in the reference, per model and category."""
     from assay.operators.tests_routing import detect_pairing
     long = lines_long(spark, sf_dir).filter(F.col("metric") == "quantity")
-    cand = long.filter(F.col("side") == st.CAND).select("category", "session_id")
-    ref = long.filter(F.col("side") == st.REF).select("category", "session_id")
-    p = detect_pairing(cand, ref, ["category"])
-    return p.select("category", "n_candidate", "n_common", _r6("overlap_ratio").alias("overlap_ratio"), "is_paired")
+    cand = long.filter(F.col("side") == st.CAND).select("model", "category", "session_id")
+    ref = long.filter(F.col("side") == st.REF).select("model", "category", "session_id")
+    p = detect_pairing(cand, ref, ["model", "category"])
+    return p.select("model", "category", "n_candidate", "n_common", _r6("overlap_ratio").alias("overlap_ratio"), "is_paired")
 
 
 PAIRING_SQL = "WITH " + LINES_LONG_SQL + """,
-c AS (SELECT DISTINCT category, session_id FROM li_long WHERE metric = 'quantity' AND side = 'candidate'),
-r AS (SELECT DISTINCT category, session_id FROM li_long WHERE metric = 'quantity' AND side = 'reference'),
+c AS (SELECT DISTINCT model, category, session_id FROM li_long WHERE metric = 'quantity' AND side = 'candidate'),
+r AS (SELECT DISTINCT model, category, session_id FROM li_long WHERE metric = 'quantity' AND side = 'reference'),
 j AS (
-  SELECT c.category, count(*) AS n_candidate, count(r.session_id) AS n_common
-  FROM c LEFT JOIN r ON r.category = c.category AND r.session_id = c.session_id GROUP BY c.category
+  SELECT c.model, c.category, count(*) AS n_candidate, count(r.session_id) AS n_common
+  FROM c LEFT JOIN r ON r.model = c.model AND r.category = c.category AND r.session_id = c.session_id
+  GROUP BY c.model, c.category
 )
-SELECT category, n_candidate, n_common, round(n_common / n_candidate, 6) AS overlap_ratio,
+SELECT model, category, n_candidate, n_common, round(n_common / n_candidate, 6) AS overlap_ratio,
        n_common / n_candidate >= 0.8 AS is_paired
 FROM j"""
 
@@ -310,7 +314,7 @@ FROM a"""
 
 
 def welch_query(spark, sf_dir):
-    """I16 statistics (t, df) for every lineitem metric, A vs N per category."""
+    """I16 statistics (t, df) for every lineitem metric and category, each return flag against N."""
     w = st.welch(lines_long(spark, sf_dir), G)
     return w.select(*G, "n1", "n2", _r6("m1").alias("mean_a"), _r6("m2").alias("mean_b"),
                     _r6("t_statistic").alias("t_statistic"), _r6("df").alias("df"))
@@ -318,14 +322,14 @@ def welch_query(spark, sf_dir):
 
 WELCH_SQL = "WITH " + LINES_LONG_SQL + """,
 m AS (
-  SELECT category, metric,
+  SELECT model, category, metric,
          count(value) FILTER (WHERE side = 'candidate') AS n1, avg(value) FILTER (WHERE side = 'candidate') AS m1,
          var_samp(value) FILTER (WHERE side = 'candidate') AS v1,
          count(value) FILTER (WHERE side = 'reference') AS n2, avg(value) FILTER (WHERE side = 'reference') AS m2,
          var_samp(value) FILTER (WHERE side = 'reference') AS v2
-  FROM li_long GROUP BY category, metric
+  FROM li_long GROUP BY model, category, metric
 )
-SELECT category, metric, n1, n2, round(m1, 6) AS mean_a, round(m2, 6) AS mean_b,
+SELECT model, category, metric, n1, n2, round(m1, 6) AS mean_a, round(m2, 6) AS mean_b,
        round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t_statistic,
        round((v1 / n1 + v2 / n2) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v2 / n2) ^ 2 / (n2 - 1)), 6) AS df
 FROM m"""

@@ -1,7 +1,7 @@
 """derive-thresholds -> hypothesis tests -> statistical verdict, on the ``qa`` view.
 
-Reference runs are the responses of even-numbered sources, candidate runs those
-of odd-numbered sources (both cover every labelled document of their sources).
+Reference runs are the responses of the reference models, candidate runs those of all
+other models (both cover every document of their sources).
 The scores are gated (D5/D6) before anything else.
 """
 
@@ -22,13 +22,15 @@ BOOTSTRAP_B = 10_000
 SEED = 42
 PERCENTILE = 5
 ALPHA = 0.05
+REFERENCE_MODELS = tuple(f"src{i}" for i in range(0, 20, 2))
 
 
-def _is_reference(model_col="model"):
-    return F.pmod(F.regexp_extract(F.col(model_col), r"(\d+)$", 1).cast("int"), F.lit(2)) == 0
+def is_reference(models=REFERENCE_MODELS, model_col="model"):
+    """Whether a row's model is one of the reference models (false without a model)."""
+    return F.coalesce(F.col(model_col).isin(*models), F.lit(False))
 
 
-def scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores_long(spark: SparkSession, sf_dir: str, reference_models=REFERENCE_MODELS) -> DataFrame:
     """Scored responses as a long table, written once to the checkpoint folder.
 
     Everything downstream (profile, tests, verdict) reads this table, so the
@@ -36,8 +38,8 @@ def scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     executor lost later recomputes from the checkpoint, not from the text.
     """
     ensure_checkpoint_dir(spark)
-    s = scored_qa(spark, sf_dir).withColumn("is_reference", _is_reference())
-    long = unpivot_metrics(s, ["is_reference", "category", "session_id"], QA_METRICS, name_col="metric",
+    s = scored_qa(spark, sf_dir).withColumn("is_reference", is_reference(reference_models))
+    long = unpivot_metrics(s, ["is_reference", "model", "category", "session_id"], QA_METRICS, name_col="metric",
                            drop_nulls=False)
     return long.checkpoint()
 

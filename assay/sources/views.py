@@ -4,7 +4,7 @@ Each view is a lazy DataFrame built with joins/windows on the given tables, so
 its work grows with them. Next to each builder is the equivalent DuckDB SQL
 (``*_SQL``) that the oracle queries use as a CTE.
 
-qa        documents ⋈ labels ⋈ benchmark: one scored response per labelled doc.
+qa        documents with their labels and benchmark passages: one response per document.
 attempts  conversations: assistant turns are attempts of a session, the
           question is the latest user turn before the attempt, the reference
           the first user turn of the conversation (when it precedes the attempt).
@@ -29,33 +29,39 @@ def _bench_count(spark: SparkSession, sf_dir: str):
     return read_table(spark, sf_dir, "benchmark").select(F.count(F.lit(1))).scalar()
 
 
+#: Category of the documents that have no label.
+UNLABELLED = "unlabelled"
+
+
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One response per labelled document.
+    """One response per document.
 
     response  = document text (whole)
-    question  = the benchmark passage the document is paired with
-    reference = the benchmark passage for every fourth document, else an
-                excerpt of the document whose length is 10-99 % of it
-    category  = positivo when the quality label is 1, else negativo
+    question  = the benchmark passage the document is paired with (empty if there is none)
+    reference = the question for every fourth document, else the whole document without
+                every j-th sentence, j = 2 to 10
+    category  = positivo when the quality label is 1, unlabelled without a label, else negativo
     """
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     b = read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id"), F.col("text").alias("bench_text"))
-    excerpt_len = F.floor(F.length("text") * (F.lit(10) + F.pmod(F.col("doc_id") * 37, F.lit(90))) / 100)
+    nth = F.pmod(F.col("doc_id"), F.lit(9)) + 2
+    kept = F.filter(F.split("text", r"\. "), lambda x, i: (i + 1) % nth != 0)
+    question = F.coalesce("bench_text", F.lit(""))
     return (
-        d.join(lab, "doc_id")
+        d.join(lab, "doc_id", "left")
         .withColumn("item_id", F.pmod(F.col("doc_id"), _bench_count(spark, sf_dir)))
-        .join(b, "item_id")
+        .join(b, "item_id", "left")
         .select(
             F.col("doc_id").alias("session_id"),
             F.col("source").alias("model"),
             F.col("lang").alias("language"),
-            F.when(F.col("quality") == 1, "positivo").otherwise("negativo").alias("category"),
-            F.col("bench_text").alias("question"),
+            F.when(F.col("quality") == 1, "positivo").when(F.col("quality").isNull(), UNLABELLED)
+            .otherwise("negativo").alias("category"),
+            question.alias("question"),
             F.col("text").alias("response"),
-            F.when(F.pmod(F.col("doc_id"), F.lit(4)) == 0, F.col("bench_text"))
-            .otherwise(F.substr(F.col("text"), F.lit(1), excerpt_len.cast("int")))
+            F.when(F.pmod(F.col("doc_id"), F.lit(4)) == 0, question).otherwise(F.array_join(kept, ". "))
             .alias("reference"),
         )
     )
@@ -63,14 +69,14 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QA_SQL = """qa AS (
   SELECT d.doc_id AS session_id, d.source AS model, d.lang AS language,
-         CASE WHEN l.quality = 1 THEN 'positivo' ELSE 'negativo' END AS category,
-         b.text AS question, d.text AS response,
-         CASE WHEN d.doc_id % 4 = 0 THEN b.text
-              ELSE substr(d.text, 1, CAST(floor(length(d.text) * (10 + (d.doc_id * 37) % 90) / 100) AS INTEGER))
+         CASE WHEN l.quality = 1 THEN 'positivo' WHEN l.quality IS NULL THEN 'unlabelled' ELSE 'negativo' END AS category,
+         coalesce(b.text, '') AS question, d.text AS response,
+         CASE WHEN d.doc_id % 4 = 0 THEN coalesce(b.text, '')
+              ELSE array_to_string(list_filter(string_split(d.text, '. '), lambda x, i: i % (d.doc_id % 9 + 2) <> 0), '. ')
          END AS reference
   FROM documents d
-  JOIN labels l ON l.doc_id = d.doc_id
-  JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
+  LEFT JOIN labels l ON l.doc_id = d.doc_id
+  LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
 )"""
 
 

@@ -84,6 +84,24 @@ def test_wilcoxon_brute_force_and_degenerate(spark):
     assert r["statistic"] == 0.0 and r["p_value"] == 1.0
 
 
+def test_paired_keeps_one_value_per_id(spark):
+    """Reference rows that repeat an id give one pair, with the latest value."""
+    data = [("g", "m", st.CAND, "c", i, 0.1 * i) for i in range(20)]
+    data += [("g", "m", st.REF, run, i, v) for i in range(20) for run, v in (("r1", 9.0), ("r2", float(i)))]
+    data += [("g", "m", st.REF, "r1", 99, 1.0)]
+    df = spark.createDataFrame(data, "category string, metric string, side string, run_id string, session_id long, value double")
+    out = rows(st.paired(df, ["category", "metric"], order=["run_id"]))
+    assert len(out) == 20 and all(r["ref"] == float(r["session_id"]) for r in out)
+    assert len(rows(st.paired(df, ["category", "metric"]))) == 20
+
+
+def test_reference_models_by_name(spark):
+    from assay.plans.verdict_plans import is_reference
+    df = spark.createDataFrame([("base",), ("large-v2",), (None,), ("src1",)], "model string")
+    got = [r["x"] for r in df.select(is_reference(("base", "src1")).alias("x")).collect()]
+    assert got == [True, False, False, True]
+
+
 def test_mcnemar_exact_and_identical(spark):
     pairs = [(1.0, 0.0)] * 7 + [(0.0, 1.0)] * 1 + [(1.0, 1.0)] * 2
     df = spark.createDataFrame([("g", "m", i, c, r) for i, (c, r) in enumerate(pairs)],
