@@ -56,8 +56,8 @@ FROM raw WHERE question IS NOT NULL AND question <> '' AND content IS NOT NULL
 
 def weighted_sample_query(spark, sf_dir):
     """F1 + E2: weighted sample of the silver records (ids only)."""
-    s = md.silver(raw_dataset(spark, sf_dir))
-    return md.weighted_sample(s, SAMPLE_FRACTION, SAMPLE_SEED).select("id", "data_category_QA")
+    s = md.silver(raw_dataset(spark, sf_dir)).select("id", "data_category_QA")  # no texts in the ranking
+    return md.weighted_sample(s, SAMPLE_FRACTION, SAMPLE_SEED)
 
 
 WEIGHTED_SAMPLE_SQL = "WITH " + RAW_SQL + f""",
@@ -76,7 +76,7 @@ LIMIT (SELECT CAST(floor(count(*) * {SAMPLE_FRACTION}) AS BIGINT) FROM s)"""
 
 def sample_report_query(spark, sf_dir):
     """Per category counts before and after sampling."""
-    s = md.silver(raw_dataset(spark, sf_dir))
+    s = md.silver(raw_dataset(spark, sf_dir)).select("id", "data_category_QA")
     return md.sample_report(s, md.weighted_sample(s, SAMPLE_FRACTION, SAMPLE_SEED))
 
 
