@@ -65,7 +65,7 @@ def uniform_from_key(key) -> F.Column:
     return (h + 0.5) / float(16 ** 13)
 
 
-def top_n_exact(df: DataFrame, key: str, tie: str, n, num_partitions: int = 8) -> DataFrame:
+def top_n_exact(df: DataFrame, key: str, tie: str, n, num_partitions: int | None = None) -> DataFrame:
     """Exact top-``n`` rows by ``key`` desc (``tie`` asc), without a single-task sort.
 
     Range-partition on the order (checkpointed, so partition ids are stable),
@@ -74,6 +74,7 @@ def top_n_exact(df: DataFrame, key: str, tie: str, n, num_partitions: int = 8) -
     partition) is at most ``n``.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    num_partitions = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(num_partitions, F.col(key).desc(), F.col(tie).asc()).checkpoint()
     with_pid = ranged.withColumn("_pid", F.spark_partition_id())
     counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
@@ -87,7 +88,7 @@ def top_n_exact(df: DataFrame, key: str, tie: str, n, num_partitions: int = 8) -
 
 def weighted_sample(df: DataFrame, fraction: float, seed: int, id_col: str = "id",
                     category_col: str = "data_category_QA", proportional: bool = False,
-                    num_partitions: int = 8) -> DataFrame:
+                    num_partitions: int | None = None) -> DataFrame:
     """F1 — weighted sample without replacement of exactly int(N * fraction) rows.
 
     Weight = 1 / count(category) (E2), so every category gets equal mass (the
@@ -99,7 +100,9 @@ def weighted_sample(df: DataFrame, fraction: float, seed: int, id_col: str = "id
     n = F.floor(df.select(F.count(F.lit(1)).cast("double")).scalar() * F.lit(fraction))
     w = F.lit(1.0) if proportional else 1.0 / F.col("_cat_n")
     u = uniform_from_key(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
-    keyed = df.join(counts, category_col).withColumn("_key", F.log(u) / w).drop("_cat_n")
+    counts = counts.withColumnRenamed(category_col, "_cat")  # rows without a category are one of their own
+    keyed = (df.join(counts, F.col(category_col).eqNullSafe(F.col("_cat")))
+             .withColumn("_key", F.log(u) / w).drop("_cat_n", "_cat"))
     return top_n_exact(keyed, "_key", id_col, n, num_partitions).drop("_key")
 
 

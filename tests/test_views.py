@@ -27,3 +27,11 @@ def test_against_pairs_every_model_with_the_reference(spark):
     got = sorted((r["model"], r["category"], r["side"], r["value"]) for r in rows(against(df, "r")))
     assert got == [("a", "x", "candidate", 3), ("a", "x", "reference", 1), ("b", "x", "candidate", 4),
                    ("b", "x", "reference", 1), ("b", "y", "candidate", 5), ("b", "y", "reference", 2)]
+
+
+def test_weighted_sample_keeps_rows_without_category(spark):
+    from assay.sources.medallion import weighted_sample
+    df = spark.createDataFrame([(str(i), None if i % 2 else "x") for i in range(40)], "id string, data_category_QA string")
+    out = rows(weighted_sample(df, 1.0, 42))
+    assert len(out) == 40 and sum(r["data_category_QA"] is None for r in out) == 20
+    assert len(rows(weighted_sample(df, 0.25, 42))) == 10
