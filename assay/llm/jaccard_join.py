@@ -1,8 +1,11 @@
 """Exact n-gram Jaccard join and its connected groups.
 
 A document is the set of its distinct runs of ``N`` words, kept as sorted 64-bit hashes.
-Documents that could reach the threshold share one of the least hashes of their sets
-(prefix filter), so documents meet in tiles: one hash and one band of sizes. Each document
+Documents that could reach the threshold share one of the first hashes of their sets
+(prefix filter), so documents meet in tiles: one hash and one band of sizes. Hashes are
+ordered by value, but the most frequent of the corpus stand last: a passage that many
+documents share seldom makes a tile, and a group of copies makes few. Which hashes these
+are changes the cost, never the links. Each document
 also has a hashed bitmap, a power of two of bits wide. The bits in which two bitmaps
 differ bound the size of the symmetric difference from below, and so the overlap from
 above; pairs that pass are decided by intersecting their sorted arrays.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.batches import map_chunks, written
+from assay.llm.batches import chunks, map_chunks, written
 from assay.llm.components import components
 from assay.llm.words import U, mix, run_hashes, word_hashes
 from assay.session import ship_package
@@ -42,6 +45,8 @@ N = 5
 PERCENT = 80
 #: Rows of a tile up to which its rows are compared in place, without bitmaps beside them.
 SMALL = 64
+#: Most hashes that a task counts, and that stand last in the order (8 bytes each).
+FREQUENT = 1 << 18
 #: Rows of a size band of a tile up to which it is one square; more are cut by hash.
 SQUARE = 8192
 
@@ -60,8 +65,17 @@ def shingle_sets(raw: list[bytes], n: int = N) -> list[np.ndarray]:
     return out
 
 
+def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A sorted set with the frequent hashes (sorted) behind the others."""
+    if not len(frequent) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    late = frequent[at] == s
+    return np.concatenate([s[~late], s[late]])
+
+
 def prefix_length(size: int, percent: int = PERCENT) -> int:
-    """Least hashes of a set, one of which every set that links with it holds among its own."""
+    """First hashes of a set, one of which every set that links with it holds among its own."""
     return size - -(-percent * size // 100) + 1
 
 
@@ -83,7 +97,49 @@ def may_link(size_a, size_b, differing, percent: int = PERCENT):
     return (100 + percent) * (size_a + size_b - differing) >= 2 * percent * (size_a + size_b)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
+def summary(hashes: np.ndarray, counts: np.ndarray, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Counts added by hash; beyond ``limit`` hashes all counts are lowered until they fit
+    (Misra and Gries, 1982): a hash of more than sum / limit rows is never lost."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    hashes, counts = hashes[start], np.add.reduceat(counts, start) if len(start) else counts
+    if len(hashes) > limit:
+        counts = counts - np.partition(counts, len(counts) - limit - 1)[len(counts) - limit - 1]
+        hashes, counts = hashes[counts > 0], counts[counts > 0]
+    return hashes, counts
+
+
+def _counts(it):
+    held, count = np.zeros(0, U), np.zeros(0, np.int64)
+    for batch in it:
+        for piece in chunks(batch, "text"):
+            sets = shingle_sets([b"" if t is None else t for t in piece.column("text").to_pylist()])
+            found = np.concatenate([held, *sets])
+            held, count = summary(found, np.concatenate([count, np.ones(len(found) - len(held), np.int64)]))
+    held, count = held[count > 1], count[count > 1]
+    yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(count)], ["token", "m"])
+
+
+def frequent_hashes(docs: DataFrame, limit: int = FREQUENT) -> np.ndarray:
+    """At most ``limit`` of the corpus's most frequent hashes, sorted: those in more rows
+    than a small tile holds, by levels of their counts. They only order the hashes."""
+    found = written(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counts, "token bigint, m bigint")
+                    .groupBy("token").agg(F.sum("m").alias("m")).filter(F.col("m") > SMALL)
+                    .withColumn("level", F.floor(F.log2("m") * 4).cast("int")), "frequent")
+    least, total = None, 0
+    for level, m in sorted(found.groupBy("level").count().collect(), reverse=True):
+        total += m
+        if total > limit:
+            break
+        least = level
+    if least is None:
+        return np.zeros(0, U)
+    rows = found.filter(F.col("level") >= least).select("token").toPandas()["token"]
+    return np.sort(rows.to_numpy(np.int64).view(U))
+
+
+def _sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """doc_id, n, digest, bits, prefix (8 bytes a hash) of every row."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, digest, bits, prefix = [], [], [], []
@@ -91,7 +147,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             bits.append(bitmap(s) if len(s) else b"")
-            prefix.append(s[:prefix_length(len(s))].tobytes() if len(s) else b"")
+            prefix.append(ordered(s, frequent)[:prefix_length(len(s))].tobytes() if len(s) else b"")
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()),
              pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "bits", "prefix"])
@@ -124,7 +180,7 @@ def _tokens(it):
 
 
 def may_meet(n_a, place_a, n_b, place_b, percent: int = PERCENT):
-    """Whether two sets that share the hashes at these places of their sorted arrays, and
+    """Whether two sets that share the hashes at these places of their ordered arrays, and
     none before, can overlap enough; true at the first shared hash of every pair that links."""
     return np.minimum(n_a - place_a, n_b - place_b) * (100 + percent) >= percent * (n_a + n_b)
 
@@ -335,7 +391,7 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, percent: int) ->
 def similar_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, n (set size) and comp of every row; rows that links connect share comp."""
     ship_package(docs.sparkSession)
-    sketches = written(_sketches(docs).select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
+    sketches = written(_sketches(docs, frequent_hashes(docs)).select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
     rows = sketches.select("row", "doc_id", "n", "digest", "bits")
     part = rows.filter("n > 0 and doc_id is not null")
     same = part.groupBy("digest").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")

@@ -131,6 +131,23 @@ def random_documents(seed, n=160):
     return out
 
 
+def test_frequent_hashes_stand_last():
+    rng = np.random.default_rng(1)
+    data = rng.zipf(1.3, 20_000).astype(np.uint64)
+    held, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in np.array_split(data, 10):
+        held, count = jaccard_join.summary(np.concatenate([held, part]), np.concatenate([count, np.ones(len(part), np.int64)]), 50)
+        assert len(held) <= 50 and (held[1:] > held[:-1]).all()
+    values, true = np.unique(data, return_counts=True)
+    true = dict(zip(values.tolist(), true.tolist()))
+    assert all(v in held for v, n in true.items() if n > len(data) / 50)
+    assert all(n <= true[v] for v, n in zip(held.tolist(), count.tolist()))
+    s = np.array([1, 3, 5, 7], np.uint64)
+    assert jaccard_join.ordered(s, np.array([3, 4, 7], np.uint64)).tolist() == [1, 5, 3, 7]
+    assert jaccard_join.ordered(s, s[:0]).tolist() == s.tolist()
+    assert len(jaccard_join.summary(data[:0], count[:0])[0]) == 0
+
+
 def test_jaccard_groups(spark, edge, nothing, documents, monkeypatch):
     cols = ("doc_id", "n_shingles", "component_id")
     assert listed(jaccard_join.jaccard_groups(spark.read.parquet(f"{SF}/documents.parquet")), *cols) == sorted(brute_groups(documents), key=repr)
