@@ -250,8 +250,9 @@ def _shared(percent: int):
     return lambda it: _by_tile(it, tell)
 
 
-CROSS = "token bigint, a bigint, b bigint, place int, comp bigint"
-_CROSS = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int32()), ("comp", pa.int64())])
+CROSS = "token bigint, a bigint, b bigint, place int, comp bigint, n int"
+_CROSS = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int32()), ("comp", pa.int64()),
+                    ("n", pa.int32())])
 
 
 def _cross(percent: int):
@@ -266,7 +267,8 @@ def _cross(percent: int):
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([zero, token[k]])), pa.array(np.concatenate([pairs[1], row[k]])),
              pa.array(np.concatenate([pairs[0], np.full(len(k), -1)])),
-             pa.array(np.concatenate([zero, place[k]]).astype(np.int32)), pa.array(np.concatenate([zero, comp[k]]))], schema=_CROSS)
+             pa.array(np.concatenate([zero, place[k]]).astype(np.int32)), pa.array(np.concatenate([zero, comp[k]])),
+             pa.array(np.concatenate([zero, n[k]]).astype(np.int32))], schema=_CROSS)
 
     return lambda it: _by_tile(it, tell)
 
@@ -419,17 +421,20 @@ def similar_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     cross = written(tile.join(mixed.select("token"), "token", "left_semi").select("token", "row", "n", "place", "comp")
                     .repartition("token").sortWithinPartitions("token", "n").mapInArrow(_cross(percent), CROSS), "cross")
     beside = written(_possible(cross.filter("b >= 0").select("a", "b").distinct(), part, percent), "beside")
-    # large tiles: a document stands in the tile of its band of sizes, and above the band below
+    # large tiles: a document stands in the tile of its band of sizes, and above the band below;
+    # bitmaps join once the squares are known
     band = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
-    large = (cross.filter("b < 0").select("token", F.col("a").alias("row"), "place", "comp").join(part.select("row", "n", "bits"), "row")
-             .select("token", "row", "n", "place", "comp", "bits", F.explode(F.array(
+    large = (cross.filter("b < 0")
+             .select("token", F.col("a").alias("row"), "n", "place", "comp", F.explode(F.array(
                  F.struct(band.alias("band"), F.lit(0).alias("above")), F.struct((band - 1).alias("band"), F.lit(1).alias("above")))).alias("at"))
-             .select("token", "at.band", "at.above", "row", "n", "place", "comp", "bits"))
-    sizes = (large.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"), F.min("above").alias("own"))
-             .filter("own = 0 and m > 1").select("token", "band", F.ceil(F.col("m") / SQUARE).cast("int").alias("cuts")))
+             .select("token", "at.band", "at.above", "row", "n", "place", "comp"))
+    sizes = (large.groupBy("token", "band")
+             .agg(F.count(F.lit(1)).alias("m"), F.min("above").alias("own"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+             .filter("own = 0 and x < y").select("token", "band", F.ceil(F.col("m") / SQUARE).cast("int").alias("cuts")))
     part_of = F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")
     squares = (large.join(sizes, ["token", "band"]).withColumn("part", part_of)
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+               .join(part.select("row", "bits"), "row")
                .select("token", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
                        "row", "n", "place", "comp", "part", "above", "bits"))
     crossed = written(squares.repartition("token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi")
