@@ -80,8 +80,8 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Bits of the hashes' low ends: at least four a hash, 64 to 131072."""
-    width = min(1 << 17, max(64, 1 << (4 * len(hashes) - 1).bit_length()))
+    """Bits of the hashes' low ends: at least two a hash, 64 to 131072."""
+    width = min(1 << 17, max(64, 1 << (2 * len(hashes) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(hashes & U(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
