@@ -79,9 +79,9 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Bits of the hashes' low ends: at least two a hash, 64 to 131072."""
-    width = min(1 << 17, max(64, 1 << (2 * len(hashes) - 1).bit_length()))
+def bitmap(hashes: np.ndarray, each: int = 2) -> bytes:
+    """Bits of the hashes' low ends: at least ``each`` a hash, 64 to 131072."""
+    width = min(1 << 17, max(64, 1 << (each * len(hashes) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(hashes & U(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -140,20 +140,21 @@ def frequent_hashes(docs: DataFrame, limit: int = FREQUENT) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, digest, bits, prefix (8 bytes a hash) of every row."""
+    """doc_id, n, digest, bits, wide (twice as many, for squares), prefix (8 bytes a hash) of every row."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, digest, bits, prefix = [], [], [], []
+        n, digest, bits, wide, prefix = [], [], [], [], []
         for s in shingle_sets([b"" if t is None else t for t in batch.column("text").to_pylist()]):
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             bits.append(bitmap(s) if len(s) else b"")
+            wide.append(bitmap(s, 4) if len(s) else b"")
             prefix.append(ordered(s, frequent)[:prefix_length(len(s))].tobytes() if len(s) else b"")
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()),
-             pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "bits", "prefix"])
+             pa.array(wide, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "bits", "wide", "prefix"])
 
     only = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return map_chunks(only, run, "doc_id bigint, n bigint, digest binary, bits binary, prefix binary", "text")
+    return map_chunks(only, run, "doc_id bigint, n bigint, digest binary, bits binary, wide binary, prefix binary", "text")
 
 
 TOKENS = "token bigint, row bigint, n int, place int"
@@ -394,7 +395,7 @@ def similar_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, n (set size) and comp of every row; rows that links connect share comp."""
     ship_package(docs.sparkSession)
     sketches = written(_sketches(docs, frequent_hashes(docs)).select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
-    rows = sketches.select("row", "doc_id", "n", "digest", "bits")
+    rows = sketches.select("row", "doc_id", "n", "digest", "bits", "wide")
     part = rows.filter("n > 0 and doc_id is not null")
     same = part.groupBy("digest").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     same = written(part.select(F.col("row").alias("a"), "digest").join(same, "digest").filter("a <> b").select("a", "b"), "same")
@@ -434,7 +435,7 @@ def similar_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     part_of = F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")
     squares = (large.join(sizes, ["token", "band"]).withColumn("part", part_of)
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-               .join(part.select("row", "bits"), "row")
+               .join(part.select("row", F.col("wide").alias("bits")), "row")
                .select("token", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
                        "row", "n", "place", "comp", "part", "above", "bits"))
     crossed = written(squares.repartition("token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi")
