@@ -9,8 +9,10 @@ of that region's text is kept, short paragraphs too.
 Defined cases: null or empty html gives an empty text; markup that is cut off, unclosed
 or nested wrongly is read as browsers do for paragraphs and list items; a page without
 any article element takes the innermost element that holds almost all content; pages
-with nothing but menus, scripts or adverts give an empty text; repeated rows give
-repeated results; a page of any length is read whole.
+with nothing but menus, scripts or adverts give an empty text; a class or id that
+marks an advert, menu or the like drops its element only by the text and links it holds, so
+a layout's wrapper doesn't take the article with it; repeated rows give repeated results; a
+page of any length is read whole.
 """
 
 from __future__ import annotations
@@ -38,10 +40,15 @@ MARKS = frozenset(("ad ads advert adverts advertisement advertising sponsor spon
                    "cookies consent gdpr notice notices newsletter subscribe subscription sidebar sidebars nav navbar "
                    "navigation menu menus breadcrumb breadcrumbs footer masthead comment comments disqus respond share "
                    "sharing social related recommended popup modal login signup paywall").split())
+#: Names of an article or main that is a reader's comment.
+COMMENT = re.compile(r"comment(s|list|body|text)?(?![a-z])")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold a paragraph, not a region.
 LEAVES = INLINE | HEADINGS | frozenset("p li dt dd pre blockquote figcaption td th tr caption summary".split())
 REGIONS = frozenset("article main".split())
+#: A class name with one of these words tells a state or a layout (has-sidebar, comments-open), not what the element is.
+STATES = frozenset(("has have no not non with without open opened close closed free on off enabled disabled active inactive "
+                    "hidden visible collapsed expanded").split())
 #: A new block of these kinds ends an open paragraph.
 ENDS_P = frozenset(("address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
                     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul").split())
@@ -55,14 +62,17 @@ SIGMA, HELD = 1.0, 0.9
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, open elements, dropped)."""
+    """Lines of a page: (text, tags, open elements, dropped, characters of links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple, bool]] = []
+        self.lines: list[tuple[str, int, tuple, bool, int]] = []
         self.open: list[tuple[int, str, bool]] = []  # number, tag, drops
         self.names: dict[int, str] = {}
+        self.above: dict[int, int] = {}  # the element around
+        self.marks: dict[int, bool] = {}  # elements whose class or id is a mark; true: of a state only
         self.words: list[str] = []
+        self.anchors = self.linked = 0
         self.tags = 0
         self.serial = 0
 
@@ -70,15 +80,16 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.words).split())
         if text:
             drops = bool(self.open) and self.open[-1][2]
-            self.lines.append((text, self.tags, tuple(x[0] for x in self.open), drops))
+            self.lines.append((text, self.tags, tuple(x[0] for x in self.open), drops, min(self.linked, len(text))))
         if text or self.words:
             self.words = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def close_to(self, place: int):
         """End the open elements from ``place`` on; dropped text and kept text don't mix."""
-        if any(x[1] not in INLINE or x[2] for x in self.open[place:]):
+        if any(x[1] not in INLINE or x[2] or x[0] in self.marks for x in self.open[place:]):
             self.flush()
+        self.anchors -= sum(x[1] == "a" for x in self.open[place:])
         del self.open[place:]
 
     def handle_starttag(self, tag, attrs):
@@ -107,11 +118,17 @@ class _Lines(HTMLParser):
             self.words.append(" ")
             return
         above = bool(self.open) and self.open[-1][2]
-        own = self.drops(tag, dict(attrs))
-        if own and not above:
+        attrs = dict(attrs)
+        own = self.drops(tag, attrs)
+        mark = None if own else self.marked(tag, attrs)
+        if (own or mark is not None) and not above:
             self.flush()
         self.serial += 1
         self.names[self.serial] = tag
+        self.above[self.serial] = self.open[-1][0] if self.open else 0
+        if mark is not None:
+            self.marks[self.serial] = mark
+        self.anchors += tag == "a"
         if above and tag in HEADINGS and self.in_header():
             above = False
         self.open.append((self.serial, tag, above or own))
@@ -127,12 +144,18 @@ class _Lines(HTMLParser):
             return True
         if tag in ("html", "body") or not attrs:
             return False
-        if (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
-            return True
-        if tag in REGIONS and not re.search("comment", f"{attrs.get('class')} {attrs.get('id')}", re.IGNORECASE):
-            return False
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        return not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", names))
+        return (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true"
+
+    def marked(self, tag: str, attrs: dict) -> bool | None:
+        """Whether class or id is a mark: None if not, true if only names of states are."""
+        if tag in ("html", "body") or not attrs:
+            return None
+        states = None
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+            words = re.split(r"[^a-z0-9]+", name)
+            if (COMMENT.search(name) is not None) if tag in REGIONS else not MARKS.isdisjoint(words):
+                states = not STATES.isdisjoint(words) and states is not False
+        return states
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -150,6 +173,61 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         self.words.append(data)
+        if self.anchors > 0:
+            self.linked += len(data)
+
+    def unwanted(self) -> set[int]:
+        """The marked elements that go, decided from the text and links each of them holds.
+
+        A mark of a state goes if its text is mostly links. Any other mark goes unless the
+        element holds an article (text of an article or main that is mostly no links; one
+        inside another article is a comment or a card), or there is no article outside it
+        and it holds most of the page's text, mostly no links, in at least two lines.
+        """
+        if not self.marks:
+            return set()
+        n = self.serial + 1
+        size, linked, rows, stories = [0] * n, [0] * n, [0] * n, [0] * n
+        for text, _, inside, drops, links in self.lines:
+            if not drops:
+                e = inside[-1] if inside else 0
+                size[e] += len(text)
+                linked[e] += links
+                rows[e] += 1
+        within = [False] * n  # an article
+        for e in range(1, n):
+            up = self.above[e]
+            within[e] = within[up] or self.names.get(up) == "article"
+
+        def plain(e: int) -> bool:
+            return size[e] > 0 and 2 * linked[e] <= size[e]
+
+        total = sum(size)
+        gone, most = set(), []
+        for e in range(n - 1, 0, -1):  # inner elements first
+            state = self.marks.get(e)
+            if state:
+                goes = not plain(e)
+            elif state is False:
+                goes = not stories[e] or within[e]
+            else:
+                goes = False
+            up = self.above[e]
+            if goes:
+                gone.add(e)
+                if state or not plain(e) or rows[e] < 2 or 2 * size[e] <= total:
+                    continue
+                most.append(e)
+                stories[e] = 0
+            elif self.names[e] in REGIONS and plain(e):
+                stories[e] += 1
+            size[up] += size[e]
+            linked[up] += linked[e]
+            rows[up] += rows[e]
+            stories[up] += stories[e]
+        if not stories[0]:
+            gone.difference_update(most)
+        return gone
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -165,7 +243,8 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x[:3] for x in parser.lines if not x[3]]
+    gone = parser.unwanted()
+    lines = [x[:3] for x in parser.lines if not x[3] and gone.isdisjoint(x[2])]
     if not lines:
         return ""
     size = np.array([len(t) for t, _, _ in lines], float)

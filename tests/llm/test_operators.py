@@ -313,6 +313,30 @@ def test_main_text(spark):
     assert main_text.extract_main_text(df.limit(0)).count() == 0
 
 
+STORY = "<h1>Head</h1><p>" + "word " * 30 + "</p><p>Short.</p><p>" + "other " * 30 + "end.</p>"
+TOLD = " ".join(("Head " + "word " * 30 + "Short. " + "other " * 30 + "end.").split())
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "no-sidebar", "menu-closed", "ad-free", "nav-open", "page-with-banner", "page sidebar"])
+def test_marks_of_wrappers_drop_no_article(names):
+    menu, ad = '<div class="menu"><a href=x>Home</a> <a href=y>About us</a></div>', '<div class="ad">Buy now, all of it.</div>'
+    for page in (f'<div class="{names}">{menu}<article>{STORY}</article>{ad}</div>', f'<div class="{names}">{menu}<main>{STORY}</main>{ad}</div>',
+                 f'<div id="{names}">{menu}<div>{STORY}</div>{ad}</div>'):
+        assert main_text.main_text(f"<html><body>{page}</body></html>") == TOLD
+
+
+def test_marks_of_articles():
+    posts = "".join(f'<article class="post comments-open" id="post-{k}">{STORY}</article>' for k in range(3))
+    assert main_text.main_text(f"<body>{posts}</body>") == " ".join([TOLD] * 3)
+    comments = "".join(f'<article class="comment-body">Nice {k}, says a reader at some length here.</article>' for k in range(30))
+    for around in ('<div class="comments">%s</div>', "%s", '<section class="comments-open">%s</section>'):
+        assert main_text.main_text(f"<body><article>{STORY}</article>{around % comments}</body>") == TOLD
+    assert main_text.main_text(f'<body><article>{STORY}<div class="related"><article>A card of another story.</article></div></article></body>') == TOLD
+    links = '<a href=x>One thing and another</a> ' * 20
+    assert main_text.main_text(f'<body><div class="menu-open">{links}</div><div class="related"><article>{links}</article></div><article>{STORY}</article></body>') == TOLD
+    assert main_text.main_text('<body><div class="ad">Buy now, all of it, today.</div></body>') == ""
+
+
 # ---- registration
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
