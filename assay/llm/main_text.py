@@ -3,15 +3,17 @@
 The standard library's parser streams events; text between block-level tags makes a
 line, which knows its number of tags. The ratio of text to tags of the lines outside
 menus, adverts and the like is smoothed with a Gaussian, and a threshold splits content
-lines from the rest. The content lines point at the region that holds the article; all
-of that region's text is kept, short paragraphs too.
+lines from the rest. No content line is lost: if the article and main elements hold almost
+all content, they are the region, and content outside them stays with the element around
+it; otherwise the region is the innermost element that holds all content lines. All of a
+region's text is kept, short paragraphs too.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off, unclosed
 or nested wrongly is read as browsers do for paragraphs and list items; a page without
-any article element takes the innermost element that holds almost all content; pages
-with nothing but menus, scripts or adverts give an empty text; a class or id that
-marks an advert, menu or the like drops its element only by the text and links it holds, so
-a layout's wrapper doesn't take the article with it; repeated rows give repeated results; a
+any article element takes the innermost element that holds all content; pages with
+nothing but menus, scripts or adverts give an empty text; a class or id that marks an
+advert, menu or the like drops its element only by the text and links it holds, so a
+layout's wrapper doesn't take the article with it; repeated rows give repeated results; a
 page of any length is read whole.
 """
 
@@ -57,7 +59,7 @@ SIBLINGS = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", froze
             "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))),
             "option": ("option", frozenset(("select",)))}
 
-#: Width of the smoothing in lines, and the share of content that a region must hold.
+#: Width of the smoothing in lines, and the share of content that articles must hold to be the region.
 SIGMA, HELD = 1.0, 0.9
 
 
@@ -250,21 +252,30 @@ def main_text(html: str) -> str:
     size = np.array([len(t) for t, _, _ in lines], float)
     ratio = smooth(size / np.maximum(1, [n for _, n, _ in lines]))
     content = ratio >= min(ratio.std(), ratio.mean())
-    held: dict[int, float] = {}
-    for (_, _, inside), n, ok in zip(lines, size, content, strict=True):
-        if ok:
-            for e in inside:
-                held[e] = held.get(e, 0.0) + n
-    regions = {e for e in held if parser.names[e] in REGIONS}
-    if regions:
-        most = max(held[e] for e in regions)
-        chosen = {e for e in regions if held[e] * 5 >= most}
+    of_content = [(inside, n) for (_, _, inside), n, ok in zip(lines, size.tolist(), content, strict=True) if ok]
+    regions = {e for inside, _ in of_content for e in inside if parser.names[e] in REGIONS}
+    whole = sum(n for _, n in of_content)
+    if regions and sum(n for inside, n in of_content if not regions.isdisjoint(inside)) >= HELD * whole:
+        chosen = regions | _beside(parser, of_content, regions)
     else:
-        whole = float(size[content].sum())
-        chosen = {max((e for e in held if held[e] >= HELD * whole and parser.names[e] not in LEAVES), default=0)}
+        held = set.intersection(*[set(inside) for inside, _ in of_content])
+        chosen = {max((e for e in held if parser.names[e] not in LEAVES), default=0)}
         if chosen == {0}:
             return " ".join(t for t, _, _ in lines)
-    return " ".join(t for t, _, inside in lines if not chosen.isdisjoint(inside))
+    return " ".join(t for (t, _, inside), ok in zip(lines, content, strict=True) if ok or not chosen.isdisjoint(inside))
+
+
+def _beside(parser: _Lines, of_content: list[tuple[tuple, float]], regions: set[int]) -> set[int]:
+    """Of each content line outside the regions the innermost element that is no paragraph,
+    if it doesn't hold a region."""
+    around = {0}
+    for e in regions:
+        while e not in around:
+            around.add(e)
+            e = parser.above[e]
+    inner = {next((e for e in reversed(inside) if parser.names[e] not in LEAVES), 0)
+             for inside, _ in of_content if regions.isdisjoint(inside)}
+    return inner - around
 
 
 def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -337,6 +337,22 @@ def test_marks_of_articles():
     assert main_text.main_text('<body><div class="ad">Buy now, all of it, today.</div></body>') == ""
 
 
+def test_region_keeps_all_content():
+    def told(page):
+        return main_text.main_text(f"<html><body>{page}</body></html>")
+
+    card = "<article><p>A card that tells of another story, in a line of some length.</p></article>"
+    assert told(f"<div>{STORY}</div>{card}") == TOLD + " A card that tells of another story, in a line of some length."
+    small = "<p>" + "small " * 20 + "end.</p><p>Bye.</p>"
+    for tag in ("article", "section"):  # under a fifth and under a tenth of the content
+        for times in (1, 8):
+            got = told(f"<{tag}>{STORY * times}</{tag}><{tag}>{small}</{tag}>")
+            assert got == " ".join([TOLD] * times + ["small " * 20 + "end. Bye."])
+    intro = "An introduction before the article, one line of some length."
+    assert told(f"<div><p>{intro}</p><p>By X.</p></div><article>{STORY * 5}</article>") == " ".join([intro, "By X."] + [TOLD] * 5)
+    assert told(f"<p>{intro}</p><article>{STORY * 5}</article>") == " ".join([intro] + [TOLD] * 5)
+
+
 # ---- registration
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
