@@ -27,8 +27,8 @@ from assay.llm.batches import map_chunks
 UND = "und"
 #: Bytes of a window.
 WINDOW = 256
-#: Bound of the training sample: rows of each language, languages, windows of a row.
-SAMPLE_ROWS, SAMPLE_LANGUAGES, ROW_WINDOWS = 1000, 64, 4
+#: Bound of the training sample: rows of each language, windows of a row.
+SAMPLE_ROWS, ROW_WINDOWS = 1000, 4
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 6
 EPOCHS, BATCH, RATE, SEED = 4, 64, 4e-3, 7
@@ -123,25 +123,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_windows(df: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, targets and labels of a sample of at most SAMPLE_ROWS rows of each of the
-    SAMPLE_LANGUAGES most frequent labels, ROW_WINDOWS windows each, chosen by hash."""
+    """Windows, targets and labels of a sample of at most SAMPLE_ROWS rows of each label,
+    ROW_WINDOWS windows each, chosen by hash; labels without a window are left out."""
     rows = df.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGUAGES).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * SAMPLE_ROWS / n + 50 / n))])
+    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * SAMPLE_ROWS / r["n"] + 50 / r["n"])) for r in counts],
+                                             "lang string, share double")
     text = F.col("text").cast("binary")
     size = F.octet_length("text")
     # a text's last windows start before its end; the first always counts
     starts = [F.lit(0)] + [F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.greatest(size - WINDOW, F.lit(1))) for i in range(1, ROW_WINDOWS)]
-    some = (rows.filter(draw < share[F.col("lang")])
+    some = (rows.select("lang", "doc_id", "text").join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
             .select("lang", draw.alias("draw"), "doc_id",
                     F.array(*[F.substring(text, s.cast("int") + 1, F.lit(WINDOW)) for s in starts]).alias("windows"))
             .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")))
             .filter(F.col("r") <= SAMPLE_ROWS).orderBy("lang", "r").select("lang", "windows").collect())
-    labels = sorted(counts)
     rng = np.random.default_rng(SEED)
     x, y = [], []
     for r in some:
@@ -152,8 +151,9 @@ def training_windows(df: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
                 w = w[a:a + int(rng.integers(4, 80))]
             if w.strip():
                 x.append(np.frombuffer(w.ljust(WINDOW, b"\0"), np.uint8))
-                y.append(labels.index(r["lang"]))
-    return (np.array(x) if x else np.zeros((0, WINDOW), np.uint8)), np.array(y, np.int64), labels
+                y.append(r["lang"])
+    labels, target = np.unique(np.array(y, object), return_inverse=True)
+    return (np.array(x) if x else np.zeros((0, WINDOW), np.uint8)), target.astype(np.int64), labels.tolist()
 
 
 def _lower(raw: bytes) -> bytes:
@@ -164,12 +164,16 @@ def _lower(raw: bytes) -> bytes:
 _LETTER = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 0x80 for b in range(256)])
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def judge(net: Network, raw: list[bytes | None]) -> tuple[list[str], list[float]]:
     """(label, score) of each text."""
     keep, rows = [], []
     for k, b in enumerate(raw):
         t = "" if b is None else b.decode("utf-8", "replace").lower()
-        if net.labels and any(map(str.isalpha, t)):
+        if net.labels and has_letter(t):
             u = t.encode()
             n = -(-len(u) // WINDOW)
             rows.append(np.frombuffer(u.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW))
@@ -204,12 +208,20 @@ def identify(df: DataFrame, net: Network) -> DataFrame:
     return map_chunks(only, run, "doc_id bigint, held_out boolean, lang_pred string, score double", "text")
 
 
-def with_language(df: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``df`` with two more columns, the label and the score of its ``text``."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        label, score = judge(net, batch.column("text").cast(pa.binary()).to_pylist())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())],
-                                          [*batch.schema.names, *names])
+def with_language(df: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score"), letters: str | None = None) -> DataFrame:
+    """``df`` with two more columns, the label and the score of its ``text``; with ``letters``
+    a third of that name, whether the text has a letter."""
+    more = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    if letters:
+        more.append(T.StructField(letters, T.BooleanType()))
+    added = [f.name for f in more]
 
-    schema = T.StructType([*df.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return map_chunks(df, run, schema, "text")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = batch.column("text").cast(pa.binary()).to_pylist()
+        label, score = judge(net, raw)
+        columns = [pa.array(label, pa.string()), pa.array(score, pa.float64())]
+        if letters:
+            columns.append(pa.array([b is not None and has_letter(b.decode("utf-8", "replace")) for b in raw], pa.bool_()))
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *added])
+
+    return map_chunks(df, run, T.StructType([*df.schema, *more]), "text")

@@ -50,3 +50,25 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in docs.collect() if r.doc_id) == [(False, 8)] and docs.count() == 2
     empty = docs.limit(0)
     assert all(stage(spark, empty, SF).count() == 0 for _, stage in C.STAGES[1:])
+
+
+def test_language_stage(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    held_out = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), F.col("lang")))
+    for some in (unlabelled, held_out):  # nothing to learn from
+        assert C.keep_languages(spark, some, SF).count() == docs.count()
+    net = language_id.fit(docs)
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language_id.with_language(docs, net).collect()}
+    monkeypatch.setattr(C, "OVER_CHANCE", 2.0)
+    want = {i for i, (_, score) in told.items() if score > 2 / len(net.labels)}
+    assert {r.doc_id for r in C.keep_languages(spark, docs, SF).collect()} == want and 0 < len(want) < len(told)
+    want = {i for i in want if told[i][0] == "en"}
+    assert {r.doc_id for r in C.keep_languages(spark, docs, SF, ("en",)).collect()} == want and want
+
+
+def test_every_label_is_learned(spark):
+    rows = [(3 * i, f"{chr(97 + i % 26) * 4} {chr(97 + i // 26) * 4} words of {i}", f"l{i // 3:03d}") for i in range(300)]
+    labelled = spark.createDataFrame([*rows, (901, "   ", "blank"), (903, " ", "blank")], "doc_id long, text string, lang string")
+    want = {r.lang for r in labelled.filter(~language_id.held_out(F.col("doc_id"))).collect()} - {"blank"}
+    assert len(want) > 64 and set(language_id.training_windows(labelled)[2]) == want
