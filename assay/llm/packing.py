@@ -8,6 +8,9 @@ Documents are packed where they are read, in groups of about ``GROUP_TOKENS`` id
 nothing is shuffled and a task's memory is bounded; a task that runs again packs the
 same windows under the same numbers.
 
+Added tokens of the tokenizer's file that a text holds literally become their ids, as the
+library does by default.
+
 Defined cases: a null or empty text is a document of the end id alone; a document of any
 length is cut without loss; repeated rows are packed as documents of their own; an empty
 table gives an empty result.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -101,13 +105,54 @@ def _stand_ins() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class WithAdded:
+    """An encoder that turns the file's added tokens in a text into their ids first, the
+    longest at the leftmost place; the texts between them are encoded each on its own."""
+
+    def __init__(self, own: ByteBPE, added: list[dict]):
+        self.own = own
+        self.ids = {t["content"]: t["id"] for t in added if t["content"]}
+        by_size = sorted((t for t in added if t["content"]), key=lambda t: -len(t["content"]))
+        self.pattern = re.compile("|".join(map(_pattern_of, by_size)) or r"(?!)")
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, bounds of each text in them)."""
+        held = [k for k, t in enumerate(texts) if any(c in t for c in self.ids)]
+        if not held:
+            return self.own.encode_flat(texts)
+        parts, first, tokens = [], [0], []
+        held = set(held)
+        for k, t in enumerate(texts):
+            at = 0
+            for m in self.pattern.finditer(t) if k in held else ():
+                parts.append(t[at:m.start()])
+                tokens.append((len(parts), self.ids[m[m.lastindex]]))
+                at = m.end()
+            parts.append(t[at:])
+            first.append(len(parts))
+        flat, ends = self.own.encode_flat(parts)
+        after = np.array([k for k, _ in tokens], np.int64)
+        flat = np.insert(flat, ends[after], [i for _, i in tokens])
+        first = np.array(first)
+        return flat, ends[first] + np.searchsorted(after, first)
+
+
+def _pattern_of(token: dict) -> str:
+    """The regular expression of an added token; the content is a group."""
+    found = f"({re.escape(token['content'])})"
+    if token.get("single_word"):
+        found = rf"(?<!\w){found}(?!\w)"
+    return (r"\s*" if token.get("lstrip") else "") + found + (r"\s*" if token.get("rstrip") else "")
+
+
 @functools.cache
-def tokenizer(path: str) -> ByteBPE:
-    """Encoder over a byte-level BPE file of the tokenizers library, special tokens left out."""
+def tokenizer(path: str) -> WithAdded:
+    """Encoder over a byte-level BPE file of the tokenizers library, its added tokens included."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", ())}
-    return ByteBPE({_bytes_of(t): i for t, i in spec["model"]["vocab"].items() if t not in special})
+    added = spec.get("added_tokens") or []
+    special = {t["content"] for t in added}
+    return WithAdded(ByteBPE({_bytes_of(t): i for t, i in spec["model"]["vocab"].items() if t not in special}), added)
 
 
 def groups(it, path: str, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS):

@@ -240,6 +240,21 @@ def test_packing(spark, edge, nothing, documents):
     assert packing.pack_documents(nothing, JSON).count() == 0
 
 
+def test_added_tokens_of_texts(spark, tmp_path):
+    lib, end = Tokenizer.from_file(JSON), "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}  x\n", f"one two  {end}", "", "<|endoftext|", f"{end} word's {end}\n\n{end}", "plain text"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    flat, bounds = packing.tokenizer(JSON).encode_flat(texts)
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack_documents(df, JSON).collect():
+        ids = want[r.doc_id] + [1]
+        assert r.doc_tokens == r.length == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert {r.doc_id: list(r.ids) for r in token_output.unpack_windows(token_output.packed_windows(df, JSON)).collect()} == \
+        {k: x + [1] for k, x in enumerate(want)}
+
+
 def test_tree_finds_the_tightest_window():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 700, 300)
