@@ -10,7 +10,8 @@
    corpus, which gives the least document of each window.
 3. Each block marks the words of its windows that start in a smaller document.
 
-The text moves once (the three steps share its exchange). Lists hold one row per block and
+Rows that share a doc_id need not share a block: lists name the least and greatest document
+of all blocks. The text moves once (the three steps share its exchange). Lists hold one row per block and
 phrase or window, so a passage that a third of the documents share costs one row a block.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing;
@@ -181,6 +182,14 @@ def _marked(b: Block, confirmed: pa.Table) -> np.ndarray:
     return np.cumsum(first[:-1]) > 0
 
 
+def _dealt(docs: DataFrame, carry: tuple[str, ...], n_blocks: int) -> DataFrame:
+    """Rows with their block, by id, text and input partition: rows that share a doc_id or have
+    none spread, and so do copies of one row. A task that runs again deals the same blocks."""
+    place = F.xxhash64("doc_id", "text", F.spark_partition_id())
+    return docs.select("doc_id", *carry, F.col("text").cast("binary").alias("text"),
+                       F.pmod(place, F.lit(n_blocks)).alias("block")).repartition(n_blocks, "block")
+
+
 def remove_repeats(docs: DataFrame, *, carry: tuple[str, ...] = (), leave_clean: bool = False,
                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, the columns ``carry``, text, n_words and n_removed of every row.
@@ -192,8 +201,7 @@ def remove_repeats(docs: DataFrame, *, carry: tuple[str, ...] = (), leave_clean:
     ship_package(spark)
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n_blocks = max(shuffle_width(spark), -(-size // block_bytes))
-    dealt = docs.select("doc_id", *carry, F.col("text").cast("binary").alias("text"),
-                        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(n_blocks)).alias("block")).repartition(n_blocks, "block")
+    dealt = _dealt(docs, carry, n_blocks)
 
     over_key = Window.partitionBy("key")
     spread = [F.min("lo").over(over_key).alias("least"), F.max("hi").over(over_key).alias("most")]

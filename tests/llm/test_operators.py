@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
@@ -98,6 +99,17 @@ def test_language_id(spark, edge, nothing):
 
 # ---- substring dedup
 
+def test_rows_of_one_id_spread_over_blocks(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(i, f"{' '.join(rng.choice('abcdefgh') * 3 for _ in range(30))} {passage if k % 5 == 0 else k}")
+            for k in range(200) for i in (None, 7, 100 + k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = repeated_passages.remove_repeats(df, block_bytes=4000).withColumn("at", F.spark_partition_id()).persist()
+    assert listed(out, "doc_id", "n_words", "n_removed") == sorted([x[:3] for x in brute_passages(rows)], key=repr)
+    assert max(r["count"] for r in out.groupBy("at").count().collect()) < 150  # of 600 rows, 200 of each id
+
+
 def test_repeated_passages(spark, edge, nothing, documents):
     for rows, df in ((pairs(edge), edge), (documents, spark.read.parquet(f"{SF}/documents.parquet"))):
         got = listed(repeated_passages.repeat_digest(df), "doc_id", "n_words", "n_removed", "kept_sha256")
