@@ -139,8 +139,9 @@ def frequent_hashes(docs: DataFrame, limit: int = FREQUENT) -> np.ndarray:
     return np.sort(rows.to_numpy(np.int64).view(U))
 
 
-def _sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, digest, bits, wide (twice as many, for squares), prefix (8 bytes a hash) of every row."""
+def _sketches(docs: DataFrame, frequent: np.ndarray, keyed: bool = False) -> DataFrame:
+    """doc_id, n, digest, bits, wide (twice as many, for squares), prefix (8 bytes a hash) of every
+    row; with ``keyed`` also ``key``, the SHA-256 of its text."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, digest, bits, wide, prefix = [], [], [], [], []
         for s in shingle_sets([b"" if t is None else t for t in batch.column("text").to_pylist()]):
@@ -151,10 +152,18 @@ def _sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             prefix.append(ordered(s, frequent)[:prefix_length(len(s))].tobytes() if len(s) else b"")
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()),
-             pa.array(wide, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "bits", "wide", "prefix"])
+             pa.array(wide, pa.binary()), pa.array(prefix, pa.binary()), *[batch.column("key") for _ in key]],
+            ["doc_id", "n", "digest", "bits", "wide", "prefix", *key])
 
-    only = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return map_chunks(only, run, "doc_id bigint, n bigint, digest binary, bits binary, wide binary, prefix binary", "text")
+    key = ["key"] if keyed else []
+    only = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *[text_key(docs).alias(k) for k in key])
+    return map_chunks(only, run, "doc_id bigint, n bigint, digest binary, bits binary, wide binary, prefix binary"
+                      + "".join(f", {k} binary" for k in key), "text")
+
+
+def text_key(docs: DataFrame):
+    """SHA-256 of a row's text (a null one counts as empty)."""
+    return F.unhex(F.sha2(F.coalesce(docs["text"].cast("binary"), F.lit(b"")), 256))
 
 
 TOKENS = "token bigint, row bigint, n int, place int"
@@ -391,10 +400,11 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, percent: int) ->
     return _with(_with(pairs, "a", sets, ["set"]), "b", sets, ["set"]).mapInArrow(_exact(percent), "a bigint, b bigint")
 
 
-def similar_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """row, doc_id, n (set size) and comp of every row; rows that links connect share comp."""
+def similar_rows(docs: DataFrame, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
+    """row, doc_id, n (set size) and comp of every row; rows that links connect share comp.
+    With ``keyed`` also ``key``, the SHA-256 of the row's text."""
     ship_package(docs.sparkSession)
-    sketches = written(_sketches(docs, frequent_hashes(docs)).select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
+    sketches = written(_sketches(docs, frequent_hashes(docs), keyed).select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
     rows = sketches.select("row", "doc_id", "n", "digest", "bits", "wide")
     part = rows.filter("n > 0 and doc_id is not null")
     same = part.groupBy("digest").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -449,7 +459,8 @@ def similar_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             between = between.join(of.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
         merged = components(between.select("a", "b")).withColumnRenamed("node", "comp")
         rows = rows.join(merged, "comp", "left").withColumn("comp", F.coalesce("component", "comp"))
-    return rows.select("row", "doc_id", "n", "comp")
+    rows = rows.select("row", "doc_id", "n", "comp")
+    return rows.join(sketches.select("row", "key"), "row") if keyed else rows
 
 
 def _possible(pairs: DataFrame, part: DataFrame, percent: int) -> DataFrame:

@@ -72,3 +72,20 @@ def test_every_label_is_learned(spark):
     labelled = spark.createDataFrame([*rows, (901, "   ", "blank"), (903, " ", "blank")], "doc_id long, text string, lang string")
     want = {r.lang for r in labelled.filter(~language_id.held_out(F.col("doc_id"))).collect()} - {"blank"}
     assert len(want) > 64 and set(language_id.training_windows(labelled)[2]) == want
+
+
+def test_near_copies_of_repeated_ids(spark):
+    near = [f"the same {k} " + " ".join(f"w{i}" for i in range(60)) for k in range(3)]
+    rows = [(1, near[0]), (5, near[1]), (5, "a text of its own that links with no other one"),  # unlike texts of one id
+            (9, "x " + " ".join(f"v{i}" for i in range(60))), (9, "y " + " ".join(f"v{i}" for i in range(60))),  # near copies
+            (12, "one text and its copy again in full"), (12, "one text and its copy again in full"),
+            (None, near[2]), (None, None), (20, None), (20, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, block long")
+    out = C.drop_near_copies(spark, docs, SF)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns
+    nines = [x for x in got if x[0] == 9]
+    assert len(nines) == 1 and nines[0] in rows
+    assert sorted(x for x in map(repr, got) if not x.startswith("(9")) == sorted(
+        map(repr, [rows[0], rows[2], rows[5], rows[7], rows[8], rows[9], rows[10]]))
