@@ -21,8 +21,9 @@ Defined cases: texts without words (null, empty, white space) have no shingles a
 nothing; texts of fewer than N words have one shingle, the whole sequence; identical sets
 are linked through one representative; rows that repeat a doc_id are rows of their own; a
 row without doc_id gets a null component and takes no part; an empty table gives an empty
-result. Hashes are 64 bits wide: two different shingles of one pair of documents agree by
-chance with odds of about (shingles of one * shingles of the other) / 2**64.
+result. Hashes are 64 bits wide, made of BLAKE2b hashes of the words: two different shingles
+of one pair of documents agree by chance with odds of about (shingles of one * shingles of
+the other) / 2**64.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ SQUARE = 8192
 
 def shingle_sets(raw: list[bytes], n: int = N) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text (A-Z lower-cased)."""
-    words, bounds, _, _ = word_hashes([r.lower() for r in raw])
+    words, bounds = word_hashes([r.lower() for r in raw])
     runs = run_hashes(words, n)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm.batches import chunks, shuffle_width
-from assay.llm.words import run_hashes, word_hashes
+from assay.llm.words import run_hashes, word_hashes, word_spans
 from assay.session import ship_package
 
 WINDOW = 13
@@ -53,11 +53,12 @@ class Block:
         for batch in table.select(["text"]).combine_chunks().to_batches():
             for piece in chunks(batch, "text"):
                 raw = [b"" if t is None else t for t in piece.column("text").to_pylist()]
-                words, bounds, begin, end = word_hashes(raw)
+                words, bounds = word_hashes(raw)
                 parts.append(words)
                 counts.append(np.diff(bounds))
                 if keep_words:
                     base = np.repeat(np.cumsum([0] + [len(r) + 1 for r in raw])[:-1], np.diff(bounds))
+                    begin, end = word_spans(raw)
                     self.raw += raw
                     self.spans.append((begin - base, end - base))
         self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)

@@ -1,16 +1,20 @@
-"""Words of many texts at once: runs of bytes other than ASCII white space, hashed with
-array operations (no object per word)."""
+"""Words of many texts: runs of bytes other than ASCII white space, and hashes of runs of
+words. A worker names each distinct word once and keeps the names it has seen last."""
 
 from __future__ import annotations
 
-import numpy as np
+import re
+from hashlib import blake2b
 
-from assay.llm.pretokens import _INVERSE, _ODD, _powers
+import numpy as np
 
 # Space, tab, line feed, vertical tab, form feed, carriage return.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_BLANK = re.compile(rb"[ \t-\r]")
 U = np.uint64
+#: Names that a worker keeps, and bytes of a text that it splits at once.
+NAMES, PIECE = 1 << 18, 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,22 +24,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, bounds of each text's words, each word's first byte and end in
-    the texts joined by line feeds)."""
-    joined = b"\n".join(raw) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
+class _Names(dict):
+    """Number of a word: 64 bits of BLAKE2b, which no known way of writing words makes equal."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= NAMES:
+            self.clear()
+        number = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return number
+
+
+_names = _Names()
+
+
+def _numbers(text: bytes) -> list[np.ndarray]:
+    """Numbers of a text's words; a long text is split piece by piece at white space."""
+    out, a = [], 0
+    while a < len(text):
+        z = len(text)
+        if z - a > PIECE:
+            cut = _BLANK.search(text, a + PIECE)
+            z = cut.start() if cut else z
+        words = text[a:z].split()
+        out.append(np.fromiter(map(_names.__getitem__, words), U, len(words)))
+        a = z
+    return out
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, bounds of each text's words)."""
+    parts, bounds = [], [0]
+    for text in raw:
+        own = _numbers(text)
+        parts += own
+        bounds.append(bounds[-1] + sum(map(len, own)))
+    return np.concatenate(parts) if parts else np.zeros(0, U), np.array(bounds)
+
+
+def word_spans(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's first byte and end in the texts joined by line feeds."""
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
-    begin, end = edge[::2], edge[1::2]
-    prefix = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * _powers(_ODD, len(data)), dtype=U, out=prefix[1:])
-    key = (prefix[end] - prefix[begin]) * _powers(_INVERSE, len(data))[begin]
-    stops = np.cumsum([len(r) + 1 for r in raw])
-    bounds = np.concatenate([[0], np.searchsorted(begin, stops)])
-    return mix(key + (end - begin).astype(U)), bounds, begin, end
+    return edge[::2], edge[1::2]
 
 
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
