@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, exact_dedup, jaccard_join, language_id, main_text, packing, repeated_passages, token_output, topk, urls
+from assay.llm import bpe, exact_dedup, jaccard_join, language_id, main_text, near_dups, packing, repeated_passages, token_output, topk, urls
 from assay.sources.tables import read_table
 
 #: Vocabularies of the registered queries; operators take any path.
@@ -54,8 +54,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_language_id, op4_substring_dedup,
-                                   op5_url_filter, op6_packing, op7_token_output, op8_jaccard_join, op9_top_k, op10_main_text)}
+                                   op5_url_filter, op6_packing, op7_token_output, op8_jaccard_join, op9_top_k, op10_main_text, op11_minhash)}
 
 #: A-Z lower-cased, as the operators compare texts.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -75,4 +79,25 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 *
      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
-ORACLE_SQL = {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
+
+def groups_sql(n: int, kept: str) -> str:
+    """Groups of documents linked by their runs of n words."""
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS g FROM t),
+     z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+           JOIN z x ON x.doc_id = a.doc_id JOIN z y ON y.doc_id = b.doc_id
+           WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+           GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+     l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+     r(doc_id, other) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT t.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, c.component_id{kept}
+FROM t LEFT JOIN z ON z.doc_id = t.doc_id
+JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = t.doc_id"""
+
+
+ORACLE_SQL = {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_top_k": TOP_K_SQL,
+              "op8_jaccard_join": groups_sql(5, ""),
+              "op11_minhash": groups_sql(2, ", t.doc_id = c.component_id AS kept")}

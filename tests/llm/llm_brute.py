@@ -46,7 +46,8 @@ def brute_passages(rows, size=13):
         yield i, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone) if not g))
 
 
-def brute_groups(rows, n=5, percent=80):
+def brute_groups(rows, n=5, percent=80, unnamed=False):
+    """``unnamed``: rows without an id take part."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -60,7 +61,7 @@ def brute_groups(rows, n=5, percent=80):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and None not in (rows[a][0], rows[b][0]) and 100 * both >= percent * len(sets[a] | sets[b]):
+            if both and (unnamed or None not in (rows[a][0], rows[b][0])) and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 comp[y] = x
     least = {}
@@ -68,7 +69,7 @@ def brute_groups(rows, n=5, percent=80):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
     for k, (i, _) in enumerate(rows):
-        yield i, len(sets[k]), None if i is None else least[find(k)]
+        yield i, len(sets[k]), None if i is None and not unnamed else least.get(find(k))
 
 
 def brute_top_k(rows, every=100, k=10):

@@ -1,19 +1,10 @@
-import os
-import sys
+"""Fixtures of the operators' tests; ``spark`` comes from the folder above."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from assay.session import get_spark
-    return get_spark(master="local[4]", shuffle_partitions=8)
-
-
 @pytest.fixture(scope="session")
 def documents(spark):
     return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]

@@ -18,6 +18,7 @@ import __spark_entry__ as E
 from assay.llm import (bpe, components, exact_dedup, jaccard_join, language_id, main_text, packing, pretokens,
                        repeated_passages, token_output, topk, urls)
 from assay.llm.catalog import ORACLE_SQL
+from llm_fixtures import documents, edge, nothing  # noqa: F401
 from llm_brute import (brute_bpe, brute_dedup, brute_groups, brute_passages, brute_top_k)
 
 SF = "/root/testdata/sf0.001"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 import corpus_pipeline as C
 from assay.llm import language_id
+from llm_fixtures import documents, edge, nothing  # noqa: F401
 from llm_brute import brute_dedup, brute_groups, brute_passages
 
 SF = "/root/testdata/sf0.001"
