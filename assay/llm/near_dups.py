@@ -10,13 +10,16 @@ equal sets are one class, told by 128 bits of the set, and all further work is o
    with a chance equal to their similarity, however small they are.
 2. ``ROWS`` bins make a band; classes with equal bands share a bucket. Two sets of similarity
    0.8 share none of the ``BINS // ROWS`` buckets with odds of 3 in 100,000.
-3. A bucket is a star: its least class is paired with the others, never all with all. Pairs
+3. A bucket is a star: the class that meets most others in all its buckets (of a text and its
+   many near copies the text itself) is paired with the others, never all with all. Pairs
    whose sizes allow the threshold are confirmed by intersecting the full sets; links found so
    far are merged to components.
-4. Buckets that still hold several components get further stars between components, four times
-   as many centres each round; a class that was a centre leaves its bucket. So every pair of a
-   bucket that no path of links joins has been compared in the end, and a bucket of m near
-   copies costs m pairs.
+4. The buckets of one centre are a family. In the buckets that still hold several components,
+   the classes outside the centre's component (few, as a rule) are compared with the others of
+   the family in tiles of bounded size; overlaps are counted by an index inside the
+   task, and one link for each class and component leaves it. So every pair of a bucket that
+   no path of links joins has been compared in the end, a bucket of m near copies costs m
+   pairs, and pairs that don't link are never rows.
 
 Full sets are gathered for the classes that share a bucket with another one; a bitmap of fixed
 size (``FILTER_BITS``) keeps most of the others from being moved, and lets false ones pass.
@@ -35,11 +38,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.batches import chunks, map_chunks, written
 from assay.llm.components import components
+from assay.llm.pretokens import ragged
 from assay.llm.words import U, mix, run_hashes, word_hashes
 from assay.session import ship_package
 
@@ -54,6 +58,8 @@ HELD = 1024
 FILTER_BITS = 1 << 24
 #: Parts that a centre's pairs are dealt to, and parts of the rows that make a class heavy.
 SPREAD, HEAVY = 64, 256
+#: Items of the sets on each side of a tile.
+TILE = 1 << 20
 
 
 def shingle_sets(raw: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -213,20 +219,50 @@ def _labelled(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
             .withColumn("comp", F.coalesce("found", "node")).drop("found"))
 
 
-def _stars(entries: DataFrame, centres: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(centres of each bucket, pairs of a centre with classes of other components)."""
-    if centres == 1:
-        hubs = entries.groupBy("bucket").agg(F.min(F.struct("node", "n", "comp")).alias("h")).select("bucket", "h.*")
-    else:
-        order = Window.partitionBy("bucket").orderBy("node")
-        hubs = entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres).drop("rank")
-    hub = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-    met = (entries.join(hub, "bucket").filter("comp <> hub_comp")
-           .filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-    return hubs.select("bucket", "node"), met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def near_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+LINKS = "a bigint, b bigint"
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Links of a tile's strays with its members of other components, one for each stray and
+    component: overlaps are counted with an index of the members' sets."""
+    node, comp, stray = (table.column(c).to_numpy() for c in ("node", "comp", "stray"))
+    items = table.column("items").combine_chunks()
+    ends, flat = items.offsets.to_numpy(), items.values.to_numpy()
+    size = np.diff(ends)
+    members = np.flatnonzero(~stray)
+    owner = np.repeat(np.arange(len(members)), size[members])
+    value = flat[ragged(ends[:-1][members], size[members])]
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    links = []
+    for x in np.flatnonzero(stray).tolist():
+        own = flat[ends[x]:ends[x + 1]]
+        first = np.searchsorted(value, own)
+        met = owner[ragged(first, np.searchsorted(value, own, side="right") - first)]
+        common = np.bincount(met, minlength=len(members))
+        linked = members[100 * common >= PERCENT * (size[x] + size[members] - common)]
+        linked = linked[comp[linked] != comp[x]]
+        for k in linked[np.unique(comp[linked], return_index=True)[1]].tolist():
+            links.append((min(node[x], node[k]), max(node[x], node[k])))
+    return pa.table({c: pa.array([link[k] for link in links], pa.int64()) for k, c in enumerate("ab")})
+
+
+def stray_links(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components inside families (hub, node, n, comp, hub_comp). The strays of a
+    family are its classes outside the hub's component; they are compared with all its classes
+    in tiles of about TILE items a side, and only links leave a tile."""
+    stray = F.col("comp") != F.col("hub_comp")
+    sizes = (families.groupBy("hub").agg(F.sum("n").alias("items"), F.sum(F.when(stray, F.col("n")).otherwise(0)).alias("strays"))
+             .filter("strays > 0").select("hub", F.ceil(F.col("items") / TILE).alias("cells"), F.ceil(F.col("strays") / TILE).alias("rows")))
+    dealt = families.join(sizes, "hub").join(sets, "node").withColumn("hash", F.xxhash64("node", "hub"))
+    each = ("hub", "node", "comp", "items")
+    members = dealt.select(*each, F.lit(False).alias("stray"), F.expr("pmod(hash, cells)").alias("cell"), F.expr("explode(sequence(0L, rows - 1))").alias("row"))
+    strays = dealt.filter(stray).select(*each, F.lit(True).alias("stray"), F.expr("explode(sequence(0L, cells - 1))").alias("cell"),
+                                        F.expr("pmod(hash, rows)").alias("row"))
+    return members.unionByName(strays).groupBy("hub", "cell", "row").applyInArrow(_tile, LINKS).distinct()
+
+
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(rows: rid, doc_id, n, key; classes: key, node, low, rows, n; components of linked nodes)."""
     bands = Bands()
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -236,34 +272,33 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Da
         F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"),
         F.max("bands").alias("bands")), "classes")
     every = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
-    live = written(every.join(shared, "bucket"), "buckets")
-    nodes = written(live.select("node").distinct().join(classes.select("node", "key"), "node"), "nodes")
-    if nodes.isEmpty():
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = written(every.join(shared, "bucket"), "buckets")
+    if met.isEmpty():
         return rows, classes, None
-    sets = written(full_sets(docs, nodes), "sets")
-    comps, links, tested, centres = None, None, None, 1
-    while True:
-        labelled = written(_labelled(live, comps), "labelled")
-        unlike = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
-        open_ = written(labelled.join(unlike, "bucket"), "open")
-        if open_.isEmpty():
-            return rows, classes, comps
-        hubs, pairs = _stars(open_, centres, percent)
-        hubs = written(hubs, "hubs")
-        new = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = new if tested is None else tested.unionByName(new)
-        found = written(confirmed(new, sets, percent), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comps = components(links)
-        live = open_.select("bucket", "node", "n").join(hubs, ["bucket", "node"], "left_anti")
-        centres *= 4
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    weight = met.groupBy("node").agg(F.sum("m").alias("weight"))
+    nodes = written(weight.join(classes.select("node", "key"), "node"), "nodes")
+    sets = written(full_sets(docs, nodes.select("node", "key")), "sets")
+    entries = met.select("bucket", "node", "n").join(nodes.select("node", "weight"), "node")
+    hubs = entries.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    starred = written(met.select("bucket", "node", "n").join(hubs, "bucket"), "stars")
+    pairs = starred.filter("node <> hub").filter(100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
+    links = written(confirmed(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "links")
+    comps = None if links.isEmpty() else components(links)
+    labelled = written(_labelled(starred, comps), "labelled")
+    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).filter("x < y and m > 2").select("bucket")
+    again = labelled.join(open_, "bucket")
+    centre = labelled.filter("node = hub").select("hub", F.col("comp").alias("hub_comp")).distinct()
+    families = written(again.select("hub", "node", "n", "comp").distinct().join(centre, "hub"), "families")
+    late = written(stray_links(families, sets), "late")
+    if not late.isEmpty():
+        comps = components(links.unionByName(late))
+    return rows, classes, comps
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows, classes, comps = near_classes(docs, percent)
+    rows, classes, comps = near_classes(docs)
     ids = classes.select("key", "node", "low", "rows")
     if comps is None:
         ids = ids.withColumn("component_id", F.col("low"))
