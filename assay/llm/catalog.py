@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, exact_dedup, jaccard_join, language_id, main_text, near_dups, packing, repeated_passages, token_output, topk, urls
+from assay.llm import bpe, conversation_repair, exact_dedup, jaccard_join, language_id, main_text, near_dups, packing, repeated_passages, token_output, topk, urls
 from assay.sources.tables import read_table
 
 #: Vocabularies of the registered queries; operators take any path.
@@ -58,8 +58,13 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(conversation_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_language_id, op4_substring_dedup,
-                                   op5_url_filter, op6_packing, op7_token_output, op8_jaccard_join, op9_top_k, op10_main_text, op11_minhash)}
+                                   op5_url_filter, op6_packing, op7_token_output, op8_jaccard_join, op9_top_k, op10_main_text, op11_minhash,
+                                   op13_conversation_repair)}
 
 #: A-Z lower-cased, as the operators compare texts.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
