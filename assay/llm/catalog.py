@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, conversation_repair, exact_dedup, jaccard_join, language_id, main_text, near_dups, packing, repeated_passages, token_output, topk, urls
+from assay.llm import bpe, collocations, conversation_repair, exact_dedup, jaccard_join, language_id, main_text, near_dups, packing, repeated_passages, token_output, topk, urls
 from assay.sources.tables import read_table
 
 #: Vocabularies of the registered queries; operators take any path.
@@ -58,12 +58,16 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digest(conversation_repair.damaged(read_table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_language_id, op4_substring_dedup,
-                                   op5_url_filter, op6_packing, op7_token_output, op8_jaccard_join, op9_top_k, op10_main_text, op11_minhash,
+                                   op5_url_filter, op6_packing, op7_token_output, op8_jaccard_join, op9_top_k, op10_main_text, op11_minhash, op12_collocations,
                                    op13_conversation_repair)}
 
 #: A-Z lower-cased, as the operators compare texts.
@@ -103,6 +107,28 @@ FROM t LEFT JOIN z ON z.doc_id = t.doc_id
 JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = t.doc_id"""
 
 
+COLLOCATIONS_SQL = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+     s AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS m FROM w),
+     g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g FROM s),
+     f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY lang, m, g),
+     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+     c AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+     k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+     h AS (SELECT k.lang, k.g, k.a, k.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(k.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+           FROM k JOIN f x ON x.lang = k.lang AND x.m = k.k AND x.g = array_to_string(k.w[1:k.k], ' ')
+                  JOIN f y ON y.lang = k.lang AND y.m = k.m - k.k AND y.g = array_to_string(k.w[k.k + 1:], ' ')),
+     b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+     i AS (SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda z: list_transform(range(1, m - z + 2), lambda j: array_to_string(w[j:j + z - 1], ' '))))) AS g
+           FROM c WHERE m > 2),
+     j AS (SELECT lang, g, max(a) AS longer FROM i GROUP BY lang, g),
+     o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank
+           FROM b LEFT JOIN j ON j.lang = b.lang AND j.g = b.g WHERE j.longer IS NULL OR 100 * j.longer < 80 * b.a)
+SELECT o.lang, o.rank, o.g AS phrase, o.a, o.l, o.r, n.n, o.score FROM o JOIN n ON n.lang = o.lang WHERE o.rank <= 2000"""
+
+
 ORACLE_SQL = {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_top_k": TOP_K_SQL,
               "op8_jaccard_join": groups_sql(5, ""),
+              "op12_collocations": COLLOCATIONS_SQL,
               "op11_minhash": groups_sql(2, ", t.doc_id = c.component_id AS kept")}
