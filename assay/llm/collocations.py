@@ -143,8 +143,10 @@ def _bits(entries: int, shard: int = SHARD) -> int:
 
 def _shard_cuts(first: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) of sorted numbers by their bits above ``shift``."""
+    if not len(first):
+        return []
     shard = first >> np.uint64(shift)
-    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
     return [(int(shard[a]), a, z) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True)]
 
 
