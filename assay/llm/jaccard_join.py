@@ -167,6 +167,9 @@ def text_key(docs: DataFrame):
     return F.unhex(F.sha2(F.coalesce(docs["text"].cast("binary"), F.lit(b"")), 256))
 
 
+#: Rows of the first exchange: ``at`` is the set's size and the hash's place in one number.
+PLACED = "token bigint, row bigint, at bigint"
+_PLACED = pa.schema([("token", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
 TOKENS = "token bigint, row bigint, n int, place int"
 _TOKENS = pa.schema([("token", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 
@@ -186,8 +189,8 @@ def _tokens(it):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.frombuffer(b"".join([prefix[k] for k in new]), np.int64)),
                  pa.array(np.repeat(np.array([row[k] for k in new], np.int64), size)),
-                 pa.array(np.repeat(np.array([n[k] for k in new], np.int32), size)),
-                 pa.array((np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32))], schema=_TOKENS)
+                 pa.array(np.repeat(np.array([n[k] for k in new], np.int64) << 32, size)
+                          + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)))], schema=_PLACED)
 
 
 def may_meet(n_a, place_a, n_b, place_b, percent: int = PERCENT):
@@ -252,11 +255,12 @@ def _by_tile(it, fn):
 def _shared(percent: int):
     """Rows that may meet another row of their tile (all rows of large tiles)."""
     def tell(cols, large):
-        token, _, n, place = cols
+        token, row, at = cols
+        n, place = (at >> 32).astype(np.int32), (at & 0xFFFFFFFF).astype(np.int32)
         use = np.full(len(token), large) | (_sizes(token) > SMALL)
         for i, j in _near(token, n, place, percent):
             use[i] = use[j] = True
-        return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in cols], schema=_TOKENS)
+        return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in (token, row, n, place)], schema=_TOKENS)
 
     return lambda it: _by_tile(it, tell)
 
@@ -411,8 +415,8 @@ def similar_rows(docs: DataFrame, percent: int = PERCENT, keyed: bool = False) -
     same = part.groupBy("digest").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     same = written(part.select(F.col("row").alias("a"), "digest").join(same, "digest").filter("a <> b").select("a", "b"), "same")
 
-    tokens = sketches.filter("n > 0 and doc_id is not null").select("row", "n", "digest", "prefix").mapInArrow(_tokens, TOKENS)
-    tiles = written(tokens.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_shared(percent), TOKENS), "tiles")
+    tokens = sketches.filter("n > 0 and doc_id is not null").select("row", "n", "digest", "prefix").mapInArrow(_tokens, PLACED)
+    tiles = written(tokens.repartition("token").sortWithinPartitions("token", "at").mapInArrow(_shared(percent), TOKENS), "tiles")
 
     # each document with the hub of its tiles: the one that is in most tiles
     often = tiles.groupBy("row").agg(F.count(F.lit(1)).alias("often"))
