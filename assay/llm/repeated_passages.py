@@ -2,7 +2,7 @@
 
 1. Documents are dealt to blocks of bounded size. In each block the minimizers of the
    windows (short phrases; equal windows choose the same one) are listed once with the
-   least and greatest document that hold them; a phrase that two documents of the corpus
+   least document that holds them and whether the block has another; a phrase that two documents of the corpus
    hold recurs.
 2. Each block compiles the phrases that recur and that it holds into an Aho-Corasick
    automaton of its own, and all its documents stream through it; windows whose minimizer
@@ -10,8 +10,7 @@
    corpus, which gives the least document of each window.
 3. Each block marks the words of its windows that start in a smaller document.
 
-Rows that share a doc_id need not share a block: lists name the least and greatest document
-of all blocks. The text moves once (the three steps share its exchange). Lists hold one row per block and
+Rows that share a doc_id need not share a block: lists name the least document of all blocks. The text moves once (the three steps share its exchange). Lists hold one row per block and
 phrase or window, so a passage that a third of the documents share costs one row a block.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing;
@@ -41,7 +40,7 @@ PHRASE = 6
 BASE, DIGITS = 64, 3
 SHARD = BASE ** DIGITS // PHRASE - 1
 #: Text of a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Block:
@@ -90,18 +89,18 @@ class Block:
         return phrases, at + np.arange(len(least))
 
 
-_LISTED = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-LISTED = "block bigint, key bigint, lo bigint, hi bigint"
+_LISTED = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("lo", pa.int64()), ("several", pa.bool_())])
+LISTED = "block int, key bigint, lo bigint, several boolean"
 
 
 def _listed(block: int, keys: np.ndarray, owner: np.ndarray) -> pa.Table:
-    """Distinct keys with the least and greatest document that holds each."""
+    """Distinct keys with the least document that holds each, and whether another one does."""
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     lo, hi = (f.reduceat(owner, first) if len(keys) else owner for f in (np.minimum, np.maximum))
-    return pa.Table.from_arrays([pa.array(np.full(len(first), block, np.int64)), pa.array(keys[first].view(np.int64)),
-                                 pa.array(lo), pa.array(hi)], schema=_LISTED)
+    return pa.Table.from_arrays([pa.array(np.full(len(first), block, np.int32)), pa.array(keys[first].view(np.int64)),
+                                 pa.array(lo), pa.array(lo < hi)], schema=_LISTED)
 
 
 def _phrases(table: pa.Table) -> pa.Table:
@@ -188,7 +187,7 @@ def _dealt(docs: DataFrame, carry: tuple[str, ...], n_blocks: int) -> DataFrame:
     none spread, and so do copies of one row. A task that runs again deals the same blocks."""
     place = F.xxhash64("doc_id", "text", F.spark_partition_id())
     return docs.select("doc_id", *carry, F.col("text").cast("binary").alias("text"),
-                       F.pmod(place, F.lit(n_blocks)).alias("block")).repartition(n_blocks, "block")
+                       F.pmod(place, F.lit(n_blocks)).cast("int").alias("block")).repartition(n_blocks, "block")
 
 
 def remove_repeats(docs: DataFrame, *, carry: tuple[str, ...] = (), leave_clean: bool = False,
@@ -205,11 +204,12 @@ def remove_repeats(docs: DataFrame, *, carry: tuple[str, ...] = (), leave_clean:
     dealt = _dealt(docs, carry, n_blocks)
 
     over_key = Window.partitionBy("key")
-    spread = [F.min("lo").over(over_key).alias("least"), F.max("hi").over(over_key).alias("most")]
+    least, most = F.min("lo").over(over_key).alias("least"), F.max("lo").over(over_key).alias("most")
     recurring = (dealt.groupBy("block").applyInArrow(_phrases, LISTED)
-                 .select("block", "key", *spread).filter("least < most").select("block", "key"))
+                 .select("block", "key", least, most, F.max("several").over(over_key).alias("several"))
+                 .filter("least < most or several").select("block", "key"))
     confirmed = (dealt.groupBy("block").cogroup(recurring.groupBy("block")).applyInArrow(_candidates, LISTED)
-                 .select("block", "key", "hi", *spread).filter("least < hi").select("block", "key", "least"))
+                 .select("block", "key", "lo", "several", least).filter("least < lo or several").select("block", "key", "least"))
 
     out = T.StructType([docs.schema["doc_id"], *[docs.schema[c] for c in carry], T.StructField("text", T.BinaryType()),
                         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
