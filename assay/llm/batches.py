@@ -3,6 +3,7 @@ written to the folder that the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,16 @@ def chunks(batch: pa.RecordBatch, by: str, limit: int = CHUNK_BYTES) -> Iterator
         yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task would
+    keep it from the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema,
                by: str) -> DataFrame:
     """``mapInArrow`` over slices bounded in bytes; ``fn`` sees one slice at a time."""
@@ -43,6 +54,7 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -52,6 +64,14 @@ def texts_of(df: DataFrame, *cols: str, text: str = "text") -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("binary").alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (Spark compares without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"

@@ -14,6 +14,7 @@ whole; lang, source and doc_id never enter a prediction.
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
 
-from assay.llm.batches import map_chunks
+from assay.llm.batches import chunks, map_chunks, release, unused
+from assay.session import ship_package
 
 UND = "und"
 #: Bytes of a window.
@@ -211,17 +213,26 @@ def identify(df: DataFrame, net: Network) -> DataFrame:
 def with_language(df: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score"), letters: str | None = None) -> DataFrame:
     """``df`` with two more columns, the label and the score of its ``text``; with ``letters``
     a third of that name, whether the text has a letter."""
-    more = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    kinds = [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.BooleanType())]
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf(T.StructType(kinds))
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            found = [[], [], []]
+            for piece in chunks(pa.RecordBatch.from_arrays([batch], ["text"]), "text"):
+                raw = piece.column("text").to_pylist()
+                label, score = judge(net, raw)
+                for column, values in zip(found, (label, score, [b is not None and has_letter(b.decode("utf-8", "replace")) for b in raw]), strict=True):
+                    column += values
+            yield pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.bool_())],
+                                             ["label", "score", "letters"])
+        release()
+
+    # the other columns stay in the JVM; a network is judged once a row, so the call isn't moved or copied
+    own = unused(df, "judged")
+    added = [F.col(f"{own}.label").alias(names[0]), F.col(f"{own}.score").alias(names[1])]
     if letters:
-        more.append(T.StructField(letters, T.BooleanType()))
-    added = [f.name for f in more]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = batch.column("text").cast(pa.binary()).to_pylist()
-        label, score = judge(net, raw)
-        columns = [pa.array(label, pa.string()), pa.array(score, pa.float64())]
-        if letters:
-            columns.append(pa.array([b is not None and has_letter(b.decode("utf-8", "replace")) for b in raw], pa.bool_()))
-        return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *added])
-
-    return map_chunks(df, run, T.StructType([*df.schema, *more]), "text")
+        added.append(F.col(f"{own}.letters").alias(letters))
+    judged = judged.asNondeterministic()
+    return df.withColumn(own, judged(F.col("text").cast("binary"))).select(*[F.col(f"`{c}`") for c in df.columns], *added)
