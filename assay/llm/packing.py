@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from assay.llm.batches import CHUNK_BYTES, chunks, texts_of
+from assay.llm.batches import CHUNK_BYTES, chunks, release, texts_of
 from assay.llm.bpe import ByteBPE, read_text
 from assay.session import ship_package
 
@@ -172,8 +172,11 @@ def groups(it, path: str, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS
             if total >= group_tokens:
                 yield names, np.concatenate(flats), np.concatenate(sizes)
                 names, flats, sizes, total = [], [], [], 0
+                release()
     if names:
         yield names, np.concatenate(flats), np.concatenate(sizes)
+    del names, flats, sizes
+    release()
 
 
 def _first_number() -> int:
