@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.batches import chunks, shuffle_width
+from assay.llm.batches import chunks, release, shuffle_width
 from assay.llm.words import run_hashes, word_hashes, word_spans
 from assay.session import ship_package
 
@@ -107,6 +107,7 @@ def _phrases(table: pa.Table) -> pa.Table:
     b = Block(table)
     hashes, at = b.minimizers()
     at = np.unique(at[b.whole[:len(at)]])
+    release()
     return _listed(table.column("block")[0].as_py(), hashes[at], b.owner[at])
 
 
@@ -163,6 +164,7 @@ def _candidates(key, docs: pa.Table, recurring: pa.Table) -> pa.Table:
     hit = occurrences(b.words, len(hashes), places)
     start = np.flatnonzero(whole)
     start = start[hit[at[start]]]
+    release()
     return _listed(key[0].as_py(), b.windows()[start], b.owner[start])
 
 
@@ -221,7 +223,7 @@ def remove_repeats(docs: DataFrame, *, carry: tuple[str, ...] = (), leave_clean:
         b = Block(docs, keep_words=True)
         gone = _marked(b, confirmed)
         begin, end = (np.concatenate(x) for x in zip(*b.spans, strict=True))
-        texts, removed = [], []
+        texts, removed, count = [], [], b.count
         a = 0
         source = docs.column("text")
         for d, z in enumerate(b.ends.tolist()):
@@ -236,7 +238,9 @@ def remove_repeats(docs: DataFrame, *, carry: tuple[str, ...] = (), leave_clean:
                 else:
                     texts.append(b" ".join(raw.split()))
             a = z
-        cols = {"text": pa.array(texts, pa.binary()), "n_words": pa.array(b.count, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+        del b, gone, begin, end
+        release()
+        cols = {"text": pa.array(texts, pa.binary()), "n_words": pa.array(count, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
         return pa.table({n: cols.get(n, docs.column(n) if n in docs.schema.names else None) for n in names})
 
     result = dealt.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(kept, out)
