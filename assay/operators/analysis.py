@@ -5,9 +5,7 @@ dashboard metrics are 4-decimal scores or 0/1 flags.
 
 Every operator takes a metric list and skips metrics that are absent from the
 frame. Group-level statistics are ``groupBy`` aggregates (partial aggregation
-before the shuffle); exact quartiles use Spark's ``percentile``, whose buffer
-is a value -> count map (memory grows with the distinct values of a group, not
-its rows).
+before the shuffle); exact quartiles come from running counts (``prefix``).
 """
 
 from __future__ import annotations
@@ -15,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.operators.stats import CAND, REF, welch
+from assay.operators.prefix import exact_quantiles, value_counts
+from assay.operators.stats import CAND, REF, joined, welch
 
 # fixed values: language code -> label, and the dashboard's metric columns
 LANGUAGE_MAP = {1: "English", 2: "Spanish", 3: "Portuguese"}
@@ -46,17 +45,20 @@ def melt(df: DataFrame, id_cols: list[str], metrics: list[str]) -> DataFrame:
 
 def descriptive_stats(long: DataFrame, group: list[str]) -> DataFrame:
     """D8/D9/D15 — mean, sample std/variance (NULL if n <= 1), cv (NULL if mean 0),
-    linear-interpolation quartiles, iqr, min, max, count; NULLs ignored."""
+    linear-interpolation quartiles, iqr, min, max, count; NULLs ignored.
+
+    Quartiles are read off running counts of the distinct values, scanned over range
+    partitions; no buffer holds a group's values.
+    """
     v = F.col("value")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = long.filter(v.isNotNull()).groupBy(*group).agg(
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"),
-        q.alias("_q"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"))
+        F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"))
+    q = exact_quantiles(value_counts(long, group), group, (0.25, 0.5, 0.75))
     cv = F.when(F.col("std").isNull() | (F.col("mean") == 0), F.lit(None).cast("double")).otherwise(
         F.col("std") / F.col("mean"))
-    return g.select(*group, "mean", "std", "variance", cv.alias("cv"), F.col("_q")[0].alias("q1"),
-                    F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"),
-                    (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"), "min", "max", "count")
+    return joined(g, q, group).select(*group, "mean", "std", "variance", cv.alias("cv"), F.col("q0").alias("q1"), F.col("q1").alias("q2"),
+                                      F.col("q2").alias("q3"), (F.col("q2") - F.col("q0")).alias("iqr"), "min", "max", "count")
 
 
 def z_scores(long: DataFrame, group: list[str]) -> DataFrame:

@@ -1,16 +1,17 @@
-"""I8, I12-I14 — bootstrap on value histograms, distributed over replicates.
+"""I8, I12-I14 — bootstrap on value histograms, distributed over replicates and slices.
 
-A resample of size n from n values is Multinomial(n, counts / n) over the
-value histogram, so only ``(group, value, count)`` is needed:
+A resample of size n from n values is Multinomial(n, counts / n) over the value
+histogram, and a multinomial splits: first how many draws fall into each slice of the
+histogram, then the draws inside each slice. So only ``(group, value, count)`` is needed,
+and no row holds a group's histogram:
 
 1. ``groupBy(group, value).count()`` — distributed, partial-aggregated, skew-free;
-2. one packed histogram row per group (its size is the number of distinct
-   values: scores are 4-decimal, so bounded), exploded into replicate blocks;
-3. blocks are spread over the cluster and drawn in ``mapInPandas`` with
-   ``numpy.random.default_rng([seed, group_hash, block])`` — independent of
-   partitioning and of the number of executors;
-4. ``percentile`` of the replicate means per group (linear interpolation, as
-   numpy's default).
+2. running counts cut a group's sorted values into slices of ``SLICE`` values;
+3. for each block of replicates the slices' totals are drawn, one number a slice;
+4. each (block, slice) is drawn in a task of its own, with
+   ``numpy.random.default_rng([seed, group_hash, block, slice])`` — independent of
+   partitioning and of the number of executors — and leaves partial sums, added by replicate;
+5. quantiles of the replicate means per group (linear interpolation, as numpy's default).
 
 The replicate streams differ from a single sequential generator, so the
 numbers are statistically, not bit-for-bit, equal to a sequential bootstrap.
@@ -23,44 +24,73 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 500  # replicates drawn per task row
+from assay.operators.prefix import prefix_scan, value_counts
+from assay.operators.stats import joined
 
+BLOCK = 500  # replicates drawn at a time
+SLICE = 4096  # distinct values of a histogram slice
 
-def histogram(long: DataFrame, group: list[str], value_col: str = "value") -> DataFrame:
-    """Packed value histogram per group: ``n``, ``mean``, ``std_samp``, ``hist`` (array<struct<v,c>>)."""
-    h = long.filter(F.col(value_col).isNotNull()).groupBy(*group, value_col).agg(F.count(F.lit(1)).alias("c"))
-    g = h.groupBy(*group).agg(
-        F.sum("c").alias("n"),
-        F.array_sort(F.collect_list(F.struct(F.col(value_col).cast("double").alias("v"), F.col("c")))).alias("hist"),
-    )
-    # the mean is summed over the sorted histogram, so it does not depend on partitioning
-    total = F.aggregate("hist", F.lit(0.0), lambda acc, x: acc + x["v"] * x["c"])
-    return g.withColumn("mean", total / F.col("n"))
 
+def histogram(long: DataFrame, group: list[str], value_col: str = "value", slice_values: int = SLICE) -> DataFrame:
+    """Histogram slices (group..., slice, n, total, hist: array<struct<v, c>> sorted by value)."""
+    counts = value_counts(long.select(*group, F.col(value_col).cast("double").alias("v")), group, "v", "c").withColumn("one", F.lit(1).cast("long"))
+    placed = prefix_scan(counts, group, [F.col("v")], sums=["one"])
+    slices = placed.groupBy(*group, F.floor(F.col("one_before") / slice_values).alias("slice")).agg(
+        F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("v", "c"))).alias("hist"))
+    return slices.withColumn("total", F.aggregate("hist", F.lit(0.0), lambda acc, x: acc + x["v"] * x["c"]))
 
-def _draw_fn(group: list[str], seed: int):
+
+def _in_order(value: str) -> F.Column:
+    """Sum over a group's slices in their order, whatever the partitioning."""
+    return F.aggregate(F.array_sort(F.collect_list(F.struct("slice", F.col(value).alias("x")))), F.lit(0.0), lambda acc, e: acc + e["x"])
+
+
+def means(slices: DataFrame, group: list[str]) -> DataFrame:
+    """n and mean of each group."""
+    return slices.groupBy(*group).agg(F.sum("n").alias("n"), _in_order("total").alias("_total")).select(
+        *group, "n", (F.col("_total") / F.col("n")).alias("mean"))
+
+
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
+
+
+def _slice_totals(group: list[str], seed: int):
+    """How many of a replicate's draws fall into each slice, for a block of replicates."""
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for d in pdf.to_dict("records"):
+                numbers = [s["slice"] for s in d["slices"]]
+                n = np.array([s["n"] for s in d["slices"]], dtype=np.int64)
+                rng = np.random.default_rng([seed, int(d["_gh"]) & 0x7FFFFFFF, int(d["_block"])])
+                drawn = rng.multinomial(n.sum(), n / n.sum(), size=int(d["_size"]))
+                frame = {g: [d[g]] * len(numbers) for g in group}
+                out.append(pd.DataFrame(frame | {"_gh": d["_gh"], "_block": d["_block"], "slice": numbers, "drawn": list(drawn.T)}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+    return draw
+
+
+def _slice_sums(group: list[str], seed: int):
+    """Sums of the values that a block's replicates draw from a slice."""
     def draw(batches):
         for pdf in batches:
             out = []
             for d in pdf.to_dict("records"):
                 vals = np.array([h["v"] for h in d["hist"]], dtype=np.float64)
                 cnts = np.array([h["c"] for h in d["hist"]], dtype=np.float64)
-                n = int(cnts.sum())
-                rng = np.random.default_rng([seed, int(d["_gh"]) & 0x7FFFFFFF, int(d["_block"])])
-                size = int(d["_size"])
-                draws = rng.multinomial(n, cnts / n, size=size)
-                means = draws @ vals / n
+                rng = np.random.default_rng([seed, int(d["_gh"]) & 0x7FFFFFFF, int(d["_block"]), 1 + int(d["slice"])])
+                sums = rng.multinomial(np.asarray(d["drawn"], dtype=np.int64), cnts / cnts.sum()) @ vals
+                frame = {g: [d[g]] * len(sums) for g in group}
                 first = int(d["_block"]) * BLOCK
-                frame = {g: [d[g]] * size for g in group}
-                frame["replicate"] = np.arange(first, first + size, dtype=np.int64)
-                frame["boot_mean"] = means
-                out.append(pd.DataFrame(frame))
+                out.append(pd.DataFrame(frame | {"slice": d["slice"], "replicate": np.arange(first, first + len(sums), dtype=np.int64), "part": sums}))
             if out:
                 yield pd.concat(out, ignore_index=True)
     return draw
 
 
-def bootstrap_means(hist: DataFrame, group: list[str], bootstrap_b: int, seed: int,
+def bootstrap_means(slices: DataFrame, group: list[str], bootstrap_b: int, seed: int,
                     key_cols: list[str] | None = None) -> DataFrame:
     """One row per (group, replicate) with the replicate mean.
 
@@ -69,27 +99,30 @@ def bootstrap_means(hist: DataFrame, group: list[str], bootstrap_b: int, seed: i
     """
     key_cols = key_cols or group
     n_blocks = (bootstrap_b + BLOCK - 1) // BLOCK
-    blocks = hist.select(
-        *group, "hist", F.xxhash64(*[F.col(c).cast("string") for c in key_cols]).alias("_gh"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"))
-    blocks = blocks.withColumn(
+    sizes = slices.groupBy(*group).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("slice", "n"))).alias("slices"))
+    blocks = sizes.select(
+        *group, "slices", F.xxhash64(*[F.col(c).cast("string") for c in key_cols]).alias("_gh"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block")).withColumn(
         "_size", F.least(F.lit(BLOCK), F.lit(bootstrap_b) - F.col("_block") * BLOCK))
-    # spread blocks over the cluster: (group, block) is a unique, balanced key; one
-    # to two waves of tasks (the cluster's default parallelism) is enough work per task
-    parts = max(1, min(n_blocks * 8, 2 * hist.sparkSession.sparkContext.defaultParallelism))
-    spread = blocks.repartition(parts, *group, "_block")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in hist.select(*group).schema.fields]
-                       + ["replicate bigint", "boot_mean double"])
-    return spread.mapInPandas(_draw_fn(group, seed), schema)
+    # blocks are spread over the cluster by (group, block), a unique, balanced key
+    parts = max(1, min(n_blocks * 8, 2 * slices.sparkSession.sparkContext.defaultParallelism))
+    keys = _fields(slices, group)
+    totals = blocks.repartition(parts, *group, "_block").mapInPandas(
+        _slice_totals(group, seed), f"{keys}, _gh bigint, _block int, slice bigint, drawn array<bigint>")
+    drawn = joined(totals, slices.select(*group, F.col("slice"), "hist"), [*group, "slice"])
+    sums = drawn.repartition(parts, *group, "_block", "slice").mapInPandas(
+        _slice_sums(group, seed), f"{keys}, slice bigint, replicate bigint, part double")
+    boots = sums.groupBy(*group, "replicate").agg(_in_order("part").alias("_sum"))
+    return joined(boots, sizes.select(*group, "n"), group).select(*group, "replicate", (F.col("_sum") / F.col("n")).alias("boot_mean"))
 
 
 def bootstrap_ci(long: DataFrame, group: list[str], *, bootstrap_b: int = 10_000, seed: int = 42,
                  percentiles=(0.025, 0.975), value_col: str = "value") -> DataFrame:
     """Bootstrap percentiles of the mean per group: n, mean, and one column per percentile."""
-    hist = histogram(long, group, value_col)
+    hist = histogram(long, group, value_col).checkpoint()  # read for the totals, the draws and the means
     boots = bootstrap_means(hist, group, bootstrap_b, seed)
     q = boots.groupBy(*group).agg(F.percentile("boot_mean", F.array(*[F.lit(p) for p in percentiles])).alias("_q"))
-    out = hist.select(*group, "n", "mean").join(q, group)
+    out = joined(means(hist, group), q, group)
     return out.select(*group, "n", "mean", *[F.col("_q")[i].alias(f"p{i}") for i in range(len(percentiles))])
 
 
@@ -140,14 +173,14 @@ def discrimination_delta(f1_long: DataFrame, *, bootstrap_b: int = 10_000, seed:
     """I14 — bootstrap of |mean(F1 positivo) - mean(F1 negativo)| with independent
     resamples per category, joined on the replicate id. One row (composite metric)."""
     pos_neg = f1_long.filter(F.col(category_col).isin("positivo", "negativo"))
-    hist = histogram(pos_neg, [category_col], value_col)
+    hist = histogram(pos_neg, [category_col], value_col).checkpoint()
     boots = bootstrap_means(hist, [category_col], bootstrap_b, seed)
     pos = boots.filter(F.col(category_col) == "positivo").select("replicate", F.col("boot_mean").alias("bp"))
     neg = boots.filter(F.col(category_col) == "negativo").select("replicate", F.col("boot_mean").alias("bn"))
     deltas = pos.join(neg, "replicate").select(F.abs(F.col("bp") - F.col("bn")).alias("delta"))
     pcts = F.array(*[F.lit(p) for p in (percentile / 100.0, alpha / 2, 1 - alpha / 2)])
     q = deltas.agg(F.percentile("delta", pcts).alias("_q"), F.stddev_samp("delta").alias("reference_std"))
-    actual = hist.agg(
+    actual = means(hist, [category_col]).agg(
         F.abs(F.max(F.when(F.col(category_col) == "positivo", F.col("mean")))
               - F.max(F.when(F.col(category_col) == "negativo", F.col("mean")))).alias("reference_mean"),
         F.sum("n").alias("sample_count"),

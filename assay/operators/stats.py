@@ -6,19 +6,20 @@ aggregation to sufficient statistics — value histograms for the rank tests,
 2x2 counts for the binary tests, moments for effect sizes — followed by a
 vectorised p-value finish (pandas UDF) on one row per group.
 
-Rank tests never sort raw rows: mid-ranks come from a cumulative window over
-the *distinct values* of a group (4-decimal scores: bounded cardinality), so a
-hot group costs one partial-aggregate row per value per task.
+Rank tests never sort raw rows: mid-ranks come from running counts over the
+*distinct values* of a group, scanned over range partitions (``prefix``), so neither
+a hot group nor a measure with as many values as rows gathers in one task.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from assay.functions import special
+from assay.operators.prefix import prefix_scan
 
 CAND, REF = "candidate", "reference"
 
@@ -114,10 +115,10 @@ def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 # ---------------------------------------------------------------- rank kernel
 def _midranks(hist: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Mid-rank of every distinct ``key`` of a group: cum_before + (t + 1) / 2."""
-    w = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("t").over(w), F.lit(0))
-    return hist.withColumn("midrank", before + (F.col("t") + 1) / 2.0)
+    """E5 — mid-rank of every distinct ``key`` of a group: count before it + (t + 1) / 2.
+    The running counts are scanned over range partitions, so no task holds a group."""
+    return prefix_scan(hist, group, [F.col(key)], sums=["t"]).withColumn(
+        "midrank", F.col("t_before") + (F.col("t") + 1) / 2.0).drop("t_before")
 
 
 def mann_whitney_stats(long: DataFrame, group: list[str], side_col="side", value_col="value") -> DataFrame:
@@ -283,16 +284,36 @@ def bh_adjust(results: DataFrame, family: list[str] | None = None, alpha: float
               p_col: str = "p_value") -> DataFrame:
     """E6/I9 — Benjamini-Hochberg step-up: adjusted p = min over larger ranks of
     p * m / rank, capped at 1; reject = adjusted <= alpha. ``family`` partitions
-    independent corrections (e.g. per run)."""
+    independent corrections (e.g. per run).
+
+    Equal p-values share the adjusted value of their last rank, so the step-up runs over
+    the distinct p-values: a running count gives the ranks and a running minimum from the
+    greatest p downwards the adjusted values, both over range partitions of any family size.
+    """
     family = list(family or [])
-    w_rank = Window.partitionBy(*family).orderBy(p_col)
-    w_all = Window.partitionBy(*family)
-    r = results.withColumn("_rank", F.row_number().over(w_rank)).withColumn("_m", F.count(F.lit(1)).over(w_all))
-    w_down = Window.partitionBy(*family).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adj = F.least(F.lit(1.0), F.min(F.col(p_col) * F.col("_m") / F.col("_rank")).over(w_down))
-    return (r.withColumn("p_value_adjusted", adj)
-            .withColumn("reject_null", F.col("p_value_adjusted") <= alpha)
-            .drop("_rank", "_m"))
+    counts = results.groupBy(*family, F.col(p_col).alias("_p")).agg(F.count(F.lit(1)).alias("_t"))
+    sizes = results.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = joined(prefix_scan(counts, family, [F.col("_p")], sums=["_t"]), sizes, family)
+    steps = ranked.select(*family, "_p", (F.col("_p") * F.col("_m") / (F.col("_t_before") + F.col("_t"))).alias("_a"))
+    stepped = prefix_scan(steps, family, [F.col("_p").desc()], mins=["_a"])
+    adjusted = stepped.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(family)], F.col("_p").alias("_q"),
+                              F.least(F.lit(1.0), F.col("_a_so_far")).alias("p_value_adjusted"))
+    same = F.col(p_col).eqNullSafe(F.col("_q"))
+    for i, c in enumerate(family):
+        same = same & F.col(c).eqNullSafe(F.col(f"_f{i}"))
+    return (results.join(adjusted, same).drop("_q", *[f"_f{i}" for i in range(len(family))])
+            .withColumn("reject_null", F.col("p_value_adjusted") <= alpha))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join on ``keys``, nulls equal; without keys ``right`` is a single row."""
+    if not keys:
+        return left.join(F.broadcast(right))
+    named = right.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 # --------------------------------------------------------------- Welch t test
