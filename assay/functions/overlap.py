@@ -25,8 +25,12 @@ def set_f1(a_tokens, b_tokens, digits: int = 4, distinct_inputs: bool = False) -
     """
     da = _c(a_tokens) if distinct_inputs else F.array_distinct(_c(a_tokens))
     db = _c(b_tokens) if distinct_inputs else F.array_distinct(_c(b_tokens))
-    na, nb = F.size(da), F.size(db)
-    inter = F.size(F.array_intersect(da, db))
+    return f1_of_sizes(F.size(F.array_intersect(da, db)), F.size(da), F.size(db), digits)
+
+
+def f1_of_sizes(common, a_size, b_size, digits: int = 4) -> Column:
+    """The same F1 from the sizes of two sets and of their intersection (null: none)."""
+    inter, na, nb = F.coalesce(_c(common), F.lit(0)), _c(a_size), _c(b_size)
     p = F.try_divide(inter, na)
     r = F.try_divide(inter, nb)
     f1 = F.try_divide(F.lit(2.0) * (p * r), p + r)
