@@ -29,7 +29,7 @@ VALID_LANGS = ("en", "es", "fr", "de")
 def raw_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"),
-                    F.translate("text", "\n", " ").alias("question"),
+                    F.replace("text", F.lit("\n"), F.lit(" ")).alias("question"),
                     F.col("lang").alias("data_category_QA"), F.col("source").alias("name"))
 
 
