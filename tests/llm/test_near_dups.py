@@ -92,7 +92,11 @@ def test_sketch_agrees_as_often_as_the_sets(spark):
     assert few.tolist() == slow
 
 
-def test_a_long_text_is_split_at_white_space():
-    text = b" ".join(b"w%d" % k for k in range(200_000))
-    words, bounds = word_hashes([text, b"", b"w7"])
-    assert bounds.tolist() == [0, 200_000, 200_000, 200_001] and words[7] == words[-1] and len(set(words.tolist())) == 200_000
+def test_words_of_all_sizes_are_told_apart():
+    words = [b"x" * k for k in range(1, 40)] + [b"\0" * k for k in range(1, 20)] + [b"abcdefgh" + b"\0" * k for k in range(12)]
+    words += [b"w%d" % k for k in range(200_000)] + [bytes([c]) for c in range(256) if c not in (9, 10, 11, 12, 13, 32)]
+    words = [*dict.fromkeys(words)]
+    found, bounds = word_hashes([b" \t".join(words), b"", b" w7 "])
+    assert bounds.tolist() == [0, len(words), len(words), len(words) + 1]
+    assert len(set(found.tolist())) == len(words) and found[words.index(b"w7")] == found[-1]
+    assert word_hashes([])[1].tolist() == [0] and word_hashes([b""])[0].tolist() == []
