@@ -146,3 +146,8 @@ ORACLE_SQL.update({
     "trace_lookup": pp.TRACE_LOOKUP_SQL,
     "medallion_build": "WITH " + dp.RAW_SQL + ",\n" + dp.PREDS_SQL + pp.MEDALLION_BUILD_SQL_TAIL,
 })
+
+from assay.plans import isolated_plans as ip  # noqa: E402
+
+QUERIES.update(ip.QUERIES)
+ORACLE_SQL.update(ip.ORACLE_SQL)
