@@ -10,9 +10,9 @@ state forever). Exactly-once per file comes from the streaming checkpoint.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from assay.sources.medallion import PREDICTION_SCHEMA
 
@@ -22,7 +22,9 @@ KEYS = ["run_id", "id", "attempt"]
 def _target_keys(spark: SparkSession, target: str) -> DataFrame | None:
     try:
         return spark.read.parquet(target).select(*KEYS)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not (e.getCondition() or "").startswith(("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise  # a target that can't be read is no empty target: appending would repeat its rows
         return None
 
 
