@@ -398,3 +398,65 @@ def test_sql(spark, name):
 def test_one_query_of_each_operator():
     names = list(E.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+
+
+def told(page):
+    return main_text.main_text(f"<html><body>{page}</body></html>")
+
+
+def test_forms_are_judged_by_what_they_hold():
+    menu = "<nav><a href=x>Home</a></nav>"
+    for page in (f"<form id=f>{menu}<div>{STORY}</div><label>Name</label><input></form>", f"<form>{menu}<article>{STORY}</article></form>",
+                 f"<article>{STORY}</article><form><p>Your mail</p><p>Sign up for our letter</p></form>",
+                 f"<article>{STORY}<form><p>Your mail</p><p>Sign up</p></form></article>"):
+        assert told(page) == TOLD
+    assert told("<form><label>Name</label><label>Password</label></form>") == ""
+
+
+def test_compound_names_of_comments_and_adverts():
+    said = "A remark of some length, as long as a line of a story tends to be. " * 3
+    for mark in ('ul id="commentlist"', 'section class="reader-responses"', 'div class="userComments"', 'div id="replies"', 'div class="adsbygoogle"',
+                 'ins class="adsbygoogle"', 'div class="googleAdSlot"', 'div id="leftSideBar"', 'div class="sitefooter"'):
+        tag = mark.split()[0]
+        assert told(f"<article>{STORY}</article><{mark}><p>{said}</p></{tag}>") == TOLD
+        assert told(f"<article>{STORY}<{mark}>{said}</{tag}></article>") == TOLD
+    for kept in ("commentary", "subscript", "downloads", "threads", "survey-responses"):
+        assert told(f'<article>{STORY}<div class="{kept}">{said}</div></article>') == f"{TOLD} {said.strip()}"
+
+
+def test_menus_and_notices_at_the_ends():
+    links = "<a href=x>Home</a> | <a href=y>About us and all of our work</a>"
+    for before, after in ((f'<div id="bar">{links}</div>', ""), ("", f"<ul><li>{links}<li>{links}</ul>"), ("", "<p>Copyright 2020 by me</p>"),
+                          ("", '<div id="bottom">All rights reserved.</div>'), (f"<p>{links}</p>", f"<p>{links}</p><p>© 2020 A. N. Author</p>")):
+        assert told(f"{before}<article>{STORY}</article>{after}") == told(f"{before}<div>{STORY}</div>{after}") == TOLD
+    one = "<p><a href=x>A long line that is one link, with a text as long as that of a line of the story</a></p>"
+    assert told(f"<div>{STORY}{one}</div>").startswith(TOLD) and "one link" in told(f"<div>{STORY}{one}</div>")
+    assert told(f"<article>{STORY}<p>{links}</p></article>") == TOLD + " Home | About us and all of our work"
+    law = "Copyright law of 1998 changed all of that, and it has been so ever since, says the author of it."
+    assert told(f"<div>{STORY}<p>{law}</p></div>") == f"{TOLD} {law}"
+    assert told("<p>© 2020 me</p>") == "© 2020 me"
+
+
+def test_headings_of_an_article_header():
+    for head in ("<h1>Head</h1>", "<div><h1>Head</h1><p>By me</p></div>", "<nav><h2>Menu</h2></nav><h1>Head</h1>"):
+        assert told(f"<article><header>{head}</header>{STORY}</article>") == f"Head {TOLD}"
+        assert told(f"<header>{head}</header><article>{STORY}</article>") == TOLD
+
+
+def test_deep_and_broken_pages_take_memory_in_proportion():
+    import time
+    import tracemalloc
+    for page, n in (("<div>word " * 60_000, 300_000 - 1), ("<div>" * 5_000 + "</p>" * 20_000 + "x", 1), ("a <!-- b " * 20_000, 180_000 - 1),
+                    ("<ul>" + "<div>" * 5_000 + "<li>x</li>" * 20_000, 40_000 - 1)):
+        start = time.monotonic()
+        tracemalloc.start()
+        assert len(main_text.main_text(page)) == n
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60 * len(page) and time.monotonic() - start < 30
+
+
+def test_repeated_pages_give_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", f"<article>{STORY}</article>")] * 3 + [(None, None, None)], "page_id long, url string, html string")
+    got = sorted(main_text.extract_main_text(df.repartition(2)).collect(), key=lambda r: r.n_chars)
+    assert [(r.page_id, r.text) for r in got] == [(None, "")] + [(1, TOLD)] * 3
