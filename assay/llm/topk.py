@@ -10,20 +10,24 @@ a vector's score is the sum of its slices' partial scores.
    can't reach the cutoff; the others are collected.
 3. Their whole scores are computed exactly, and each block hands on the k best.
 
-Vectors travel as packed blocks; queries as blocks of at most ``QUERY_BLOCK`` rows. A
-block pair meets by an equi-join on (query block, lane), so no side is broadcast and no
-group is larger than a block.
+Vectors are packed into blocks of at most ``ROW_BLOCK`` rows and queries into blocks of at
+most ``QUERY_BLOCK`` rows, where they are read. A vector block moves once, to its lane;
+every query block is sent to every lane, where an equi-join on the lane pairs the blocks,
+so what moves is the vectors and one copy of the queries a lane, and no side is broadcast.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no
 part, as query or as candidate; missing components of a shorter vector count as zero;
-ties go to the smaller id; repeated ids are searched row by row (a query's own id is
-never its candidate); with fewer than k candidates all are returned; an empty table
-gives an empty result. Scores are exact: products that could leave 53 bits are summed as
-Python integers, and a score beyond 64 bits is an error.
+ties go to the smaller id; repeated ids are searched row by row, each row of a query's id
+with k ranks of its own (a query's own id is never its candidate); with fewer than k
+candidates all are returned; an empty table gives an empty result. Scores are exact:
+products that could leave 53 bits are summed as Python integers, and a score beyond 64 bits
+counts as the greatest or least 64-bit number.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,9 +42,12 @@ ROW_BLOCK = 2048
 SLICES = 4
 
 
-def to_integers(values: np.ndarray) -> np.ndarray:
-    """floor(1024 * x) as float64 (exact: a power of two only moves the exponent)."""
-    return np.floor(values.astype(np.float64) * SCALE)
+LEAST, GREATEST = -2 ** 63, 2 ** 63 - 1
+
+
+def to_integer(x: float) -> int:
+    """floor(1024 * x), also where the product is beyond a double."""
+    return math.floor(x * SCALE) if abs(x) < 2.0 ** 1000 else int(x) * SCALE
 
 
 def _pack(ids: list, rows: list[np.ndarray]) -> dict:
@@ -52,15 +59,15 @@ def _pack(ids: list, rows: list[np.ndarray]) -> dict:
 
 
 def _usable(ids, vectors) -> tuple[list, list[np.ndarray]]:
-    """Ids and integers of the rows that take part."""
+    """Ids and components of the rows that take part."""
     got, rows = [], []
     for i, v in zip(ids.to_pylist(), vectors, strict=True):
         if i is None or not v.is_valid or v.values.null_count:
             continue
-        x = v.values.to_numpy(zero_copy_only=False)
+        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
         if np.isfinite(x).all():
             got.append(i)
-            rows.append(to_integers(x))
+            rows.append(x)
     return got, rows
 
 
@@ -68,7 +75,7 @@ BLOCK_SCHEMA = "ids binary, mat binary, width int"
 
 
 def _packed(df: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors: ids, integers, width."""
+    """Blocks of at most ``size`` vectors: ids, components, width."""
     def run(it):
         for batch in it:
             for a in range(0, batch.num_rows, size):
@@ -89,12 +96,20 @@ def _matrix(mat: bytes, width: int, wide: int) -> np.ndarray:
 def _partials(q: np.ndarray, d: np.ndarray, slices: int) -> list[np.ndarray]:
     """Exact partial scores by slice (float64 where they fit 53 bits, else Python integers)."""
     big = max((float(np.abs(x).max()) if x.size else 0.0) for x in (q, d))
-    if big * big * max(1, q.shape[1]) >= 2.0 ** 53:
-        q, d = (np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape) for x in (q, d))
+    if big < 2.0 ** 53 and (SCALE * big + 1) ** 2 * max(1, q.shape[1]) < 2.0 ** 53:
+        q, d = np.floor(q * SCALE), np.floor(d * SCALE)  # exact: a power of two only moves the exponent
+    else:
+        q, d = (np.array([[to_integer(v) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape) for x in (q, d))
     cuts = np.linspace(0, q.shape[1], slices + 1).astype(int)
     return [q[:, a:b] @ d[:, a:b].T for a, b in zip(cuts, cuts[1:])]
 
 
+def _whole(parts: list[np.ndarray]) -> np.ndarray:
+    """Sums of the partial scores, held to 64 bits."""
+    whole = sum(parts[1:], start=parts[0])
+    return np.minimum(np.maximum(whole, LEAST), GREATEST) if whole.dtype == object else whole
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest, ties to the smaller id."""
     if len(score) > k and score.dtype != object:
@@ -107,10 +122,10 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -score[keep]))[:k]]
 
 
-def _listed(q, qids, d, ids, k, slices):
+def _listed(q, qids, _, d, ids, k, slices):
     """Phase 1: whole scores of the vectors on a slice's list, the k best of them."""
     parts = _partials(q, d, slices)
-    whole = sum(parts[1:], start=parts[0])
+    whole = _whole(parts)
     for i, own in enumerate(qids.tolist()):
         ok = np.flatnonzero(ids != own)
         listed = set()
@@ -118,42 +133,45 @@ def _listed(q, qids, d, ids, k, slices):
             listed.update(ok[_best(p[i, ok], ids[ok], k)].tolist())
         at = np.array(sorted(listed), np.int64)
         for j in at[_best(whole[i, at], ids[at], k)].tolist():
-            yield own, int(ids[j]), int(whole[i, j])
+            yield i, own, int(ids[j]), int(whole[i, j])
 
 
 def _resolved(q, qids, cutoffs, d, ids, k, slices):
     """Phases 2 and 3: collect by the uniform threshold, then whole scores of those."""
     parts = _partials(q, d, slices)
     for i, own in enumerate(qids.tolist()):
-        cut = cutoffs[i]
-        reach = np.ones(len(ids), bool) if cut is None else np.zeros(len(ids), bool)
-        if cut is not None:
+        cut = cutoffs.get(i, LEAST)
+        reach = np.full(len(ids), cut == LEAST)
+        if cut != LEAST:
             for p in parts:
                 reach |= np.array(p[i] * slices >= cut, bool)
         at = np.flatnonzero(reach & (ids != own))
-        whole = sum((p[i, at] for p in parts[1:]), start=parts[0][i, at])
-        if cut is not None:
+        whole = _whole([p[i, at] for p in parts])
+        if cut != LEAST:
             keep = np.array(whole >= cut, bool)
             at, whole = at[keep], whole[keep]
         for j in _best(whole, ids[at], k).tolist():
-            yield own, int(ids[at[j]]), int(whole[j])
+            yield i, own, int(ids[at[j]]), int(whole[j])
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([("qb", pa.int64()), ("place", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _search(pairs: DataFrame, fn) -> DataFrame:
+def _search(pairs: DataFrame, fn, k: int, slices: int) -> DataFrame:
+    """Of each pair of blocks the entries that ``fn`` finds; ``place`` is the query's in its block."""
     def run(it):
         for batch in it:
-            for r in batch.to_pylist():
+            for n in range(batch.num_rows):
+                r = batch.slice(n, 1).to_pylist()[0]
                 wide = max(r["width"], r["q_width"])
                 d, q = _matrix(r["mat"], r["width"], wide), _matrix(r["q_mat"], r["q_width"], wide)
                 ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                out = list(fn(q, qids, r.get("cutoffs"), d, ids))
+                cutoffs = {c["place"]: c["cutoff"] for c in r.get("cutoffs") or ()}
+                out = [(r["qb"], *x) for x in fn(q, qids, cutoffs, d, ids, k, slices)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), FOUND, strict=True)], schema=FOUND)
 
-    return pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return pairs.mapInArrow(run, "qb bigint, place int, query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100,
@@ -165,51 +183,21 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     lanes = max(8, shuffle_width(spark))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("vec")).filter("id is not null and vec is not null")
     asked = rows.filter(F.col("id") % every == 0)
-    # query blocks: numbered by hash, about QUERY_BLOCK rows each
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-    queries = written(_query_blocks(asked), "queries")
+    queries = written(_packed(asked.repartition(lanes), "id", "vec", QUERY_BLOCK).select(
+        F.monotonically_increasing_id().alias("qb"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "mat", "width")]), "queries")
     blocks = written(_packed(rows, "id", "vec", ROW_BLOCK).select(
         "*", F.monotonically_increasing_id().alias("block")), "vectors")
-    # every pair (query block, vector block) once; its lane spreads the pairs over tasks
+    # a vector block's lane spreads the blocks over tasks
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
     asked_by = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    spread = blocks.select("ids", "mat", "width", lane.alias("lane"),
-                           F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qb"))
+    spread = blocks.select("ids", "mat", "width", lane.alias("lane"))
 
-    listed = _search(spread.join(asked_by, ["qb", "lane"]), lambda q, qi, _, d, i: _listed(q, qi, d, i, k, slices))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    listed = _search(spread.join(asked_by, "lane"), _listed, k, slices)
+    by_score = Window.partitionBy("qb", "place").orderBy(F.desc("score"), "vec_id")
     cutoffs = written(listed.withColumn("r", F.row_number().over(by_score)).filter(f"r = {k}")
-                      .select("query_id", F.col("score").alias("cutoff")), "cutoffs")
+                      .select("qb", "place", F.col("score").alias("cutoff")), "cutoffs")
 
-    held = _members(queries).join(cutoffs, "query_id", "left").groupBy("qb").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "cutoff"))), lambda x: x["cutoff"]).alias("cutoffs"))
-    found = _search(spread.join(asked_by.join(held, "qb"), ["qb", "lane"]),
-                    lambda q, qi, c, d, i: _resolved(q, qi, c, d, i, k, slices))
+    held = cutoffs.groupBy("qb").agg(F.collect_list(F.struct("place", "cutoff")).alias("cutoffs"))  # of a block's queries
+    found = _search(spread.join(asked_by.join(held, "qb", "left"), "lane"), _resolved, k, slices)
     return (found.withColumn("rank", F.row_number().over(by_score)).filter(f"rank <= {k}")
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))
-
-
-def _query_blocks(asked: DataFrame) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        ids, rows = _usable(table.column("id"), table.column("vec"))
-        own = _pack(ids, rows)
-        return pa.table({"qb": pa.array([table.column("qb")[0].as_py()], pa.int64()),
-                         "q_ids": pa.array([own["ids"]], pa.binary()), "q_mat": pa.array([own["mat"]], pa.binary()),
-                         "q_width": pa.array([own["width"]], pa.int32())})
-
-    return asked.groupBy("qb").applyInArrow(run, "qb bigint, q_ids binary, q_mat binary, q_width int")
-
-
-def _members(queries: DataFrame) -> DataFrame:
-    """(qb, place, query_id) of the packed query blocks."""
-    schema = pa.schema([("qb", pa.int64()), ("place", pa.int32()), ("query_id", pa.int64())])
-
-    def run(it):
-        for batch in it:
-            for qb, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([qb] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()),
-                                                  pa.array(ids)], schema=schema)
-
-    return queries.select("qb", "q_ids").mapInArrow(run, "qb bigint, place int, query_id bigint")

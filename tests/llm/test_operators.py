@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -321,6 +322,29 @@ def test_top_k(spark):
     assert topk.top_k(df.filter("vec_id in (0, 1, 2)"), k=10).count() == 2
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rows = [(i, [float(i % 7 - 3), 0.5, -2.0]) for i in range(40)]
+    rows += [(100, [1e307, 1.0, 0.0]), (101, [1e307, 0.0, 0.0]), (102, [-1e307, 1.0, 0.0]), (103, [1e12, 1e12, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def whole(x):
+        return [int(Fraction(v) * 1024 // 1) for v in x]
+
+    def brute(queries):
+        for i, q in queries:
+            scored = sorted((-min(max(sum(a * b for a, b in zip(whole(q), whole(v))), -2 ** 63), 2 ** 63 - 1), j) for j, v in rows if j != i)
+            yield from ((i, r, j, -s) for r, (s, j) in enumerate(scored[:3], 1))
+
+    asked = [(i, v) for i, v in rows if i % 50 == 0]
+    got = listed(topk.top_k(df.repartition(4), every=50, k=3), "query_id", "rank", "vec_id", "score")
+    assert got == sorted(brute(asked), key=repr)
+    # a query's id in two rows: k ranks for each row
+    rows += [(0, [5.0, 5.0, 5.0]), (0, [5.0, 5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = listed(topk.top_k(df.repartition(4), every=50, k=3), "query_id", "rank", "vec_id", "score")
+    assert got == sorted(brute([(i, v) for i, v in rows if i % 50 == 0]), key=repr)
+
+
 # ---- main text
 
 PAGES = {
