@@ -135,6 +135,7 @@ from assay.plans import pipeline_plans as pp  # noqa: E402
 
 QUERIES.update({
     "incremental_gold": pp.incremental_gold_query,
+    "running_metrics": pp.running_metrics_query,
     "profile_roundtrip": pp.profile_roundtrip_query,
     "trace_lookup": pp.trace_lookup_query,
     "lexicon_snowball": pp.lexicon_snowball_query,
@@ -143,6 +144,7 @@ QUERIES.update({
 })
 ORACLE_SQL.update({
     "incremental_gold": pp.INCREMENTAL_GOLD_SQL,
+    "running_metrics": pp.RUNNING_METRICS_SQL,
     "trace_lookup": pp.TRACE_LOOKUP_SQL,
     "medallion_build": "WITH " + dp.RAW_SQL + ",\n" + dp.PREDS_SQL + pp.MEDALLION_BUILD_SQL_TAIL,
 })

@@ -22,27 +22,38 @@ from assay.sources import medallion as md
 from assay.sources.profile_io import load_profile, profile_document, save_profile
 from assay.sources.tables import read_table
 from assay.sources.views import qa
-from assay.streaming.incremental_gold import incremental_gold
+from assay.streaming.incremental_gold import gold, incremental_gold, running_run_metrics
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
     return md.scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def incremental_gold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1: predictions land as JSON-lines files in three appends (the last one repeats
-    a run); the availableNow stream appends only unseen (run_id, id, attempt) keys."""
-    src, target, ckpt = _scratch(spark, "pred-src"), _scratch(spark, "gold"), _scratch(spark, "stream-ckpt")
-    p = md_typed(predictions(spark, sf_dir))
-    first = p.filter(F.col("run_id") < "run-src5")
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Predictions land as JSON-lines files in three appends (the last one repeats a run) and
+    are streamed into a new target, from two checkpoints: what the second one reads again adds nothing."""
+    src, target, once = _scratch(spark, "pred-src"), _scratch(spark, "gold"), _scratch(spark, "scored")
+    md_typed(predictions(spark, sf_dir)).write.parquet(once)
+    p = spark.read.parquet(once)
+    first = p.filter(~F.coalesce(F.col("run_id") >= "run-src5", F.lit(False)))
     rest = p.filter(F.col("run_id") >= "run-src5")
     again = p.filter(F.col("run_id") == "run-src1")
     for part in (first, rest, again):
         part.write.mode("append").json(src)
-    incremental_gold(spark, src, target, ckpt, max_files_per_trigger=4)
-    g = spark.read.parquet(target)
-    return g.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"),
-                                   F.countDistinct("id").alias("n_sessions"))
+    for _ in range(2):
+        incremental_gold(spark, src, target, _scratch(spark, "stream-ckpt"), max_files_per_trigger=8)
+    return target
+
+
+def incremental_gold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: the availableNow stream appends only unseen (run_id, id, attempt) keys."""
+    return gold(spark, _streamed(spark, sf_dir)).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_sessions"))
+
+
+def running_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 + D1/D4: running means and failure-mode rates of each run from the batches' sums."""
+    return running_run_metrics(spark, _streamed(spark, sf_dir))
 
 
 MEDALLION_BUILD_SQL_TAIL = """
@@ -58,6 +69,23 @@ SELECT 'fct_evaluation_scores', data_category_QA, count(*) FROM preds GROUP BY 2
 INCREMENTAL_GOLD_SQL = "WITH " + PREDS_SQL + """
 SELECT run_id, count(*) AS n_rows, count(DISTINCT id) AS n_sessions FROM preds GROUP BY run_id"""
 
+RUNNING_METRICS_SQL = "WITH " + PREDS_SQL + """,
+long AS (
+  UNPIVOT (SELECT run_id, CAST(token_overlap_f1 AS DOUBLE) AS token_overlap_f1,
+                  CAST(question_response_overlap AS DOUBLE) AS question_response_overlap,
+                  CAST(response_length_ratio AS DOUBLE) AS response_length_ratio,
+                  CAST(refusal_detection AS DOUBLE) AS refusal_detection,
+                  CAST(hedging_detection AS DOUBLE) AS hedging_detection FROM preds)
+  ON token_overlap_f1, question_response_overlap, response_length_ratio, refusal_detection, hedging_detection
+  INTO NAME metric VALUE value
+),
+modes AS (SELECT run_id, coalesce(failure_mode, 'none') AS mode, count(*) AS n FROM preds GROUP BY 1, 2)
+SELECT run_id, metric, count(value) AS n,
+       round(CAST(sum(CAST(value AS DECIMAL(38, 12))) AS DOUBLE) / count(value), 6) AS mean
+FROM long WHERE value IS NOT NULL GROUP BY run_id, metric
+UNION ALL
+SELECT run_id, 'failure_mode_' || mode, n, round(n / sum(n) OVER (PARTITION BY run_id), 6) FROM modes"""
+
 
 def profile_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6 + I13/I14/I18: derive the threshold profile, save it as JSON, load it back."""

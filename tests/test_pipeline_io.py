@@ -4,12 +4,13 @@ import os
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import requests as rq
 from assay.sources import medallion as md
 from assay.sources.profile_io import load_profile, profile_document, save_profile
-from assay.streaming.incremental_gold import incremental_gold
+from assay.streaming.incremental_gold import append_batch, gold, incremental_gold, running_run_metrics, unseen
 from conftest import rows
 
 
@@ -33,6 +34,54 @@ def test_incremental_gold_appends_only_new_keys(spark):
     incremental_gold(spark, src, target, ckpt)
     got = sorted((r["run_id"], r["id"]) for r in spark.read.parquet(target).collect())
     assert got == [("r1", "a"), ("r1", "b"), ("r1", "c"), ("r2", "a")]
+    assert sorted((r["run_id"], r["id"]) for r in gold(spark, target).collect()) == got
+    incremental_gold(spark, src, target, os.path.join(base, "other"))  # all files again, as a new stream
+    assert spark.read.parquet(target).count() == 4
+    assert gold(spark, os.path.join(base, "none")).count() == running_run_metrics(spark, os.path.join(base, "none")).count() == 0
+
+
+def test_replayed_batch_adds_nothing(spark):
+    target = os.path.join(tempfile.mkdtemp(prefix="assay-test-"), "gold")
+    one = _pred(spark, [("r1", "a", 0, "x"), (None, "a", 0, "x"), (None, "a", 0, "y"), ("", "a", None, "x")])
+    two = _pred(spark, [("r1", "a", 0, "x"), ("r1", "b", 0, "z"), (None, "a", 0, "z"), ("", "a", None, "x")])
+    for _ in range(2):
+        append_batch(one, "s-0", target)
+        append_batch(two, "s-1", target)
+        assert sorted(((r["run_id"], r["id"], r["attempt"], r["prediction"]) for r in gold(spark, target).collect()), key=repr) == sorted(
+            [("r1", "a", 0, "x"), (None, "a", 0, "y"), ("", "a", None, "x"), ("r1", "b", 0, "z")], key=repr)
+        got = {(r["run_id"], r["metric"]): (r["n"], r["mean"]) for r in running_run_metrics(spark, target).collect()}
+        assert got == {(run, m): (n, v) for run, n in (("r1", 2), (None, 1), ("", 1))
+                       for m, v in (("token_overlap_f1", 0.5), ("failure_mode_none", 1.0))}
+    append_batch(two.limit(0), "s-2", target)
+    assert gold(spark, target).count() == 4
+
+
+def test_unfinished_batch_is_not_read(spark):
+    target = os.path.join(tempfile.mkdtemp(prefix="assay-test-"), "gold")
+    append_batch(_pred(spark, [("r1", "a", 0, "x")]), "s-0", target)
+    _pred(spark, [("r1", "b", 0, "x")]).withColumn("run_bucket", F.lit(0)).write.partitionBy("run_bucket").parquet(f"{target}/batch=s-1")
+    assert gold(spark, target).count() == 1
+    append_batch(_pred(spark, [("r1", "b", 0, "x"), ("r1", "c", 0, "x")]), "s-1", target)
+    assert gold(spark, target).count() == 3
+
+
+def test_known_keys_are_read_from_the_buckets_of_the_batch(spark, capsys):
+    target = os.path.join(tempfile.mkdtemp(prefix="assay-test-"), "gold")
+    append_batch(_pred(spark, [(f"r{i}", "a", 0, "x") for i in range(40)]), "s-0", target)
+    unseen(_pred(spark, [("r1", "a", 0, "x")]), "s-1", target).explain("formatted")
+    plan = capsys.readouterr().out
+    filters = [x for x in plan.splitlines() if "PartitionFilters" in x]
+    assert any("run_bucket" in x and "batch" in x for x in filters), plan
+
+
+def test_unreadable_target_ends_the_batch(spark):
+    target = os.path.join(tempfile.mkdtemp(prefix="assay-test-"), "gold")
+    append_batch(_pred(spark, [("r1", "a", 0, "x")]), "s-0", target)
+    folder = next(x for x in os.listdir(f"{target}/batch=s-0") if x.startswith("run_bucket"))
+    with open(f"{target}/batch=s-0/{folder}/part-broken.parquet", "w") as f:
+        f.write("no parquet file")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        append_batch(_pred(spark, [("r1", "a", 0, "x")]), "s-1", target)
 
 
 def test_profile_roundtrip(spark):
