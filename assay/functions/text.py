@@ -82,9 +82,11 @@ def cache_key(record_id, model, p_hash) -> Column:
 
 
 def tool_arguments(raw) -> Column:
-    """H19 — tool-call arguments: the JSON object, else ``{"raw": text}`` (as a JSON string)."""
-    is_obj = F.coalesce(F.try_parse_json(_c(raw)).isNotNull() & F.trim(_c(raw)).startswith("{"), F.lit(False))
-    return F.when(is_obj, _c(raw)).otherwise(F.to_json(F.struct(_c(raw).alias("raw"))))
+    """H19 — tool-call arguments as a JSON string: JSON of any kind stays, null or empty text is
+    ``{}``, other text ``{"raw": text}``."""
+    none = F.coalesce(_c(raw), F.lit("")) == ""
+    return (F.when(none, F.lit("{}")).when(F.try_parse_json(_c(raw)).isNotNull(), _c(raw))
+            .otherwise(F.to_json(F.struct(_c(raw).alias("raw")))))
 
 
 def preview(text, n: int = 1000) -> Column:

@@ -85,13 +85,24 @@ def aggregate_overall_and_by(long: DataFrame, by: str = "category", outer: list[
         F.when(F.col("_g") == 1, "overall").otherwise(F.col(by)).alias("level"))
 
 
-def flat_run_metrics(agg: DataFrame, outer: list[str], name_col: str = "scorer_name") -> DataFrame:
-    """D3 — ``{scorer}_mean``, ``{scorer}_std`` and ``total_scored`` as long key/value rows."""
+def flat_run_metrics(agg: DataFrame, outer: list[str], name_col: str = "scorer_name",
+                     modes: DataFrame | None = None, mode_col: str = "failure_mode") -> DataFrame:
+    """D3 — ``{scorer}_mean`` and ``{scorer}_std`` as long key/value rows; with the rows of
+    ``failure_mode_rates`` also ``total_scored`` and of each mode (null: unknown)
+    ``failure_mode_{mode}_count`` and ``failure_mode_{mode}_rate``."""
     means = agg.select(*outer, F.concat(F.col(name_col), F.lit("_mean")).alias("metric_key"),
                        F.col("mean").alias("metric_value"))
     stds = agg.select(*outer, F.concat(F.col(name_col), F.lit("_std")).alias("metric_key"),
                       F.col("std").alias("metric_value"))
-    return means.unionByName(stds)
+    flat = means.unionByName(stds)
+    if modes is None:
+        return flat
+    total = modes.groupBy(*outer).agg(F.max("total_scored").cast("double").alias("metric_value")).select(
+        *outer, F.lit("total_scored").alias("metric_key"), "metric_value")
+    name = F.concat(F.lit("failure_mode_"), F.coalesce(mode_col, F.lit("unknown")))
+    parts = [modes.select(*outer, F.concat(name, F.lit(f"_{x}")).alias("metric_key"), F.col(x).cast("double").alias("metric_value"))
+             for x in ("count", "rate")]
+    return flat.unionByName(total).unionByName(parts[0]).unionByName(parts[1])
 
 
 def failure_mode_rates(df: DataFrame, outer: list[str], mode_col: str = "failure_mode") -> DataFrame:

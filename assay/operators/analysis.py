@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.operators.prefix import exact_quantiles, value_counts
+from assay.operators.prefix import exact_quantiles, prefix_scan, value_counts
 from assay.operators.stats import CAND, REF, joined, welch
 
 # fixed values: language code -> label, and the dashboard's metric columns
@@ -106,6 +106,17 @@ def sankey_edges(df: DataFrame) -> DataFrame:
     return e1.unionByName(e2)
 
 
+def sankey_nodes(df: DataFrame) -> DataFrame:
+    """D13 — the flow's nodes (layer, label, node): categories, refusal labels and failure
+    modes, each layer sorted by label (null first), numbered from 0 through the layers."""
+    e = sankey_edges(df)
+    first = e.filter("level = 1")
+    labels = (first.select(F.lit(1).alias("layer"), F.col("source").alias("label"))
+              .union(first.select(F.lit(2), "target")).union(e.filter("level = 2").select(F.lit(3), "target")))
+    numbered = prefix_scan(labels.distinct().withColumn("one", F.lit(1)), [], [F.col("layer"), F.col("label")], sums=["one"])
+    return numbered.select("layer", "label", F.coalesce("one_before", F.lit(0)).cast("long").alias("node"))
+
+
 def complexity_bins(df: DataFrame, metrics: list[str], group_col: str, x_col: str = "input_len",
                     n_bins: int = 5) -> DataFrame:
     """D14 — mean score by equal-width, right-closed bin of ``x_col`` (as pandas.cut with

@@ -158,3 +158,14 @@ def flatten_verdict_metrics(results: DataFrame, outer: list[str] | None = None)
     u = long.unpivot([*outer, "category", "metric_name"], list(names.values()), "stat", "metric_value")
     return u.select(*outer, F.concat_ws("_", F.lit("verdict_v2"), "category", "metric_name", "stat")
                     .alias("metric_key"), "metric_value")
+
+
+# fixed values: the rule verdict's metrics, logged as verdict_{name}
+RULE_METRICS = ("positivo_overlap_mean", "negativo_overlap_mean", "positivo_refusal_rate", "negativo_refusal_rate",
+                "discrimination_delta")
+
+
+def rule_verdict_metrics(verdicts: DataFrame, outer: list[str]) -> DataFrame:
+    """J4 — the rule verdict's five metrics as ``verdict_{name}`` key/value rows."""
+    return verdicts.select(*outer, *[F.col(c).cast("double").alias(f"verdict_{c}") for c in RULE_METRICS]).unpivot(
+        outer, [f"verdict_{c}" for c in RULE_METRICS], "metric_key", "metric_value")

@@ -9,6 +9,7 @@ from assay.plans import verdict_plans as vp
 
 QUERIES = {
     "qa_verdict": qp.qa_verdict_query,
+    "rule_verdict_metrics": qp.rule_verdict_metrics_query,
     "qa_scores": qp.qa_scores_query,
     "qa_breakdown": qp.qa_breakdown_query,
     "qa_failure_rates": qp.qa_failure_rates_query,
@@ -37,6 +38,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "qa_verdict": qp.QA_VERDICT_SQL,
+    "rule_verdict_metrics": qp.RULE_VERDICT_METRICS_SQL,
     "qa_scores": qp.QA_SCORES_SQL,
     "qa_breakdown": qp.QA_BREAKDOWN_SQL,
     "qa_failure_rates": qp.QA_FAILURE_RATES_SQL,
@@ -65,6 +67,7 @@ QUERIES.update({
     "radar_profile": dp.radar_query,
     "failure_bars": dp.failure_bars_query,
     "sankey_edges": dp.sankey_query,
+    "sankey_nodes": dp.sankey_nodes_query,
     "complexity_bins": dp.complexity_query,
     "filter_summary": dp.filtered_query,
     "filter_options": dp.filter_options_query,
@@ -83,6 +86,7 @@ ORACLE_SQL.update({
     "radar_profile": dp.RADAR_SQL,
     "failure_bars": dp.FAILURE_BARS_SQL,
     "sankey_edges": dp.SANKEY_SQL,
+    "sankey_nodes": dp.SANKEY_NODES_SQL,
     "complexity_bins": dp.COMPLEXITY_SQL,
     "filter_summary": dp.FILTERED_SQL,
     "filter_options": dp.FILTER_OPTIONS_SQL,

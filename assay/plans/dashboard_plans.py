@@ -263,6 +263,20 @@ UNION ALL
 SELECT refusal_label AS source, failure_mode AS target, count(*) AS value, 2 AS level FROM t GROUP BY 1, 2"""
 
 
+def sankey_nodes_query(spark, sf_dir):
+    """The flow's numbered nodes."""
+    return an.sankey_nodes(dash_frame(spark, sf_dir))
+
+
+SANKEY_NODES_SQL = "WITH " + DASH_SQL + """,
+labels AS (
+  SELECT DISTINCT 1 AS layer, data_category_QA AS label FROM dash
+  UNION SELECT 2, CASE WHEN coalesce(refusal_detection, 0.0) = 1.0 THEN 'refused' ELSE 'not_refused' END FROM dash
+  UNION SELECT 3, coalesce(failure_mode, 'none') FROM dash
+)
+SELECT layer, label, row_number() OVER (ORDER BY layer, label NULLS FIRST) - 1 AS node FROM labels"""
+
+
 def complexity_query(spark, sf_dir):
     """Mean score per model and equal-width input-length bin."""
     c = an.complexity_bins(dash_frame(spark, sf_dir), STAT_METRICS, "model_label")

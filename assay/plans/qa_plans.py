@@ -15,7 +15,7 @@ from assay.functions.lexicon import DRIVER_SURFACE_ROWS
 from assay.operators.aggregate import (aggregate_overall_and_by, aggregate_scores, failure_mode_rates,
                                        unpivot_metrics)
 from assay.operators.scoring import score_responses
-from assay.operators.verdict import rule_verdict
+from assay.operators.verdict import rule_verdict, rule_verdict_metrics
 from assay.plans.sqlkit import length_ratio_sql, lexicon_flags_sql, set_f1_sql, tokens_sql
 from assay.sources.views import QA_SQL, qa
 
@@ -109,6 +109,12 @@ def qa_verdict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("reasons", F.array_join("reasons", " | "))
 
 
+def rule_verdict_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule verdict's metrics of each model as key/value rows."""
+    by_cat = aggregate_scores(_long(spark, sf_dir), ["model", "category"])
+    return rule_verdict_metrics(rule_verdict(by_cat, ["model"]), ["model"])
+
+
 def _fmt3(x):
     return f"printf('%.3f', round({x}, 3))"
 
@@ -153,6 +159,15 @@ def qa_failure_rates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failure_mode_rates(scored_qa(spark, sf_dir), ["model"])
 
 
+RULE_VERDICT_METRICS_SQL = """SELECT model, 'verdict_' || name AS metric_key, value AS metric_value FROM (
+  UNPIVOT (SELECT model, CAST(positivo_overlap_mean AS DOUBLE) AS positivo_overlap_mean,
+                  CAST(negativo_overlap_mean AS DOUBLE) AS negativo_overlap_mean,
+                  CAST(positivo_refusal_rate AS DOUBLE) AS positivo_refusal_rate,
+                  CAST(negativo_refusal_rate AS DOUBLE) AS negativo_refusal_rate,
+                  CAST(discrimination_delta AS DOUBLE) AS discrimination_delta FROM (""" + QA_VERDICT_SQL + """))
+  ON positivo_overlap_mean, negativo_overlap_mean, positivo_refusal_rate, negativo_refusal_rate, discrimination_delta
+  INTO NAME name VALUE value)"""
+
 QA_FAILURE_RATES_SQL = "WITH " + SCORED_QA_SQL + """,
 c AS (SELECT model, failure_mode, count(*) AS count FROM scored_fm GROUP BY model, failure_mode)
 SELECT model, failure_mode, count, CAST(sum(count) OVER (PARTITION BY model) AS BIGINT) AS total_scored,

@@ -134,7 +134,7 @@ def tool_args_query(spark, sf_dir):
     """Event properties parsed as tool-call arguments."""
     e = read_table(spark, sf_dir, "events")
     a = tx.tool_arguments("props")
-    return e.select("event_id", (a == F.col("props")).alias("is_object"),
+    return e.select("event_id", ((a == F.col("props")) & F.trim("props").startswith("{")).alias("is_object"),
                     F.get_json_object(a, "$.k").alias("k"))
 
 
@@ -370,10 +370,12 @@ def registry_scores_query(spark, sf_dir):
 
 
 def run_metrics_query(spark, sf_dir):
-    """D3: flat run metrics ``{scorer}_mean`` / ``{scorer}_std`` per model."""
-    from assay.operators.aggregate import aggregate_scores, flat_run_metrics
-    long = unpivot_metrics(scored_qa(spark, sf_dir), ["model", "session_id"], QA_METRICS)
-    return flat_run_metrics(aggregate_scores(long, ["model"]), ["model"])
+    """D3: flat run metrics per model: ``{scorer}_mean``, ``{scorer}_std``, ``total_scored``
+    and the counts and rates of its failure modes."""
+    from assay.operators.aggregate import aggregate_scores, failure_mode_rates, flat_run_metrics
+    scored = scored_qa(spark, sf_dir)
+    long = unpivot_metrics(scored, ["model", "session_id"], QA_METRICS)
+    return flat_run_metrics(aggregate_scores(long, ["model"]), ["model"], modes=failure_mode_rates(scored, ["model"]))
 
 
 REGISTRY_SCORES_SQL = "WITH " + RECORDS_SQL + """,
@@ -407,4 +409,12 @@ agg AS (
 )
 SELECT model, scorer_name || '_mean' AS metric_key, mean AS metric_value FROM agg
 UNION ALL
-SELECT model, scorer_name || '_std', std FROM agg"""
+SELECT model, scorer_name || '_std', std FROM agg
+UNION ALL
+SELECT model, 'total_scored', CAST(count(*) AS DOUBLE) FROM scored_fm GROUP BY model
+UNION ALL
+SELECT model, 'failure_mode_' || coalesce(failure_mode, 'unknown') || '_count', CAST(count(*) AS DOUBLE)
+FROM scored_fm GROUP BY model, failure_mode
+UNION ALL
+SELECT model, 'failure_mode_' || coalesce(failure_mode, 'unknown') || '_rate',
+       round(count(*) / sum(count(*)) OVER (PARTITION BY model), 4) FROM scored_fm GROUP BY model, failure_mode"""

@@ -66,6 +66,32 @@ def test_sankey_sums_to_twice_rows(spark):
     df = spark.createDataFrame(data, "data_category_QA string, refusal_detection boolean, failure_mode string")
     edges = rows(an.sankey_edges(df))
     assert sum(e["value"] for e in edges) == 40
+    nodes = sorted(rows(an.sankey_nodes(df)), key=lambda n: n["node"])
+    assert [(n["layer"], n["label"]) for n in nodes] == [(1, "negativo"), (1, "positivo"), (2, "not_refused"), (2, "refused"),
+                                                         (3, "hallucination"), (3, "none"), (3, "off_topic")]
+    assert [n["node"] for n in nodes] == list(range(7))
+    assert rows(an.sankey_nodes(df.limit(0))) == []
+
+
+def test_flat_run_metrics_and_verdict_metrics(spark):
+    from assay.operators.aggregate import failure_mode_rates, flat_run_metrics
+    from assay.operators.verdict import rule_verdict_metrics
+    agg = spark.createDataFrame([("r", "rouge_l", 0.5, 0.1, 3)], "run string, scorer_name string, mean double, std double, count long")
+    modes = failure_mode_rates(spark.createDataFrame([("r", "off_topic"), ("r", "off_topic"), ("r", None)], "run string, failure_mode string"), ["run"])
+    got = {r["metric_key"]: r["metric_value"] for r in rows(flat_run_metrics(agg, ["run"], modes=modes))}
+    assert got == {"rouge_l_mean": 0.5, "rouge_l_std": 0.1, "total_scored": 3.0, "failure_mode_off_topic_count": 2.0,
+                   "failure_mode_off_topic_rate": 0.6667, "failure_mode_unknown_count": 1.0, "failure_mode_unknown_rate": 0.3333}
+    b = spark.createDataFrame([("r", "positivo", "token_overlap_f1", 0.75)], "run string, category string, scorer_name string, mean double")
+    got = {r["metric_key"]: r["metric_value"] for r in rows(rule_verdict_metrics(rule_verdict(b, ["run"]), ["run"]))}
+    assert got == {"verdict_positivo_overlap_mean": 0.75, "verdict_negativo_overlap_mean": 0.0, "verdict_positivo_refusal_rate": 0.0,
+                   "verdict_negativo_refusal_rate": 0.0, "verdict_discrimination_delta": 0.0}
+
+
+def test_tool_arguments(spark):
+    from assay.functions.text import tool_arguments
+    cases = {'{"a": 1}': '{"a": 1}', "[1, 2]": "[1, 2]", "5": "5", "": "{}", None: "{}", "no json": '{"raw":"no json"}', " ": '{"raw":" "}'}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "raw string, want string")
+    assert [r for r in rows(df.select("raw", "want", tool_arguments("raw").alias("got"))) if r["got"] != r["want"]] == []
 
 
 def test_filters_keep_nulls_in_ranges(spark):
