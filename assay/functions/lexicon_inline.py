@@ -12,8 +12,7 @@ operations on positions:
 
 ``arrays_overlap``/``array_intersect`` are hash based, so the cost is linear in
 the number of words. Results equal the exploded/windowed plan of
-``operators.lexicon_scores`` (tested), which remains the path for stemmed
-vocabularies.
+``operators.lexicon_scores`` (tested).
 """
 
 from __future__ import annotations
@@ -26,11 +25,18 @@ from assay.functions.lexicon import HEDGING_WINDOW, LANGUAGES, REFUSAL_WINDOW
 
 def _roles(rows) -> dict[tuple[str, str], list[str]]:
     out: dict[tuple[str, str], list[str]] = {}
-    for lang, role, stem in rows:
-        out.setdefault((lang, role), []).append(stem)
+    for lang, role, _, word in rows:
+        out.setdefault((lang, role), []).append(word)
     return out
 
 
+def _stem_of(rows, lang: str) -> Column:
+    pairs = {word: stem for row_lang, _, stem, word in rows if row_lang == lang}
+    if not pairs:
+        return F.create_map().cast("map<string,string>")
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
 def _lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
@@ -62,15 +68,17 @@ def lexicon_inline(words_col: str, lexicon_rows) -> Column:
     hedge_parts = []
     counts = []
     for lang in LANGUAGES:
+        stem_of = _stem_of(lexicon_rows, lang)
         sn = roles.get((lang, "self_negating"), [])
         self_neg = F.exists(w, lambda x: F.array_contains(_lit_array(sn), x)) if sn else F.lit(False)
         neg, cap = positions(lang, "negation"), positions(lang, "capability")
         fires.append((lang, self_neg | F.coalesce(F.arrays_overlap(neg, dilate(cap, REFUSAL_WINDOW)), F.lit(False))))
         solo_words = roles.get((lang, "solo"), [])
-        solo = (F.array_distinct(F.filter(w, lambda x: F.array_contains(_lit_array(solo_words), x)))
+        solo = (F.array_distinct(F.transform(F.filter(w, lambda x: F.array_contains(_lit_array(solo_words), x)),
+                                             lambda x: F.try_element_at(stem_of, x)))
                 if solo_words else F.array().cast("array<string>"))
         vpos = F.array_intersect(positions(lang, "verb"), dilate(positions(lang, "subject"), HEDGING_WINDOW))
-        verbs = F.array_except(F.array_distinct(F.transform(vpos, lambda i: F.get(w, i))), solo)
+        verbs = F.array_except(F.array_distinct(F.transform(vpos, lambda i: F.try_element_at(stem_of, F.get(w, i)))), solo)
         counts.append(F.size(solo) + F.size(verbs))
         hedge_parts.append(F.concat(
             F.transform(F.array_sort(solo), lambda s: F.struct(F.lit(lang).alias("language"), s.alias("stem"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assay.functions.numeric import rnd
+from assay.functions.numeric import round_even
 
 
 def _c(x) -> Column:
@@ -35,7 +35,7 @@ def f1_of_sizes(common, a_size, b_size, digits: int = 4) -> Column:
     r = F.try_divide(inter, nb)
     f1 = F.try_divide(F.lit(2.0) * (p * r), p + r)
     return (F.when((na == 0) | (nb == 0) | (inter == 0), F.lit(0.0))
-            .otherwise(rnd(f1, digits)))
+            .otherwise(round_even(f1, digits)))
 
 
 def token_overlap_f1(response_tokens, reference_tokens) -> Column:
@@ -52,4 +52,4 @@ def response_length_ratio(response_tokens, reference_tokens) -> Column:
     """H4 — token-list length ratio; NULL when the reference has no tokens."""
     ref_n = F.size(_c(reference_tokens))
     return F.when(ref_n == 0, F.lit(None).cast("double")).otherwise(
-        rnd(F.size(_c(response_tokens)) / ref_n, 4))
+        round_even(F.size(_c(response_tokens)) / ref_n, 4))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assay.functions.numeric import rnd
+from assay.functions.numeric import round_even
 
 # fixed values: prompt template text (system prompt of the agent)
 PROMPT_GOAL = "\n\n## Goal\n\n"
@@ -114,7 +114,7 @@ def judge_feedback(raw_string, raw_number=None, raw_bool=None) -> Column:
 
 def groundedness(score) -> Column:
     """B17 — NULL -> 0.0, clamp to [0, 1], round 4."""
-    return rnd(F.least(F.greatest(F.coalesce(_c(score).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 4)
+    return round_even(F.least(F.greatest(F.coalesce(_c(score).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 4)
 
 
 def provider(model) -> Column:

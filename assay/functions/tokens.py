@@ -18,7 +18,9 @@ TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 # Word tokenisation for the lexicon scorers (refusal / hedging). Contractions
 # are split the way a Treebank tokenizer does ("don't" -> "do", "n't";
 # "cannot" -> "can", "not"; "I'm" -> "I", "'m"); words are then lower-cased.
-WORD_PATTERN = r"n't|'[\p{L}]+|[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+# Hyphenated words and numbers with inner points or commas are one word each.
+WORD_PATTERN = (r"n't|'[\p{L}]+|\p{N}+(?:[.,:]\p{N}+)+|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
+                r"|[^\p{L}\p{N}\s]")
 
 
 def _c(x) -> Column:

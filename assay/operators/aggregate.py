@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.numeric import fixed_mean, fixed_var_pop, rnd
+from assay.functions.numeric import fixed_mean, fixed_var_pop, round_even
 
 # fixed values: metric registry (name -> type); booleans become 1.0/0.0
 METRIC_TYPES = {
@@ -59,8 +59,8 @@ def _metric_aggs(value_col: str = "value") -> list[Column]:
     """mean / population std / count of 4-decimal scores (exact fixed-point sums)."""
     n = F.count(value_col)
     return [
-        rnd(fixed_mean(value_col), 4).alias("mean"),
-        rnd(F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(fixed_var_pop(value_col))), 4).alias("std"),
+        round_even(fixed_mean(value_col), 4).alias("mean"),
+        round_even(F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(fixed_var_pop(value_col))), 4).alias("std"),
         n.alias("count"),
     ]
 
@@ -114,7 +114,7 @@ def failure_mode_rates(df: DataFrame, outer: list[str], mode_col: str = "failure
     counts = df.groupBy(*outer, mode_col).agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(Window.partitionBy(*outer))
     return counts.select(*outer, mode_col, "count", total.alias("total_scored"),
-                         rnd(F.col("count") / total, 4).alias("rate"))
+                         round_even(F.col("count") / total, 4).alias("rate"))
 
 
 def completeness_gate(long: DataFrame, group_cols: list[str], name_col: str = "metric",

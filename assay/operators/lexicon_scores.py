@@ -1,16 +1,14 @@
-"""H7 refusal detection and H8 hedging detection as a vocabulary job.
+"""H7 refusal detection and H8 hedging detection by a table of surface forms.
 
 Plan (no per-row Python on the hot path):
   1. ``posexplode`` the lower-cased word tokens of each response  (map side)
-  2. vocabulary: surface lexicon, or distinct words stemmed per language in
-     ``mapInPandas`` (cost grows with the vocabulary, not the corpus), then
-     joined to the lexicon -> small ``(word, language, role, stem)`` table
-  3. broadcast-join the exploded tokens with that table (size-checked) and keep
-     only lexicon hits; only hits are ever shuffled
-  4. proximity rule (E4) with a RANGE window over token positions per
+  2. broadcast-join the exploded tokens with the lexicon's inflected forms
+     ``(word, language, role, stem)``, a parameter table (``functions.lexicon``),
+     and keep only hits; only hits are ever shuffled
+  3. proximity rule (E4) with a RANGE window over token positions per
      (response, language): a negation/verb hit looks for a capability/subject
      hit within ±w positions
-  5. aggregate per response and left-join back so responses without hits get
+  4. aggregate per response and left-join back so responses without hits get
      false / 0
 """
 
@@ -21,40 +19,16 @@ from pyspark.sql import functions as F
 
 from assay.functions.lexicon import HEDGING_WINDOW, LANGUAGES, REFUSAL_WINDOW
 from assay.functions.tokens import words
-from assay.operators.joins import broadcast_if_small, fixed_broadcast
-from assay.session import ensure_checkpoint_dir
+from assay.operators.joins import fixed_broadcast
 
 
 def explode_words(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return df.select(*keys, F.posexplode(words(text_col)).alias("pos", "word"))
 
 
-def stemmed_vocabulary(exploded: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Distinct words -> Snowball stems per language -> lexicon matches."""
-    from assay.functions.snowball import stem_frame  # pure-Python helper
-
-    vocab = exploded.select("word").distinct()
-    stems = vocab.mapInPandas(stem_frame, "word string, language string, stem string")
-    return stems.join(fixed_broadcast(lexicon), ["language", "stem"])
-
-
-def surface_vocabulary(lexicon: DataFrame) -> DataFrame:
-    return lexicon.select(F.col("stem").alias("word"), "language", "role", "stem")
-
-
-def lexicon_hits(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame,
-                 stemmer: str = "snowball") -> DataFrame:
-    exploded = explode_words(df, keys, text_col)
-    if stemmer == "snowball":
-        # the stemmed lexicon vocabulary is small; it is written once to the checkpoint
-        # folder so the size check and the join read it instead of re-stemming
-        ensure_checkpoint_dir(df.sparkSession)
-        vocab = broadcast_if_small(stemmed_vocabulary(exploded, lexicon).checkpoint())
-    elif stemmer == "none":
-        vocab = fixed_broadcast(surface_vocabulary(lexicon))
-    else:
-        raise ValueError(f"unknown stemmer {stemmer!r}")
-    return exploded.join(vocab, "word").select(*keys, "pos", "language", "role", "stem")
+def lexicon_hits(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
+    vocab = fixed_broadcast(lexicon.select("word", "language", "role", "stem"))
+    return explode_words(df, keys, text_col).join(vocab, "word").select(*keys, "pos", "language", "role", "stem")
 
 
 def _lang_order():
@@ -87,14 +61,13 @@ def _per_language(hits: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("verb", F.array_except("verb", "solo"))
 
 
-def lexicon_flags(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame,
-                  stemmer: str = "snowball") -> DataFrame:
+def lexicon_flags(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
     """H7 + H8 for responses with at least one lexicon hit (keys + flags).
 
     Callers left-join this to their response table and fill the defaults with
     ``fill_lexicon_defaults`` — responses without hits never leave the map side.
     """
-    per = _per_language(lexicon_hits(df, keys, text_col, lexicon, stemmer), keys)
+    per = _per_language(lexicon_hits(df, keys, text_col, lexicon), keys)
     order = _lang_order()
 
     def matches(col, kind):
@@ -120,8 +93,7 @@ def fill_lexicon_defaults(df: DataFrame) -> DataFrame:
             .withColumn("hedging_count", F.coalesce("hedging_count", F.lit(0)).cast("long")))
 
 
-def lexicon_scores(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame,
-                   stemmer: str = "snowball") -> DataFrame:
+def lexicon_scores(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
     """H7 + H8 for every row of ``df``: keys + refusal/hedging columns."""
-    flags = lexicon_flags(df, keys, text_col, lexicon, stemmer)
+    flags = lexicon_flags(df, keys, text_col, lexicon)
     return fill_lexicon_defaults(df.select(*keys).join(flags, keys, "left"))

@@ -39,21 +39,21 @@ def score_text_metrics(df: DataFrame, response="response", reference="reference"
     return t.withColumns(out).drop(*[f"{k}_tok" for k in cols])
 
 
-def score_responses(df: DataFrame, keys: list[str], lexicon, stemmer: str = "snowball",
+def score_responses(df: DataFrame, keys: list[str], lexicon,
                     response="response", reference="reference", question="question",
                     category="category", inline: bool = False) -> DataFrame:
     """Column scorers + lexicon scorers + failure mode for every response row.
 
-    ``lexicon`` is a lexicon DataFrame or a list of ``(language, role, stem)`` rows.
+    ``lexicon`` is a lexicon DataFrame or a list of ``(language, role, stem, word)`` rows.
     By default the lexicon scorers run as the exploded hit plan (one shuffle of
-    lexicon hits). ``inline=True`` (surface lexicon rows only) evaluates them per
+    lexicon hits). ``inline=True`` (lexicon rows only) evaluates them per
     row with array functions and no shuffle; it gives the same results but was
     about 3x slower locally at sf0.1 (higher-order functions are interpreted).
     """
     scored = score_text_metrics(df, response, reference, question)
     if inline:
-        if stemmer != "none" or not isinstance(lexicon, list):
-            raise ValueError("inline lexicon scoring needs surface-form lexicon rows (stemmer='none')")
+        if not isinstance(lexicon, list):
+            raise ValueError("inline lexicon scoring needs lexicon rows")
         # the word array is a column of its own, read (not recomputed) by the lambdas
         out = (scored.withColumn("_words", words(response))
                .withColumn("_lx", lexicon_inline("_words", lexicon))
@@ -61,7 +61,7 @@ def score_responses(df: DataFrame, keys: list[str], lexicon, stemmer: str = "sno
     else:
         if isinstance(lexicon, list):
             lexicon = df.sparkSession.createDataFrame(lexicon, LEXICON_SCHEMA)
-        flags = lexicon_flags(df, keys, response, lexicon, stemmer)
+        flags = lexicon_flags(df, keys, response, lexicon)
         out = fill_lexicon_defaults(scored.join(flags, keys, "left"))
     return out.withColumn(
         "failure_mode",

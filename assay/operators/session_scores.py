@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.numeric import fixed_mean, fixed_var_pop, rnd
+from assay.functions.numeric import fixed_mean, fixed_var_pop, round_even
 from assay.functions.overlap import f1_of_sizes, set_f1
 from assay.functions.tokens import tokens
 
@@ -32,7 +32,7 @@ def pass_at_k(attempt_scores: DataFrame, keys: list[str], score_col: str,
         F.coalesce(F.max(F.col(score_col).cast("double")), F.lit(0.0)).alias("_best"),
     )
     return g.filter(F.col("k") >= min_k).select(
-        *keys, "k", rnd("_best", 4).alias("pass_at_k_best_score"),
+        *keys, "k", round_even("_best", 4).alias("pass_at_k_best_score"),
         (F.col("_best") >= threshold).alias("pass_at_k"))
 
 
@@ -68,8 +68,8 @@ def self_consistency(attempts: DataFrame, keys: list[str], response_col: str = "
         *keys, set_f1("tok_i", "tok_j", distinct_inputs=True).alias("f1"))
     agg = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pairs"),
-        rnd(fixed_mean("f1"), 4).alias("self_consistency"),
-        rnd(fixed_var_pop("f1"), 4).alias("self_consistency_variance"),
+        round_even(fixed_mean("f1"), 4).alias("self_consistency"),
+        round_even(fixed_var_pop("f1"), 4).alias("self_consistency_variance"),
     )
     sessions = attempts.select(*keys).distinct()
     return sessions.join(agg, keys, "left").withColumn(
@@ -124,7 +124,7 @@ def chunk_attribution(attempts: DataFrame, chunks: DataFrame, keys: list[str],
     den = F.sqrt((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2))
     corr = F.when(n > 2, F.coalesce(F.try_divide(num, F.when(den > 1e-12, den)), F.lit(0.0))).otherwise(0.0)
     return g.select(*rk, "n_chunks",
-                    rnd("max_attr", 4).alias("chunk_attribution"),
-                    rnd("entropy", 4).alias("chunk_entropy"),
-                    rnd(corr, 4).alias("chunk_score_correlation"),
-                    F.transform("_pc", lambda s: rnd(s["y"], 4)).alias("per_chunk"))
+                    round_even("max_attr", 4).alias("chunk_attribution"),
+                    round_even("entropy", 4).alias("chunk_entropy"),
+                    round_even(corr, 4).alias("chunk_score_correlation"),
+                    F.transform("_pc", lambda s: round_even(s["y"], 4)).alias("per_chunk"))

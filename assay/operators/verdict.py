@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.numeric import rnd
+from assay.functions.numeric import round_even
 
 # fixed values: default thresholds of the rule verdict
 OVERLAP_THRESHOLD = 0.3
@@ -37,7 +37,7 @@ CRITICAL_METRICS = (
 
 
 def _fmt3(c: Column) -> Column:
-    return F.format_string("%.3f", rnd(c, 3))
+    return F.format_string("%.3f", round_even(c, 3))
 
 
 def _reason(template: str, **cols: Column) -> Column:
@@ -119,8 +119,8 @@ def statistical_verdict(results: DataFrame, critical: DataFrame, outer: list[str
     small = F.col("effect_magnitude") == "small"
     fail = F.col("_crit") & F.col("reject_null") & big
     weak = F.col("_crit") & F.col("reject_null") & small
-    p = F.format_string("%.4f", rnd(F.col("p_value_adjusted"), 4))
-    e = F.format_string("%.3f", rnd(F.col("effect_size"), 3))
+    p = F.format_string("%.4f", round_even(F.col("p_value_adjusted"), 4))
+    e = F.format_string("%.3f", round_even(F.col("effect_size"), 3))
     fail_reason = F.concat(F.col("metric_name"), F.lit(" ("), F.col("category"),
                            F.lit("): significant (p_adj="), p, F.lit("), effect="),
                            F.col("effect_magnitude"), F.lit(" ("), e, F.lit(")"))

@@ -142,7 +142,7 @@ QUERIES.update({
     "running_metrics": pp.running_metrics_query,
     "profile_roundtrip": pp.profile_roundtrip_query,
     "trace_lookup": pp.trace_lookup_query,
-    "lexicon_snowball": pp.lexicon_snowball_query,
+    "lexicon_forms": pp.lexicon_forms_query,
     "verdict_pipeline": pp.pipeline_query,
     "medallion_build": pp.medallion_build_query,
 })
@@ -150,6 +150,7 @@ ORACLE_SQL.update({
     "incremental_gold": pp.INCREMENTAL_GOLD_SQL,
     "running_metrics": pp.RUNNING_METRICS_SQL,
     "trace_lookup": pp.TRACE_LOOKUP_SQL,
+    "lexicon_forms": pp.LEXICON_FORMS_SQL,
     "medallion_build": "WITH " + dp.RAW_SQL + ",\n" + dp.PREDS_SQL + pp.MEDALLION_BUILD_SQL_TAIL,
 })
 

@@ -1,5 +1,5 @@
 """Pipeline plans: incremental gold (L1), profile save/load (A6), trace lookup
-(C4/C5/A10/A13), the Snowball-stemmed lexicon scorers (H7/H8) and the
+(C4/C5/A10/A13), the lexicon scorers (H7/H8) and the
 end-to-end run (J5/J6)."""
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assay.functions.lexicon import default_lexicon
+from assay.functions.lexicon import default_lexicon, default_rows
 from assay.operators.aggregate import aggregate_scores, unpivot_metrics
 from assay.operators.lexicon_scores import lexicon_scores
 from assay.operators.verdict import critical_metrics, rule_verdict, statistical_verdict
 from assay.plans.dashboard_plans import PREDS_SQL, md_typed, predictions
 from assay.plans.qa_plans import QA_METRICS
+from assay.plans.sqlkit import lexicon_flags_sql
 from assay.plans.verdict_plans import (ALPHA, BOOTSTRAP_B, PERCENTILE, REFERENCE_MODELS, SEED,
                                        profile_from, scores_long)
 from assay.sources import medallion as md
@@ -144,11 +145,24 @@ SELECT coalesce(s.id, l.id) AS id, coalesce(s.n_traces, 0) AS n_traces, s.last_a
 FROM s FULL OUTER JOIN l ON s.id = l.id"""
 
 
-def lexicon_snowball_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H7/H8 with the real lexicon and Snowball stems (vocabulary job) on every document."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    s = lexicon_scores(d, ["doc_id"], "text", default_lexicon(spark), stemmer="snowball")
-    return s.select("doc_id", "refusal_detection", "refusal_language", "hedging_detection", "hedging_count")
+def lexicon_forms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7/H8 by the lexicon's surface forms on every document and every turn of a conversation."""
+    d = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    t = read_table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("id"), "text")
+    s = lexicon_scores(d.unionByName(t), ["id"], "text", default_lexicon(spark))
+    return s.select("id", "refusal_detection", "refusal_language", "hedging_detection", "hedging_count")
+
+
+LEXICON_FORMS_SQL = """WITH texts AS (
+  SELECT 'd' || doc_id AS id, text FROM documents
+  UNION ALL SELECT 'c' || conv_id || ':' || turn AS id, text FROM conversations
+),
+""" + lexicon_flags_sql("texts", "id", "text", default_rows()) + """
+SELECT t.id, coalesce(f.refusal_detection, false) AS refusal_detection, f.refusal_language,
+       coalesce(f.hedging_detection, false) AS hedging_detection,
+       CAST(coalesce(f.hedging_count, 0) AS BIGINT) AS hedging_count
+FROM texts t LEFT JOIN lx_flags f ON f.id = t.id"""
 
 
 def run_pipeline(spark: SparkSession, sf_dir: str, with_statistical: bool = True) -> DataFrame:

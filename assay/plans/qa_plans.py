@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.classify import FAILURE_MODE_SQL
-from assay.functions.numeric import fixed_mean_sql, fixed_var_pop_sql
-from assay.functions.lexicon import DRIVER_SURFACE_ROWS
+from assay.functions.numeric import fixed_mean_sql, fixed_var_pop_sql, round_even_sql
+from assay.functions.lexicon import default_rows
 from assay.operators.aggregate import (aggregate_overall_and_by, aggregate_scores, failure_mode_rates,
                                        unpivot_metrics)
 from assay.operators.scoring import score_responses
@@ -24,9 +24,8 @@ QA_METRICS = ["token_overlap_f1", "question_response_overlap", "response_length_
 
 
 def scored_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every labelled document scored (H2-H4, H7, H8, H12). The registered
-    queries use the surface lexicon of the driver's text, evaluated per row."""
-    return score_responses(qa(spark, sf_dir), ["session_id"], list(DRIVER_SURFACE_ROWS), stemmer="none")
+    """Every document scored."""
+    return score_responses(qa(spark, sf_dir), ["session_id"], default_rows())
 
 
 SCORED_QA_SQL = QA_SQL + """,
@@ -35,7 +34,7 @@ qa_tok AS (
          """ + tokens_sql("question") + """ AS q_tok
   FROM qa
 ),
-""" + lexicon_flags_sql("qa", "session_id", "response", DRIVER_SURFACE_ROWS) + """,
+""" + lexicon_flags_sql("qa", "session_id", "response", default_rows()) + """,
 scored AS (
   SELECT t.session_id, t.model, t.language, t.category, t.question, t.response, t.reference,
          """ + set_f1_sql("t.r_tok", "t.f_tok") + """ AS token_overlap_f1,
@@ -92,8 +91,9 @@ long AS (
   WHERE value IS NOT NULL
 )"""
 
-_AGG_SQL = f"""round({fixed_mean_sql('value')}, 4) AS mean,
-       round(CASE WHEN count(value) < 2 THEN 0.0 ELSE sqrt({fixed_var_pop_sql('value')}) END, 4) AS std,
+_STD_SQL = f"CASE WHEN count(value) < 2 THEN 0.0 ELSE sqrt({fixed_var_pop_sql('value')}) END"
+_AGG_SQL = f"""{round_even_sql(fixed_mean_sql('value'))} AS mean,
+       {round_even_sql(_STD_SQL)} AS std,
        count(value) AS count"""
 
 QA_BREAKDOWN_SQL = "WITH " + _LONG_SQL + f"""
@@ -116,7 +116,7 @@ def rule_verdict_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fmt3(x):
-    return f"printf('%.3f', round({x}, 3))"
+    return f"printf('%.3f', {round_even_sql(x, 3)})"
 
 
 QA_VERDICT_SQL = "WITH " + _LONG_SQL + f""",
@@ -171,7 +171,7 @@ RULE_VERDICT_METRICS_SQL = """SELECT model, 'verdict_' || name AS metric_key, va
 QA_FAILURE_RATES_SQL = "WITH " + SCORED_QA_SQL + """,
 c AS (SELECT model, failure_mode, count(*) AS count FROM scored_fm GROUP BY model, failure_mode)
 SELECT model, failure_mode, count, CAST(sum(count) OVER (PARTITION BY model) AS BIGINT) AS total_scored,
-       round(count / sum(count) OVER (PARTITION BY model), 4) AS rate
+       """ + round_even_sql("count / sum(count) OVER (PARTITION BY model)") + """ AS rate
 FROM c"""
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import text as tx
-from assay.functions.numeric import fixed_mean, fixed_mean_sql
+from assay.functions.numeric import fixed_mean, fixed_mean_sql, round_even_sql
 from assay.functions.numeric import fixed_var_pop_sql as _var_sql
 from assay.plans.sqlkit import length_ratio_sql as _ratio_sql
 from assay.plans.sqlkit import set_f1_sql as _f1_sql
@@ -150,9 +150,9 @@ def judge_norm_query(spark, sf_dir):
                     tx.groundedness(F.col("value") / 50.0 - 0.5).alias("groundedness"))
 
 
-JUDGE_NORM_SQL = """SELECT event_id,
+JUDGE_NORM_SQL = f"""SELECT event_id,
        CAST(CASE WHEN value > 50 THEN 1.0 WHEN value < 10 THEN 0.0 ELSE 0.0 END AS DOUBLE) AS judge_score,
-       round(least(greatest(coalesce(value / 50.0 - 0.5, 0.0), 0.0), 1.0)::DOUBLE, 4) AS groundedness
+       {round_even_sql('least(greatest(coalesce(value / 50.0 - 0.5, 0.0), 0.0), 1.0)::DOUBLE')} AS groundedness
 FROM events"""
 
 
@@ -403,8 +403,8 @@ long AS (
     INTO NAME scorer_name VALUE value)
 ),
 agg AS (
-  SELECT model, scorer_name, round(""" + fixed_mean_sql("value") + """, 4) AS mean,
-         round(CASE WHEN count(value) < 2 THEN 0.0 ELSE sqrt(""" + _var_sql("value") + """) END, 4) AS std
+  SELECT model, scorer_name, """ + round_even_sql(fixed_mean_sql("value")) + """ AS mean,
+         """ + round_even_sql("CASE WHEN count(value) < 2 THEN 0.0 ELSE sqrt(" + _var_sql("value") + ") END") + """ AS std
   FROM long GROUP BY model, scorer_name
 )
 SELECT model, scorer_name || '_mean' AS metric_key, mean AS metric_value FROM agg
@@ -417,4 +417,4 @@ SELECT model, 'failure_mode_' || coalesce(failure_mode, 'unknown') || '_count',
 FROM scored_fm GROUP BY model, failure_mode
 UNION ALL
 SELECT model, 'failure_mode_' || coalesce(failure_mode, 'unknown') || '_rate',
-       round(count(*) / sum(count(*)) OVER (PARTITION BY model), 4) FROM scored_fm GROUP BY model, failure_mode"""
+       """ + round_even_sql("count(*) / sum(count(*)) OVER (PARTITION BY model)") + """ FROM scored_fm GROUP BY model, failure_mode"""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.numeric import fixed_mean_sql, fixed_var_pop_sql
+from assay.functions.numeric import fixed_mean_sql, fixed_var_pop_sql, round_even_sql
 from assay.operators.scoring import score_text_metrics
 from assay.operators.session_scores import chunk_attribution, pass_at_k, self_consistency
 from assay.plans.sqlkit import length_ratio_sql, set_f1_sql, tokens_sql
@@ -47,7 +47,7 @@ def pass_at_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PASS_AT_K_SQL = "WITH " + ATTEMPT_SCORES_CTE + """
-SELECT session_id, count(*) AS k, round(coalesce(max(token_overlap_f1), 0.0), 4) AS pass_at_k_best_score,
+SELECT session_id, count(*) AS k, """ + round_even_sql("coalesce(max(token_overlap_f1), 0.0)") + """ AS pass_at_k_best_score,
        coalesce(max(token_overlap_f1), 0.0) >= 0.3 AS pass_at_k
 FROM att_scores GROUP BY session_id HAVING count(*) >= 2"""
 
@@ -63,8 +63,8 @@ pairs AS (
   FROM att_tok a JOIN att_tok b ON a.session_id = b.session_id AND a.attempt < b.attempt
 ),
 agg AS (
-  SELECT session_id, count(*) AS n_pairs, round(""" + fixed_mean_sql("f1") + """, 4) AS self_consistency,
-         round(""" + fixed_var_pop_sql("f1") + """, 4) AS self_consistency_variance
+  SELECT session_id, count(*) AS n_pairs, """ + round_even_sql(fixed_mean_sql("f1")) + """ AS self_consistency,
+         """ + round_even_sql(fixed_var_pop_sql("f1")) + """ AS self_consistency_variance
   FROM pairs GROUP BY session_id
 )
 SELECT s.session_id, coalesce(agg.n_pairs, 0) AS n_pairs, agg.self_consistency, agg.self_consistency_variance
@@ -104,9 +104,9 @@ c AS (
          sqrt((n_chunks * sxx - sx * sx) * (n_chunks * syy - sy * sy)) AS den
   FROM g
 )
-SELECT session_id, attempt, n_chunks, round(max_attr, 4) AS chunk_attribution,
-       round(entropy, 4) AS chunk_entropy,
-       round(CASE WHEN n_chunks > 2 THEN coalesce(CASE WHEN den > 1e-12 THEN num / den END, 0.0) ELSE 0.0 END, 4)
+SELECT session_id, attempt, n_chunks, """ + round_even_sql("max_attr") + """ AS chunk_attribution,
+       """ + round_even_sql("entropy") + """ AS chunk_entropy,
+       """ + round_even_sql("CASE WHEN n_chunks > 2 THEN coalesce(CASE WHEN den > 1e-12 THEN num / den END, 0.0) ELSE 0.0 END") + """
          AS chunk_score_correlation,
        per_chunk
 FROM c"""

@@ -7,6 +7,7 @@ package, so an oracle query reads like the Spark plan it checks.
 from __future__ import annotations
 
 from assay.functions.lexicon import HEDGING_WINDOW, REFUSAL_WINDOW, lexicon_values_sql
+from assay.functions.numeric import round_even_sql
 from assay.functions.tokens import TOKEN_PATTERN, WORD_PATTERN
 
 
@@ -28,24 +29,24 @@ def set_f1_sql(a: str, b: str, digits: int = 4) -> str:
     inter = f"len(list_intersect({da}, {db}))"
     p, r = f"({inter} / len({da}))", f"({inter} / len({db}))"
     return (f"CASE WHEN len({da}) = 0 OR len({db}) = 0 OR {inter} = 0 THEN 0.0 "
-            f"ELSE round(2.0 * ({p} * {r}) / ({p} + {r}), {digits}) END")
+            f"ELSE {round_even_sql(f'2.0 * ({p} * {r}) / ({p} + {r})', digits)} END")
 
 
 def length_ratio_sql(a: str, b: str) -> str:
-    return f"CASE WHEN len({b}) = 0 THEN NULL ELSE round(len({a}) / len({b}), 4) END"
+    return f"CASE WHEN len({b}) = 0 THEN NULL ELSE {round_even_sql(f'len({a}) / len({b})')} END"
 
 
 def lexicon_flags_sql(src: str, key: str, text: str, lexicon_rows, prefix: str = "lx") -> str:
     """CTE chain ending in ``{prefix}_flags(key, refusal_detection, refusal_language,
     hedging_detection, hedging_count)`` for responses with at least one hit."""
     vals = lexicon_values_sql(lexicon_rows)
-    return f"""{prefix}_lex(language, role, stem) AS (VALUES
+    return f"""{prefix}_lex(language, role, stem, word) AS (VALUES
     {vals}
 ),
 {prefix}_w AS (SELECT {key}, {words_sql(text)} AS w FROM {src}),
 {prefix}_ex AS (SELECT {key}, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM {prefix}_w),
 {prefix}_hits AS (
-  SELECT e.{key}, e.pos, l.language, l.role, l.stem FROM {prefix}_ex e JOIN {prefix}_lex l ON e.word = l.stem
+  SELECT e.{key}, e.pos, l.language, l.role, l.stem FROM {prefix}_ex e JOIN {prefix}_lex l ON e.word = l.word
 ),
 {prefix}_rh AS (
   SELECT *, max(CASE WHEN role = 'capability' THEN 1 ELSE 0 END) OVER (
