@@ -158,3 +158,8 @@ from assay.plans import isolated_plans as ip  # noqa: E402
 
 QUERIES.update(ip.QUERIES)
 ORACLE_SQL.update(ip.ORACLE_SQL)
+
+from assay.plans import export_plans as xp  # noqa: E402
+
+QUERIES.update(xp.QUERIES)
+ORACLE_SQL.update(xp.ORACLE_SQL)

@@ -85,3 +85,25 @@ def lexicon_flags_sql(src: str, key: str, text: str, lexicon_rows, prefix: str =
          h.hedging_detection, h.hedging_count
   FROM {prefix}_ref r FULL OUTER JOIN {prefix}_hed h ON r.{key} = h.{key}
 )"""
+
+
+def rouge_l_sql(src: str, key: str, a: str, b: str, prefix: str = "rl") -> str:
+    """CTE chain ending in ``{prefix}(key, rouge_l)``; needs WITH RECURSIVE. The longest common
+    subsequence goes diagonal by diagonal, so that a cell reads only the two before."""
+    return f"""{prefix}_ids AS (
+  SELECT {key}, len({a}) AS n, len({b}) AS m, list_transform({a}, lambda x: coalesce(list_position({b}, x), 0)) AS a,
+         list_transform({b}, lambda x: list_position({b}, x)) AS b FROM {src}
+),
+{prefix}_dp AS (
+  SELECT {key}, n, m, a, b, 1 AS d, list_transform(range(n + 1), lambda i: 0) AS before, list_transform(range(n + 1), lambda i: 0) AS last
+  FROM {prefix}_ids WHERE n > 0 AND m > 0
+  UNION ALL
+  SELECT {key}, n, m, a, b, d + 1, last, list_transform(range(n + 1), lambda i:
+           CASE WHEN i = 0 OR i > d OR d + 1 - i > m THEN 0 WHEN a[i] = b[d + 1 - i] THEN before[i] + 1 ELSE greatest(last[i], last[i + 1]) END)
+  FROM {prefix}_dp WHERE d < n + m
+),
+{prefix} AS (
+  SELECT i.{key}, CASE WHEN coalesce(t.last[t.n + 1], 0) = 0 THEN 0.0
+      ELSE CAST(printf('%.4f', 2 * (t.last[t.n + 1] / t.n) * (t.last[t.n + 1] / t.m) / (t.last[t.n + 1] / t.n + t.last[t.n + 1] / t.m)) AS DOUBLE) END AS rouge_l
+  FROM {prefix}_ids i LEFT JOIN {prefix}_dp t ON t.{key} = i.{key} AND t.d = t.n + t.m
+)"""
