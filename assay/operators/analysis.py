@@ -207,6 +207,21 @@ def comparison_table(df: DataFrame, metrics: list[str], model_a: str, model_b: s
                     F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("significant"))
 
 
+def comparison_stats(df: DataFrame, metrics: list[str], model_a: str, model_b: str,
+                     group_col: str = "model_label") -> DataFrame:
+    """I17 — per metric the descriptive statistics (D8) of two groups side by side (``a_*``,
+    ``b_*``), the delta of the means and the relative delta in percent (NULL if b's mean is 0).
+    A metric that only one group has stays, with NULLs on the other side."""
+    side = F.when(F.col(group_col) == model_a, "a").otherwise("b")
+    long = melt(df.filter(F.col(group_col).isin(model_a, model_b)), [group_col], metrics).withColumn("side", side)
+    stats = descriptive_stats(long, ["metric", "side"])
+    names = [c for c in stats.columns if c not in ("metric", "side")]
+    wide = stats.groupBy("metric").agg(*[
+        F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("a", "b") for c in names])
+    delta = F.col("a_mean") - F.col("b_mean")
+    return wide.withColumns({"delta": delta, "relative_delta_pct": F.when(F.col("b_mean") != 0, delta / F.col("b_mean") * 100)})
+
+
 def first_of_session(df: DataFrame, session_col: str = "session_id", order_col: str = "attempt") -> DataFrame:
     """B14 — the first row (lowest ``order_col``) of every session.
 

@@ -74,6 +74,7 @@ QUERIES.update({
     "metric_ranges": dp.metric_ranges_query,
     "low_sample_groups": dp.low_sample_query,
     "comparison_table": dp.comparison_query,
+    "comparison_stats": dp.comparison_stats_query,
     "scatter_points": dp.scatter_query,
 })
 ORACLE_SQL.update({
@@ -93,6 +94,7 @@ ORACLE_SQL.update({
     "metric_ranges": dp.METRIC_RANGES_SQL,
     "low_sample_groups": dp.LOW_SAMPLE_SQL,
     "scatter_points": dp.SCATTER_SQL,
+    "comparison_stats": dp.COMPARISON_STATS_SQL,
 })
 
 from assay.plans import records_plans as rp  # noqa: E402
@@ -125,6 +127,7 @@ ORACLE_SQL.update({
     "provider": rp.PROVIDER_SQL,
     "cache_counts": rp.CACHE_COUNTS_SQL,
     "upsert": rp.UPSERT_SQL,
+    "sessions": rp.SESSIONS_SQL,
     "token_usage": rp.TOKEN_USAGE_SQL,
     "bookkeeping": rp.BOOKKEEPING_SQL,
     "global_delta": rp.GLOBAL_DELTA_SQL,

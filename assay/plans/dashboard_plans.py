@@ -361,6 +361,33 @@ def comparison_query(spark, sf_dir):
     return an.comparison_table(dash_frame(spark, sf_dir), STAT_METRICS, MODEL_A, MODEL_B)
 
 
+_STATS = ("mean", "std", "variance", "cv", "q1", "q2", "q3", "iqr", "min", "max")
+
+
+def comparison_stats_query(spark, sf_dir):
+    """The descriptive statistics of two models side by side, with deltas."""
+    c = an.comparison_stats(dash_frame(spark, sf_dir), STAT_METRICS, MODEL_A, MODEL_B)
+    return c.select("metric", "a_count", "b_count", *[_r6(f"{s}_{x}").alias(f"{s}_{x}") for s in "ab" for x in _STATS],
+                    _r6("delta").alias("delta"), _r6("relative_delta_pct").alias("relative_delta_pct"))
+
+
+def _side_sql(side: str) -> str:
+    v = f"CASE WHEN model_label = '{MODEL_A if side == 'a' else MODEL_B}' THEN value END"
+    exprs = {"mean": f"avg({v})", "std": f"stddev_samp({v})", "variance": f"var_samp({v})",
+             "cv": f"CASE WHEN avg({v}) <> 0 THEN stddev_samp({v}) / avg({v}) END",
+             "q1": f"quantile_cont({v}, 0.25)", "q2": f"quantile_cont({v}, 0.5)", "q3": f"quantile_cont({v}, 0.75)",
+             "iqr": f"quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25)", "min": f"min({v})", "max": f"max({v})"}
+    return f"count({v}) AS {side}_count, " + ", ".join(f"round({e}, 6) AS {side}_{n}" for n, e in exprs.items())
+
+
+_MEAN_A, _MEAN_B = (f"avg(CASE WHEN model_label = '{m}' THEN value END)" for m in (MODEL_A, MODEL_B))
+COMPARISON_STATS_SQL = "WITH " + DASH_SQL + f""",
+long AS {_melt_sql('dash', 'model_label', STAT_METRICS)}
+SELECT metric, {_side_sql('a')}, {_side_sql('b')}, round({_MEAN_A} - {_MEAN_B}, 6) AS delta,
+       round(CASE WHEN {_MEAN_B} <> 0 THEN ({_MEAN_A} - {_MEAN_B}) / {_MEAN_B} * 100 END, 6) AS relative_delta_pct
+FROM long WHERE value IS NOT NULL AND model_label IN ('{MODEL_A}', '{MODEL_B}') GROUP BY metric"""
+
+
 def scatter_query(spark, sf_dir):
     """Cost-vs-metric scatter projection with hover columns."""
     d = dash_frame(spark, sf_dir)

@@ -215,6 +215,12 @@ def sessions_query(spark, sf_dir):
         .withColumn("outputs", F.array_join("outputs", "|"))
 
 
+SESSIONS_SQL = "WITH " + RECORDS_SQL + f"""
+SELECT id, count(*) AS n_traces,
+       string_agg(CASE WHEN language = 1 AND i <= session_id % 3 THEN 'cached answer ' ELSE 'stub answer ' END || i, '|' ORDER BY i) AS outputs
+FROM records CROSS JOIN (SELECT unnest(range({K_ATTEMPTS})) AS i) GROUP BY id"""
+
+
 def upsert_query(spark, sf_dir):
     """K5: register records twice; the second version replaces positivo records."""
     r = records(spark, sf_dir).select("id", "data_category_QA", "name")
