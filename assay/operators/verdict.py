@@ -128,10 +128,14 @@ def statistical_verdict(results: DataFrame, critical: DataFrame, outer: list[str
                            F.lit("): significant but small effect (p_adj="), p, F.lit(", d="), e,
                            F.lit(") — inconclusive signal"))
     reason = F.when(fail, fail_reason).when(weak, weak_reason)
+    # the order of the tests: by category and metric, whole-run metrics after them, bootstrap tests last
+    late = F.col("test_name") == "bootstrap" if "test_name" in r.columns else F.lit(False)
+    order = [late.alias("late"), (F.col("category") == "global").alias("whole"), F.col("category"), F.col("metric_name")]
     g = (r.groupBy(*outer) if outer else r.groupBy()).agg(
         F.count_if(fail).alias("n_critical_failures"),
         F.bool_or(weak).alias("_weak"),
-        F.array_sort(F.collect_list(reason)).alias("_reasons"),
+        F.transform(F.array_sort(F.collect_list(F.when(reason.isNotNull(), F.struct(*order, reason.alias("reason"))))),
+                    lambda x: x["reason"]).alias("_reasons"),
         F.array_sort(F.collect_list(F.when(fail, F.concat_ws(":", "metric_name", "category"))))
         .alias("critical_failures"),
     )

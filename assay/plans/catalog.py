@@ -144,6 +144,7 @@ QUERIES.update({
     "incremental_gold": pp.incremental_gold_query,
     "running_metrics": pp.running_metrics_query,
     "profile_roundtrip": pp.profile_roundtrip_query,
+    "profile_metadata": pp.profile_metadata_query,
     "trace_lookup": pp.trace_lookup_query,
     "lexicon_forms": pp.lexicon_forms_query,
     "verdict_pipeline": pp.pipeline_query,
@@ -153,6 +154,7 @@ ORACLE_SQL.update({
     "incremental_gold": pp.INCREMENTAL_GOLD_SQL,
     "running_metrics": pp.RUNNING_METRICS_SQL,
     "trace_lookup": pp.TRACE_LOOKUP_SQL,
+    "profile_metadata": pp.PROFILE_METADATA_SQL,
     "lexicon_forms": pp.LEXICON_FORMS_SQL,
     "medallion_build": "WITH " + dp.RAW_SQL + ",\n" + dp.PREDS_SQL + pp.MEDALLION_BUILD_SQL_TAIL,
 })

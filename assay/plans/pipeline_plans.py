@@ -18,14 +18,19 @@ from assay.plans.dashboard_plans import PREDS_SQL, md_typed, predictions
 from assay.plans.qa_plans import QA_METRICS
 from assay.plans.sqlkit import lexicon_flags_sql
 from assay.plans.verdict_plans import (ALPHA, BOOTSTRAP_B, PERCENTILE, REFERENCE_MODELS, SEED,
-                                       profile_from, scores_long)
+                                       profile_from, scores_long, tests_against)
 from assay.sources import medallion as md
-from assay.sources.profile_io import load_profile, profile_document, save_profile
+from assay.sources.profile_io import load_profile, load_profile_metadata, profile_document, save_profile
 from assay.sources.tables import read_table
-from assay.sources.views import qa
+from assay.sources.views import QA_SQL, qa
 from assay.streaming.incremental_gold import gold, incremental_gold, running_run_metrics
 
 
+CREATED_AT = "2024-01-01T00:00:00+00:00"
+BENCHMARK = "driver-qa"
+STATISTICAL_COLUMNS = ("statistical_verdict", "statistical_reasons", "profile_version", "correction")
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return md.scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
@@ -88,23 +93,43 @@ UNION ALL
 SELECT run_id, 'failure_mode_' || mode, n, round(n / sum(n) OVER (PARTITION BY run_id), 6) FROM modes"""
 
 
-def profile_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6 + I13/I14/I18: derive the threshold profile, save it as JSON, load it back."""
+def saved_profile(spark: SparkSession, sf_dir: str) -> str:
+    """Derive the threshold profile of the reference runs and save it; its path."""
     long = scores_long(spark, sf_dir)
     flat = profile_from(long).checkpoint()
     # one row of each response of the reference runs (sessions are summed over runs), and the run names
     ref = long.filter(F.col("is_reference") & (F.col("metric") == QA_METRICS[0]))
     n_sessions = ref.count()
     run_ids = sorted(r["run_id"] for r in ref.select(F.concat(F.lit("run-"), "model").alias("run_id")).distinct().collect())
-    doc = profile_document(flat, created_at="2024-01-01T00:00:00+00:00", benchmark="driver-qa",
+    doc = profile_document(flat, created_at=CREATED_AT, benchmark=BENCHMARK,
                            reference_models=list(REFERENCE_MODELS), reference_run_ids=run_ids, total_sessions=n_sessions,
                            bootstrap_b=BOOTSTRAP_B, seed=SEED, percentile=PERCENTILE, alpha=ALPHA)
     path = _scratch(spark, "profile")
     save_profile(doc, path)
+    return path
+
+
+def profile_roundtrip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 + I13/I14/I18: derive the threshold profile, save it as JSON, load it back."""
+    path = saved_profile(spark, sf_dir)
     assert load_profile(spark, os.path.join(path, "missing")) is None
     return load_profile(spark, path)
 
 
+def profile_metadata_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 + D7 + D23: the saved profile's metadata, read back."""
+    m = load_profile_metadata(spark, saved_profile(spark, sf_dir))
+    return m.withColumns({c: F.array_join(c, ",") for c in ("reference_models", "reference_run_ids")})
+
+
+PROFILE_METADATA_SQL = "WITH " + QA_SQL + f"""
+SELECT '1.0.0' AS version, '{CREATED_AT}' AS created_at, '{BENCHMARK}' AS benchmark, '{','.join(REFERENCE_MODELS)}' AS reference_models,
+       string_agg(DISTINCT 'run-' || model, ',' ORDER BY 'run-' || model) AS reference_run_ids, count(*) AS total_sessions,
+       CAST({BOOTSTRAP_B} AS BIGINT) AS bootstrap_b, CAST({SEED} AS BIGINT) AS bootstrap_seed,
+       CAST({PERCENTILE} AS BIGINT) AS threshold_percentile, CAST({ALPHA} AS DOUBLE) AS alpha, 'benjamini-hochberg' AS correction_method
+FROM qa WHERE model IN ({', '.join(f"'{m}'" for m in REFERENCE_MODELS)})"""
+
+
 def trace_lookup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4/C5 + A10/A13: traces find their record by group id (fallback: trace id);
     unmatched traces are reported; matched traces are renumbered per session."""
@@ -165,28 +190,38 @@ SELECT t.id, coalesce(f.refusal_detection, false) AS refusal_detection, f.refusa
 FROM texts t LEFT JOIN lx_flags f ON f.id = t.id"""
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, with_statistical: bool = True) -> DataFrame:
-    """J6 — scored responses -> per-category breakdown -> rule verdict per model, plus
-    the statistical verdict of the candidate runs when a profile can be derived (J5:
-    no profile or no candidate rows -> the statistical columns stay NULL)."""
+def run_pipeline(spark: SparkSession, sf_dir: str, profile_path: str | None = None) -> DataFrame:
+    """J6 — scored responses -> per-category breakdown -> rule verdict per model, plus the
+    statistical verdict of the candidate responses against a saved profile.
+
+    J5: without a path, a profile there or a candidate's test, the statistical columns are
+    NULL. Reference models, alpha, bootstrap parameters, correction and version are the
+    saved profile's. The candidates' responses are one run: all share its verdict.
+    """
     from assay.plans.qa_plans import scored_qa
-    from assay.plans.verdict_plans import hypothesis_tests
     long = unpivot_metrics(scored_qa(spark, sf_dir), ["model", "category", "session_id"], QA_METRICS)
     rule = rule_verdict(aggregate_scores(long, ["model", "category"]), ["model"])
-    if not with_statistical:
-        return rule
-    tests = hypothesis_tests(spark, sf_dir)
+    skipped = rule.withColumns({c: F.lit(None).cast("string") for c in STATISTICAL_COLUMNS})
+    flat = load_profile(spark, profile_path) if profile_path else None
+    if flat is None:
+        return skipped
+    meta = load_profile_metadata(spark, profile_path).first()  # one row
+    tests = tests_against(scores_long(spark, sf_dir, meta["reference_models"]), flat, alpha=meta["alpha"],
+                          bootstrap_b=meta["bootstrap_b"], seed=meta["bootstrap_seed"])
+    tests = tests.checkpoint()  # one row a test
     if tests.isEmpty():
-        return rule.withColumn("statistical_verdict", F.lit(None).cast("string"))
-    sv = statistical_verdict(tests, critical_metrics(spark), alpha=ALPHA)
+        return skipped
+    sv = statistical_verdict(tests, critical_metrics(spark), alpha=meta["alpha"], correction_method=meta["correction_method"],
+                             profile_version=meta["version"])
     top5 = F.array_join(F.slice("reasons", 1, 5), "; ")  # F5
-    sv = sv.select(F.col("verdict").alias("statistical_verdict"), top5.alias("statistical_reasons"))
+    sv = sv.select(*[c.alias(n) for c, n in zip((F.col("verdict"), top5, F.col("threshold_profile_version"), F.col("correction_method")),
+                                                STATISTICAL_COLUMNS, strict=True)])
     return rule.withColumn("_k", F.lit(1)).join(sv.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J5/J6 + F5: both verdicts side by side for every model."""
-    return run_pipeline(spark, sf_dir).withColumn("reasons", F.array_join("reasons", " | "))
+    """J5/J6 + F5: both verdicts side by side for every model, against a saved profile."""
+    return run_pipeline(spark, sf_dir, saved_profile(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", " | "))
 
 
 def qa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:  # pragma: no cover - helper for notebooks

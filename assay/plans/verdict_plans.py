@@ -68,15 +68,19 @@ def thresholds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(spark, sf_dir)
 
 
-def hypothesis_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = scores_long(spark, sf_dir)
-    prof = profile_from(long).checkpoint()  # small: one row per (category, metric)
+def tests_against(long: DataFrame, prof: DataFrame, *, alpha: float = ALPHA, bootstrap_b: int = BOOTSTRAP_B, seed: int = SEED) -> DataFrame:
+    """Every routed test of the candidate rows of ``long`` against a profile and its reference rows."""
     per = prof.filter(F.col("category") != "global").select(
         "category", "metric", "metric_type", F.col("value").alias("threshold_value"))
     glob = prof.filter(F.col("category") == "global").select("metric", F.col("value").alias("threshold_value"))
     cand = gated_long(long, False)
     ref = gated_long(long, True)
-    return run_all_tests(cand, ref, per, alpha=ALPHA, bootstrap_b=BOOTSTRAP_B, seed=SEED, global_profile=glob)
+    return run_all_tests(cand, ref, per, alpha=alpha, bootstrap_b=bootstrap_b, seed=seed, global_profile=glob)
+
+
+def hypothesis_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = scores_long(spark, sf_dir)
+    return tests_against(long, profile_from(long).checkpoint())  # one row per (category, metric)
 
 
 def hypothesis_tests_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,14 +69,28 @@ def save_profile(doc: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_profile(spark: SparkSession, path: str) -> DataFrame | None:
-    """Read a saved profile back as the flat table; ``None`` if the path does not exist."""
+def _document(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         raw = spark.read.text(path)
         raw.schema  # noqa: B018 - resolve now so a missing path raises here
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return raw.select(F.from_json("value", PROFILE).alias("p")).select("p.*")
+
+
+def load_profile_metadata(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved profile's metadata as one row; ``None`` if the path does not exist."""
+    doc = _document(spark, path)
+    return None if doc is None else doc.drop("category_thresholds", "global_thresholds")
+
+
+def load_profile(spark: SparkSession, path: str) -> DataFrame | None:
+    """Read a saved profile back as the flat table; ``None`` if the path does not exist."""
+    doc = _document(spark, path)
+    if doc is None:
         return None
-    doc = raw.select(F.from_json("value", PROFILE).alias("p")).select("p.*")
     per = doc.select(F.explode("category_thresholds").alias("category", "ts")).select(
         "category", F.explode("ts").alias("t"))
     glob = doc.select(F.lit("global").alias("category"), F.explode("global_thresholds").alias("t"))

@@ -158,3 +158,31 @@ def test_statistical_verdict(spark):
                                 ("rouge_l", "positivo", True, "large", 0.001, 1.0)], schema)
     r = rows(statistical_verdict(ok, crit))[0]
     assert r["verdict"] == "capable" and r["reasons"] == ["All critical metrics within reference thresholds"]
+
+
+def test_reasons_stand_in_test_order(spark):
+    from assay.operators.verdict import critical_metrics, statistical_verdict
+    schema = ("category string, metric_name string, test_name string, p_value_adjusted double, reject_null boolean, effect_size double, "
+              "effect_magnitude string")
+    data = [("global", "discrimination_delta", "bootstrap", 0.0, True, -0.9, "large"),
+            ("positivo", "token_overlap_f1", "wilcoxon", 0.001, True, -0.3, "small"),
+            ("negativo", "token_overlap_f1", "bootstrap", 0.01, True, -0.9, "large"),
+            ("negativo", "refusal_detection", "chi2", 0.002, True, 0.9, "large"),
+            ("positivo", "rouge_l", "wilcoxon", 0.0, True, 0.9, "large")]
+    r = statistical_verdict(spark.createDataFrame(data, schema), critical_metrics(spark)).first()
+    assert r["verdict"] == "not_capable" and r["n_critical_failures"] == 3
+    assert [x.split(":")[0] for x in r["reasons"]] == [
+        "refusal_detection (negativo)", "token_overlap_f1 (positivo)", "token_overlap_f1 (negativo)", "discrimination_delta (global)"]
+
+
+def test_comparison_stats_against_pandas(spark):
+    from assay.operators.analysis import comparison_stats
+    data = [("a", 0.1, 1.0), ("a", 0.4, None), ("a", 0.7, 3.0), ("b", 0.2, None), ("b", 0.2, None), ("c", 9.0, 9.0), (None, 5.0, 5.0)]
+    df = spark.createDataFrame(data, "model_label string, x double, y double")
+    out = {r["metric"]: r for r in comparison_stats(df, ["x", "y"], "a", "b").collect()}
+    x, y = out["x"], out["y"]
+    assert x["a_count"] == 3 and x["b_count"] == 2 and x["a_mean"] == pytest.approx(0.4) and x["a_std"] == pytest.approx(0.3)
+    assert x["a_q1"] == pytest.approx(0.25) and x["a_q3"] == pytest.approx(0.55) and x["b_std"] == pytest.approx(0.0)
+    assert x["delta"] == pytest.approx(0.2) and x["relative_delta_pct"] == pytest.approx(100.0)
+    assert y["a_count"] == 2 and y["b_count"] is None and y["delta"] is None
+    assert comparison_stats(df.limit(0), ["x"], "a", "b").count() == 0

@@ -163,3 +163,27 @@ def test_attempt_numbering_hot_key_path(spark):
                    for r in rq.number_attempts(cache, hot_rows=10).collect())
     assert plain == split
     assert ("hot", "t119", 119) in plain and ("k", "a", 0) in plain
+
+
+def test_profile_metadata_comes_back_whole(spark):
+    from assay.sources.profile_io import load_profile_metadata
+    flat = spark.createDataFrame([], "category string, metric string, value double, ci_lower double, ci_upper double, metric_type string, "
+                                     "test_paired string, test_unpaired string, reference_mean double, reference_std double, sample_count long")
+    doc = profile_document(flat, created_at="2024", benchmark="b", reference_models=["m1", "m2"], reference_run_ids=[], total_sessions=7,
+                           bootstrap_b=1000, seed=3, percentile=10, alpha=0.01, version="2.0.0")
+    path = os.path.join(tempfile.mkdtemp(prefix="assay-test-"), "profile")
+    save_profile(doc, path)
+    m = load_profile_metadata(spark, path).first().asDict()
+    assert m == {"version": "2.0.0", "created_at": "2024", "benchmark": "b", "reference_models": ["m1", "m2"], "reference_run_ids": [],
+                 "total_sessions": 7, "bootstrap_b": 1000, "bootstrap_seed": 3, "threshold_percentile": 10, "alpha": 0.01,
+                 "correction_method": "benjamini-hochberg"}
+    assert load_profile(spark, path).count() == 0
+    assert load_profile_metadata(spark, path + "-missing") is None
+
+
+def test_pipeline_without_a_profile_has_no_statistical_verdict(spark):
+    from assay.plans.pipeline_plans import STATISTICAL_COLUMNS, run_pipeline
+    for path in (None, "/tmp/assay-no-such-profile"):
+        out = run_pipeline(spark, "/root/testdata/sf0.001", path)
+        first = out.first()
+        assert first["verdict"] and all(first[c] is None for c in STATISTICAL_COLUMNS)
