@@ -291,6 +291,7 @@ def bh_adjust(results: DataFrame, family: list[str] | None = None, alpha: float
     greatest p downwards the adjusted values, both over range partitions of any family size.
     """
     family = list(family or [])
+    results = results.drop("p_value_adjusted", "reject_null")  # columns of an earlier correction
     counts = results.groupBy(*family, F.col(p_col).alias("_p")).agg(F.count(F.lit(1)).alias("_t"))
     sizes = results.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
     ranked = joined(prefix_scan(counts, family, [F.col("_p")], sums=["_t"]), sizes, family)

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from assay.operators import stats as st
 from assay.operators.bootstrap import bootstrap_ci_test
+from assay.session import ensure_checkpoint_dir
 
 RESULT_COLS = ["category", "metric_name", "test_name", "statistic", "p_value", "p_value_adjusted",
                "reject_null", "effect_size", "effect_magnitude", "ci_lower", "ci_upper", "candidate_value",
                "threshold_value", "sample_size_candidate", "sample_size_reference", "is_paired"]
+_TEXTS, _FLAGS, _SIZES = ("category", "metric_name", "test_name", "effect_magnitude"), ("reject_null", "is_paired"), RESULT_COLS[-3:-1]
+RESULT_SCHEMA = ", ".join(
+    f"{c} " + ("string" if c in _TEXTS else "boolean" if c in _FLAGS else "bigint" if c in _SIZES else "double") for c in RESULT_COLS)
 
 
 def detect_pairing(cand_ids: DataFrame, ref_ids: DataFrame, group: list[str], id_col: str = "session_id",
@@ -83,7 +87,8 @@ def run_all_tests(cand: DataFrame, ref: DataFrame | None, profile: DataFrame, *,
 
     # the plan has one row per (category, metric); only the names of the routes in
     # use (at most five strings) reach the driver, to skip test kinds with no groups
-    plan = plan.checkpoint() if plan.sparkSession.sparkContext.getCheckpointDir() else plan
+    ensure_checkpoint_dir(plan.sparkSession)
+    plan = plan.checkpoint()
     used = {r["route"] for r in plan.select("route").distinct().collect()}
     parts = []
     order = [c for c in ("model", "run_id", "attempt") if c in long.columns]  # latest value of a repeated id
@@ -104,7 +109,8 @@ def run_all_tests(cand: DataFrame, ref: DataFrame | None, profile: DataFrame, *,
     for p in parts:
         p = _finish(p, plan)
         tested = p if tested is None else tested.unionByName(p)
-    corrected = st.bh_adjust(tested, [], alpha) if tested is not None else None
+    # one row a test; the correction reads them several times
+    corrected = st.bh_adjust(tested.checkpoint(), [], alpha) if tested is not None else None
 
     out = None if corrected is None else corrected.select(*RESULT_COLS)
     if "bootstrap" in used:
@@ -136,4 +142,6 @@ def run_all_tests(cand: DataFrame, ref: DataFrame | None, profile: DataFrame, *,
             F.lit(1).cast("long").alias("sample_size_candidate"), F.lit(0).cast("long").alias("sample_size_reference"),
             F.lit(False).alias("is_paired"))
         out = glob if out is None else out.unionByName(glob)
+    if out is None:  # nothing of the profile was measured
+        return plan.sparkSession.createDataFrame([], RESULT_SCHEMA)
     return out

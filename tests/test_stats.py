@@ -200,3 +200,47 @@ def test_bootstrap_deterministic_and_ci(spark):
     t = rows(derive_thresholds(df, ["category", "metric"], bootstrap_b=2000, seed=42, percentile=5, alpha=0.05))[0]
     assert t["ci_lower"] <= t["value"] <= t["ci_upper"]
     assert t["sample_count"] == 200 and t["metric_type"] == "continuous"
+
+
+def _scores(categories, metrics, ids, value):
+    return [(c, i, m, value(c, m, i)) for c in categories for m in metrics for i in ids]
+
+
+def test_all_routes_of_the_tests(spark):
+    """Paired and unpaired, binary and continuous, with and without a reference; the
+    correction covers all but the bootstrap tests."""
+    from assay.operators.tests_routing import RESULT_COLS, run_all_tests
+    schema = "category string, session_id long, metric string, value double"
+    cand = spark.createDataFrame(
+        _scores(["same", "other"], ["f1", "hit"], range(40), lambda c, m, i: float(i % 2) if m == "hit" else i / 100)
+        + _scores(["alone"], ["f1"], range(40), lambda c, m, i: 0.5 + i / 1000)
+        + _scores(["positivo", "negativo"], ["token_overlap_f1"], range(4), lambda c, m, i: 0.9 if c == "positivo" else 0.2), schema)
+    ref = spark.createDataFrame(
+        _scores(["same"], ["f1", "hit"], range(40), lambda c, m, i: float(i % 4 < 3) if m == "hit" else 0.3 + i / 150)
+        + _scores(["other"], ["f1", "hit"], range(100, 150), lambda c, m, i: float(i % 5 > 0) if m == "hit" else i / 200), schema)
+    profile = spark.createDataFrame(
+        [(c, m, "binary" if m == "hit" else "continuous", 0.4) for c in ("same", "other") for m in ("f1", "hit")]
+        + [("alone", "f1", "continuous", 0.9), ("same", "absent", "continuous", 0.1)],
+        "category string, metric string, metric_type string, threshold_value double")
+    whole = spark.createDataFrame([("discrimination_delta", 0.5)], "metric string, threshold_value double")
+    out = {(r["category"], r["metric_name"]): r for r in rows(run_all_tests(cand, ref, profile, bootstrap_b=200, global_profile=whole))}
+    names = {k: r["test_name"] for k, r in out.items()}
+    assert set(next(iter(out.values()))) == set(RESULT_COLS)
+    assert {k: v.split("_")[0] for k, v in names.items()} == {
+        ("same", "f1"): "wilcoxon", ("same", "hit"): "mcnemar", ("other", "f1"): "mannwhitneyu", ("other", "hit"): "chi2",
+        ("alone", "f1"): "bootstrap", ("global", "discrimination_delta"): "bootstrap"}
+    tested = sorted((r for r in out.values() if r["test_name"] != "bootstrap"), key=lambda r: r["p_value"])
+    for rank, r in enumerate(tested):
+        expected = min(min(1.0, x["p_value"] * len(tested) / (j + 1)) for j, x in enumerate(tested) if j >= rank)
+        assert r["p_value_adjusted"] == pytest.approx(expected) and r["reject_null"] == (expected <= 0.05)
+    assert out["alone", "f1"]["reject_null"] and out["global", "discrimination_delta"]["reject_null"] is False
+    assert out["same", "f1"]["is_paired"] and not out["other", "f1"]["is_paired"]
+
+
+def test_tests_without_a_reference_are_bootstrap_tests(spark):
+    from assay.operators.tests_routing import run_all_tests
+    cand = spark.createDataFrame([("c", i, "f1", 0.5) for i in range(5)], "category string, session_id long, metric string, value double")
+    profile = spark.createDataFrame([("c", "f1", "continuous", 0.4)], "category string, metric string, metric_type string, threshold_value double")
+    out = rows(run_all_tests(cand, None, profile, bootstrap_b=50))
+    assert [(r["test_name"], r["reject_null"]) for r in out] == [("bootstrap", False)]
+    assert run_all_tests(cand.limit(0), None, profile, bootstrap_b=50).count() == 0
