@@ -8,11 +8,12 @@ p-value functions are unit-tested against published values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.numeric import rnd
 from assay.operators import stats as st
+from assay.sources.tables import read_table
 from assay.sources.views import BINARY_SQL, LINES_SQL, SCORES_SQL, binary, lines, scores
 
 # fixed parameters of the registered stats queries
@@ -27,6 +28,16 @@ def _r6(c):
     return rnd(c, 6)
 
 
+#: Of so many rows in all, no sum of t^3 - t passes 64 bits.
+BIGINT_ROWS = 2_097_151
+
+
+def _tie_term(rows: DataFrame) -> Column:
+    """``tie_term`` as bigint if no group of ``rows`` can pass it, else exact as decimal(38,0).
+    The count reads the Parquet footers only."""
+    return F.col("tie_term").cast("bigint" if rows.count() <= BIGINT_ROWS else "decimal(38,0)")
+
+
 # ------------------------------------------------------------------ long inputs
 def against(rows: DataFrame, reference: str) -> DataFrame:
     """Every model but the reference as a candidate: its rows, and beside them the
@@ -100,7 +111,7 @@ def wilcoxon_stats_query(spark, sf_dir):
     s = st.wilcoxon_stats(pairs, G)
     return t.join(s, G, "left").select(
         *G, "sample_size_candidate", "n_nonzero", _r6("w_plus").alias("w_plus"), _r6("w_minus").alias("w_minus"),
-        _r6("statistic").alias("statistic"), "tie_term", _r6("z").alias("z"),
+        _r6("statistic").alias("statistic"), _tie_term(read_table(spark, sf_dir, "events")).alias("tie_term"), _r6("z").alias("z"),
         _r6("effect_size").alias("effect_size"), _r6("candidate_value").alias("candidate_value"),
         _r6("threshold_value").alias("threshold_value"))
 
@@ -157,7 +168,7 @@ def mannwhitney_stats_query(spark, sf_dir):
     s = st.mann_whitney_stats(long, G)
     t = st.mann_whitney(long, G)
     return s.join(t.select(*G, "effect_size", "candidate_value", "threshold_value"), G).select(
-        *G, "n1", "n2", _r6("u_statistic").alias("u_statistic"), F.col("tie_term").cast("long").alias("tie_term"),
+        *G, "n1", "n2", _r6("u_statistic").alias("u_statistic"), _tie_term(read_table(spark, sf_dir, "lineitem")).alias("tie_term"),
         "has_ties", _r6("z").alias("z"), _r6("effect_size").alias("effect_size"),
         _r6("candidate_value").alias("candidate_value"), _r6("threshold_value").alias("threshold_value"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.numeric import fixed_mean, fixed_var_pop
 from assay.operators import stats
+from assay.plans import stats_plans
 
 
 def _long(spark, rows):
@@ -31,3 +32,10 @@ def test_tie_terms_beyond_64_bits(spark):
     pairs = spark.range(n).select(F.lit("g").alias("g"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0).alias("cand"), F.lit(0.0).alias("ref"))
     assert stats.wilcoxon_stats(pairs, ["g"]).first().tie_term == n ** 3 - n
     assert stats.wilcoxon(pairs, ["g"]).first().p_value == 1.0
+
+
+def test_type_of_tie_terms(spark):
+    one = spark.range(1).select(F.lit(24).cast("decimal(38,0)").alias("tie_term"))
+    for rows, kind in ((stats_plans.BIGINT_ROWS, "bigint"), (stats_plans.BIGINT_ROWS + 1, "decimal(38,0)")):
+        out = one.select(stats_plans._tie_term(spark.range(rows)).alias("t"))
+        assert out.dtypes == [("t", kind)] and out.first().t == 24
