@@ -25,10 +25,14 @@ RESULT_SCHEMA = ", ".join(
 def detect_pairing(cand_ids: DataFrame, ref_ids: DataFrame, group: list[str], id_col: str = "session_id",
                    threshold: float = 0.80) -> DataFrame:
     """C7 — |cand ∩ ref| / |cand| on distinct ids per group; paired iff >= threshold."""
-    c = cand_ids.select(*group, id_col).distinct()
-    r = ref_ids.select(*group, id_col).distinct().withColumn("_m", F.lit(1))
-    j = c.join(r, [*group, id_col], "left").groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_candidate"), F.count("_m").alias("n_common"))
+    # one grouping of both sides by id tells which sides hold it; null keys never match
+    keys = [*group, id_col]
+    both = cand_ids.select(*keys, F.lit(1).alias("_side")).unionByName(ref_ids.select(*keys, F.lit(0).alias("_side")))
+    told = F.lit(True)
+    for c in keys:
+        told = told & F.col(c).isNotNull()
+    ids = both.groupBy(*keys).agg(F.max("_side").alias("_cand"), F.min("_side").alias("_ref")).filter("_cand = 1")
+    j = ids.groupBy(*group).agg(F.count(F.lit(1)).alias("n_candidate"), F.count_if((F.col("_ref") == 0) & told).alias("n_common"))
     ratio = F.col("n_common") / F.col("n_candidate")
     return j.select(*group, "n_candidate", "n_common", ratio.alias("overlap_ratio"),
                     (ratio >= threshold).alias("is_paired"))

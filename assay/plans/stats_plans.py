@@ -41,10 +41,11 @@ def _tie_term(rows: DataFrame) -> Column:
 # ------------------------------------------------------------------ long inputs
 def against(rows: DataFrame, reference: str) -> DataFrame:
     """Every model but the reference as a candidate: its rows, and beside them the
-    reference's rows of each category that the model has."""
+    reference's rows of each category that the model has. Categories are few: a shuffle by
+    them would gather the reference's rows in a few tasks, so the names go to the rows."""
     cand = rows.filter(F.col("model") != reference)
     models = cand.select("category", "model").distinct()
-    ref = rows.filter(F.col("model") == reference).drop("model").join(models, "category")
+    ref = rows.filter(F.col("model") == reference).drop("model").join(F.broadcast(models), "category")
     return cand.withColumn("side", F.lit(st.CAND)).unionByName(ref.withColumn("side", F.lit(st.REF)))
 
 

@@ -244,3 +244,23 @@ def test_tests_without_a_reference_are_bootstrap_tests(spark):
     out = rows(run_all_tests(cand, None, profile, bootstrap_b=50))
     assert [(r["test_name"], r["reject_null"]) for r in out] == [("bootstrap", False)]
     assert run_all_tests(cand.limit(0), None, profile, bootstrap_b=50).count() == 0
+
+
+def test_pairing_of_null_and_repeated_ids(spark):
+    schema = "category string, session_id long"
+    c = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", None), (None, 5), ("b", 7)], schema)
+    r = spark.createDataFrame([("a", 1), ("a", None), (None, 5), ("c", 9), ("b", 7), ("b", 8)], schema)
+    got = {x["category"]: (x["n_candidate"], x["n_common"], x["is_paired"]) for x in rows(detect_pairing(c, r, ["category"]))}
+    assert got == {"a": (3, 1, False), None: (1, 0, False), "b": (1, 1, True)}
+
+
+def test_reference_rows_are_not_gathered_by_category(spark):
+    from assay.plans.stats_plans import against
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = against(spark.range(100).selectExpr("if(id % 2 = 0, 'N', 'R') as model", "'F' as category", "id as session_id"), "N")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in text and plan.filter("side = 'reference'").count() == 50
