@@ -15,6 +15,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ from assay.llm.pretokens import cut, ragged
 CACHE_ENTRIES = 400_000
 #: Longer pre-tokens (in bytes) are merged with a heap, and not kept.
 SHORT = 32
+#: Pre-tokens of like length (in bytes) are merged together.
+LENGTHS = (0, 4, 8, 16, SHORT)
+#: Ids that a worker's store holds before it is emptied.
+STORED_IDS = 4_000_000
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -74,22 +79,22 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at], self.none)
 
-    def merge(self, raw: list[bytes]) -> list[np.ndarray]:
-        """ids of each pre-token (of at least two and at most a few dozen bytes)."""
+    def merge(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all pre-tokens (of at least two and at most a few dozen bytes) one after
+        another, and how many each has."""
         size = np.array([len(r) for r in raw])
         width = int(size.max())
         flat = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in raw]), np.uint8).reshape(len(raw), width)
         ids = np.where(np.arange(width) < size[:, None], self.byte[flat], -1)
         pair = self.rank(ids[:, :-1], ids[:, 1:])
-        out: list = [None] * len(raw)
+        out = np.full((len(raw), width), -1, np.int64)
         rows, col = np.arange(len(raw)), np.arange(width)
         while len(rows):
             at = pair.argmin(1)
             here = np.arange(len(rows))
             best = pair[here, at]
             done = best == self.none
-            for k in np.flatnonzero(done).tolist():
-                out[rows[k]] = ids[k][ids[k] >= 0]
+            out[rows[done]] = ids[done]
             go = ~done
             rows, ids, pair, at, best = rows[go], ids[go], pair[go], at[go], best[go]
             if not len(rows):
@@ -106,7 +111,8 @@ class MergeTable:
             pair[here, at] = np.where(at < width - 1, self.rank(ids[here, at], ids[here, np.minimum(at + 1, width - 1)]), self.none)
             back = np.flatnonzero(at > 0)
             pair[back, at[back] - 1] = self.rank(ids[back, at[back] - 1], ids[back, at[back]])
-        return out
+        held = out >= 0
+        return out[held], held.sum(1)
 
 
 class ByteBPE:
@@ -116,7 +122,7 @@ class ByteBPE:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.table = MergeTable(ranks)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
         self.shown: dict[str, tuple[int, bytes, bytes]] = {}
 
     @classmethod
@@ -124,35 +130,58 @@ class ByteBPE:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def ids_of(self, words: list[str], keep: bool = True) -> list[np.ndarray]:
-        """ids of each pre-token; those not met before are merged together."""
-        got = list(map(self.known.get, words))
-        groups: dict[int, list[int]] = {8: [], 16: [], SHORT: []}
-        for k in [k for k, x in enumerate(got) if x is None]:
-            raw = words[k].encode("utf-8", "surrogatepass")
-            if raw in self.ranks:
-                got[k] = np.array([self.ranks[raw]], np.int64)
-            elif len(raw) <= SHORT:
-                groups[8 if len(raw) <= 8 else 16 if len(raw) <= 16 else SHORT].append(k)
-            else:
-                parts = merge_long(raw, self.ranks)
-                got[k] = np.array([self.ranks[p] for p in parts], np.int64)
-        for some in groups.values():
-            if some:
-                for k, ids in zip(some, self.table.merge([words[k].encode("utf-8", "surrogatepass") for k in some]), strict=True):
-                    got[k] = ids
-        if keep:
-            if len(self.known) + len(words) > CACHE_ENTRIES:
-                self.known = {}
-            self.known.update((w, x) for w, x in zip(words, got) if len(w) <= SHORT)
-        return got
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}             # place of a pre-token in the store
+        self.flat = np.zeros(0, np.int32)           # the store: ids one after another
+        self.size = np.zeros(0, np.int64)           # and how many each pre-token has
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the pre-tokens one after another, and how many each has."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        whole = np.array(list(map(self.ranks.get, raw, itertools.repeat(-1))), np.int64)
+        length = np.array([len(r) for r in raw])
+        size = np.ones(len(raw), np.int64)
+        found = []
+        for low, high in itertools.pairwise(LENGTHS):
+            some = np.flatnonzero((whole < 0) & (length > low) & (length <= high))
+            if len(some):
+                ids, size[some] = self.table.merge([raw[k] for k in some.tolist()])
+                found.append((some, ids))
+        for k in np.flatnonzero((whole < 0) & (length > SHORT)).tolist():
+            ids = np.array([self.ranks[p] for p in merge_long(raw[k], self.ranks)], np.int64)
+            size[k] = len(ids)
+            found.append((np.array([k]), ids))
+        begin = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        single = np.flatnonzero(whole >= 0)
+        flat[begin[single]] = whole[single]
+        for some, ids in found:
+            flat[ragged(begin[some], size[some])] = ids
+        return flat, size
+
+    def places_of(self, words: list[str]) -> np.ndarray:
+        """Places of the pre-tokens in the store; those not met before are merged together."""
+        if len(self.known) + len(words) > CACHE_ENTRIES or len(self.flat) > STORED_IDS:
+            self._forget()
+        at = np.array(list(map(self.known.get, words, itertools.repeat(-1))), np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            named = [words[k] for k in new.tolist()]
+            flat, size = self.merged(named)
+            first = len(self.size)
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            at[new] = np.arange(first, first + len(new))
+            self.known.update((w, k) for k, w in enumerate(named, first) if len(w) <= SHORT)
+        return at
 
     def shown_of(self, words: list[str]) -> list[tuple[int, bytes, bytes]]:
         """Of each pre-token: count of ids, the ids as decimals, and their bytes again."""
         got = list(map(self.shown.get, words))
         new = [k for k, x in enumerate(got) if x is None]
-        for k, ids in zip(new, self.ids_of([words[k] for k in new], keep=False), strict=True):
-            ids = ids.tolist()
+        flat, size = self.merged([words[k] for k in new])
+        flat, ends = flat.tolist(), np.cumsum(size).tolist()
+        for k, a, b in zip(new, [0, *ends], ends):
+            ids = flat[a:b]
             got[k] = len(ids), " ".join(map(str, ids)).encode(), self.decode(ids)
         if len(self.shown) + len(new) > CACHE_ENTRIES:
             self.shown = {}
@@ -164,12 +193,10 @@ class ByteBPE:
         own = cut(texts)
         if not own.words:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        each = self.ids_of(own.words)
-        size = np.array([len(x) for x in each])
-        flat, begin = np.concatenate(each), np.cumsum(size) - size
-        n = size[own.which]
+        at = self.places_of(own.words)[own.which]
+        n = self.size[at]
         bounds = np.concatenate([[0], np.cumsum(n)])[own.bounds]
-        return flat[ragged(begin[own.which], n)], bounds
+        return self.flat[ragged((np.cumsum(self.size) - self.size)[at], n)], bounds
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         ids, bounds = self.encode_flat(texts)

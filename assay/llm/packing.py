@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from assay.llm.batches import CHUNK_BYTES, chunks, release, texts_of
+from assay.llm.batches import chunks, release, texts_of
 from assay.llm.bpe import ByteBPE, read_text
 from assay.session import ship_package
 
 WINDOW = 2048
 END_ID = 1
 GROUP_TOKENS = 6_000_000
+#: Text bytes encoded at a time: the arrays of a text's code points take about 60 times that.
+PART_BYTES = 1 << 20
 
 
 class CapacityTree:
@@ -156,16 +158,18 @@ def tokenizer(path: str) -> WithAdded:
 
 
 def groups(it, path: str, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS):
-    """(document ids, their token ids in one array, bounds) of about ``group_tokens`` ids."""
+    """(names of the documents, their token ids in one array, their sizes) of about
+    ``group_tokens`` ids; a name is the row's first column, or a tuple of all but the text."""
     names, flats, sizes, total = [], [], [], 0
     own = tokenizer(path)
     for batch in it:
-        for part in chunks(batch, "text", CHUNK_BYTES):
+        for part in chunks(batch, "text", PART_BYTES):
             texts = [read_text(t) for t in part.column("text").to_pylist()]
             ids, bounds = own.encode_flat(texts)
             n = np.diff(bounds)
             flat = np.insert(ids, bounds[1:], end_id).astype(np.uint32)
-            names += part.column(0).to_pylist()
+            own_names = [c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True) if n != "text"]
+            names += own_names[0] if len(own_names) == 1 else zip(*own_names, strict=True)
             flats.append(flat)
             sizes.append(n + 1)
             total += len(flat)
@@ -183,8 +187,23 @@ def _first_number() -> int:
     return TaskContext.get().partitionId() << 32
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def _pack_apart(sizes: np.ndarray, kinds: list, window: int) -> list[tuple[int, int, int, int, int]]:
+    """``pack`` over the documents of each kind alone, windows numbered on."""
+    members: dict = {}
+    for d, kind in enumerate(kinds):
+        members.setdefault(kind, []).append(d)
+    out, used = [], 0
+    for some in members.values():
+        pieces = pack(sizes[some], window)
+        out += [(some[d], start, n, used + w, offset) for d, start, n, w, offset in pieces]
+        used += 1 + max(w for _, _, _, w, _ in pieces)
+    return out
+
+
+def pack_documents(df: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id: int = END_ID,
+                   by: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    With ``by`` a window holds documents of one value of that column (a string, or null)."""
     ship_package(df.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -192,9 +211,14 @@ def pack_documents(df: DataFrame, tokenizer_path: str, *, window: int = WINDOW,
         number = _first_number()
         for docs, flat, sizes in groups(it, tokenizer_path, end_id):
             begin = np.cumsum(sizes) - sizes
-            pieces = np.array(pack(sizes, window), np.int64)
-            d, start, n, w, offset = pieces.T
-            raw = flat.astype("<u4").tobytes()
+            if by is None:
+                pieces = pack(sizes, window)
+            else:
+                docs, kinds = zip(*docs, strict=True)
+                pieces = _pack_apart(sizes, kinds, window)
+            d, start, n, w, offset = np.array(pieces, np.int64).T
+            del pieces
+            raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
             at = 4 * (begin[d] + start)
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * n).tolist(), strict=True)]
             ids = pa.array(docs, pa.int64()).take(pa.array(d))
@@ -202,4 +226,4 @@ def pack_documents(df: DataFrame, tokenizer_path: str, *, window: int = WINDOW,
                                               pa.array(sizes[d].astype(np.int64)), pa.array(w + number), pa.array(offset)], names)
             number += int(w.max()) + 1
 
-    return texts_of(df, "doc_id").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return texts_of(df, "doc_id", *([by] if by else [])).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import itertools
 import unicodedata
 
 import numpy as np
@@ -41,7 +42,7 @@ X, IN_L, IN_N, IN_P, IN_S, IN_W, C1, C2 = range(8)
 def classes() -> np.ndarray:
     """Class of every code point, and STOP for END."""
     out = np.zeros(END + 1, np.uint8)
-    for cp in range(END):
+    for cp in itertools.chain(range(0x40000), range(0xE0000, 0xF0000)):  # no letter or number is elsewhere
         c = unicodedata.category(chr(cp))[0]
         if c == "L":
             out[cp] = LETTER
@@ -170,12 +171,25 @@ _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
 
+#: So many powers are kept.
+_KEPT = 1 << 20
+
+
 def _powers(base: int, n: int) -> np.ndarray:
+    if n <= _KEPT:
+        return _kept_powers(base)[:n]
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+@functools.cache
+def _kept_powers(base: int) -> np.ndarray:
+    out = np.full(_KEPT, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def distinct(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first pre-token of each content, which content each pre-token has).
 

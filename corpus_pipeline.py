@@ -30,7 +30,8 @@ def columns(docs: DataFrame) -> list:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None) -> DataFrame:
     """Documents without a letter go, and those in which the network tells no language: of
     two or more labels none scores over OVER_CHANCE even shares. ``languages`` keeps these
-    labels only. With nothing to learn from, all documents with a letter stay."""
+    labels only. The told language takes the place of ``lang`` (``pack`` goes by it). With
+    nothing to learn from, all documents with a letter stay and keep their ``lang``."""
     net = language_id.fit(docs)
     lang, score, letters = (unused(docs, c) for c in ("told_lang", "told_score", "told_letters"))
     told = language_id.with_language(docs, net, names=(lang, score), letters=letters).filter(letters)
@@ -38,7 +39,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, languages:
         told = told.filter(F.col(score) > OVER_CHANCE / len(net.labels))
     if net.labels and languages is not None:
         told = told.filter(F.col(lang).isin(*languages))
-    return told.select(*columns(docs))
+    if not net.labels:
+        return told.select(*columns(docs))
+    return told.select(*[F.col(lang).alias(c) if c.lower() == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,8 +89,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    """Pieces of the documents in windows of tokens; a window holds one language."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), by="lang")
 
 
 STAGES = [("language_id", keep_languages), ("exact_dedup", drop_exact_copies), ("near_copies", drop_near_copies),

@@ -484,3 +484,14 @@ def test_repeated_pages_give_repeated_rows(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{STORY}</article>")] * 3 + [(None, None, None)], "page_id long, url string, html string")
     got = sorted(main_text.extract_main_text(df.repartition(2)).collect(), key=lambda r: r.n_chars)
     assert [(r.page_id, r.text) for r in got] == [(None, "")] + [(1, TOLD)] * 3
+
+
+def test_store_of_pretokens_is_emptied_without_loss(monkeypatch):
+    own = packing.tokenizer(P.path("byte_bpe_50k.json")).own
+    texts = [" ".join(f"word{i}x{i * k} {'y' * 40}{i}" for i in range(60)) for k in range(1, 6)]
+    whole = [own.encode(t) for t in texts]
+    own._forget()
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 100)
+    monkeypatch.setattr(bpe, "STORED_IDS", 50)
+    assert [own.encode(t) for t in texts] == whole and len(own.known) <= 200
+    assert [own.decode(x).decode() for x in whole] == texts

@@ -90,3 +90,21 @@ def test_near_copies_of_repeated_ids(spark):
     assert len(nines) == 1 and nines[0] in rows
     assert sorted(x for x in map(repr, got) if not x.startswith("(9")) == sorted(
         map(repr, [rows[0], rows[2], rows[5], rows[7], rows[8], rows[9], rows[10]]))
+
+
+def test_told_language_reaches_the_windows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    told = {r.doc_id: r.lang_pred for r in language_id.with_language(docs, language_id.fit(docs)).collect()}
+    # a wrong label of a held-out row, and one without a label
+    wrong = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), F.when(F.col("doc_id") % 2 == 0, "xx")).otherwise(F.col("lang")))
+    kept = C.keep_languages(spark, wrong, SF).persist()
+    assert {r.doc_id: r.lang for r in kept.collect()} == told and kept.columns == docs.columns
+    pieces = C.pack(spark, kept, SF).collect()
+    held, filled = {}, {}
+    for r in pieces:
+        held.setdefault(r.sequence_id, set()).add(told[r.doc_id])
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(set(told.values())) > 1 and all(len(x) == 1 for x in held.values())
+    assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
+    for x in filled.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:])) and min(x)[0] == 0 and sum(n for _, n in x) <= 2048
