@@ -30,20 +30,26 @@ def is_reference(models=REFERENCE_MODELS, model_col="model"):
     return F.coalesce(F.col(model_col).isin(*models), F.lit(False))
 
 
-def scores_long(spark: SparkSession, sf_dir: str, reference_models=REFERENCE_MODELS) -> DataFrame:
+def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored responses as a long table, written once to the checkpoint folder.
 
-    Everything downstream (profile, tests, verdict) reads this table, so the
+    Everything downstream (profile, tests, verdicts) reads this table, so the
     scoring plan runs once and the lineage (and plan size) is cut here; an
     executor lost later recomputes from the checkpoint, not from the text.
     """
     ensure_checkpoint_dir(spark)
-    s = scored_qa(spark, sf_dir).withColumn("is_reference", is_reference(reference_models))
-    long = unpivot_metrics(s, ["is_reference", "model", "category", "session_id"], QA_METRICS, name_col="metric",
+    long = unpivot_metrics(scored_qa(spark, sf_dir), ["model", "category", "session_id"], QA_METRICS, name_col="metric",
                            drop_nulls=False)
     return long.checkpoint()
 
 
+def scores_long(spark: SparkSession, sf_dir: str, reference_models=REFERENCE_MODELS, scored: DataFrame | None = None) -> DataFrame:
+    """The rows of ``scored_long``, with a flag for those of the reference models. A query that
+    needs them more than once passes its ``scored`` table, so the texts are scored once."""
+    long = scored_long(spark, sf_dir) if scored is None else scored
+    return long.withColumn("is_reference", is_reference(reference_models))
+
+
 def gated_long(long: DataFrame, reference: bool) -> DataFrame:
     side = long.filter(F.col("is_reference") == reference).drop("is_reference")
     return completeness_gate(side, ["category"], name_col="metric")

@@ -187,3 +187,31 @@ def test_pipeline_without_a_profile_has_no_statistical_verdict(spark):
         out = run_pipeline(spark, "/root/testdata/sf0.001", path)
         first = out.first()
         assert first["verdict"] and all(first[c] is None for c in STATISTICAL_COLUMNS)
+
+
+def test_pipeline_scores_the_texts_once(spark, tmp_path, monkeypatch):
+    from assay.plans import pipeline_plans as pp
+    from assay.plans import qa_plans as qp
+    from assay.plans import verdict_plans as vp
+    texts = ["I cannot answer this. Perhaps later. Ask again.", "The river runs to the sea. It is long. Boats go there.", None]
+    docs = [(i, texts[i % 3], "en", f"src{i % 4}", 10) for i in range(48)]
+    for name, data, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"),
+                               ("labels", [(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"),
+                               ("benchmark", [(0, "Where does the river run?"), (1, "Who answers?")], "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    calls, scored_qa = [], qp.scored_qa
+
+    def counted(spark, sf_dir):
+        calls.append(sf_dir)
+        return scored_qa(spark, sf_dir)
+
+    for module in (qp, vp):
+        monkeypatch.setattr(module, "scored_qa", counted)
+    out = pp.pipeline_query(spark, str(tmp_path))
+    assert calls == [str(tmp_path)]
+    assert "documents.parquet" not in out._jdf.queryExecution().toString()  # nor read again when the verdicts are
+    got = {r["model"]: r for r in rows(out)}
+    rule = {r["model"]: r for r in rows(qp.qa_verdict_query(spark, str(tmp_path)))}
+    assert set(got) == {f"src{i}" for i in range(4)}
+    assert {m: {c: r[c] for c in rule[m]} for m, r in got.items()} == rule
+    assert all(r["statistical_verdict"] and r["profile_version"] == "1.0.0" for r in got.values())
