@@ -10,10 +10,12 @@ a vector's score is the sum of its slices' partial scores.
    can't reach the cutoff; the others are collected.
 3. Their whole scores are computed exactly, and each block hands on the k best.
 
-Vectors are packed into blocks of at most ``ROW_BLOCK`` rows and queries into blocks of at
-most ``QUERY_BLOCK`` rows, where they are read. A vector block moves once, to its lane;
-every query block is sent to every lane, where an equi-join on the lane pairs the blocks,
-so what moves is the vectors and one copy of the queries a lane, and no side is broadcast.
+Vectors are packed into blocks of at most ``ROW_BLOCK`` rows where they are read, queries
+into blocks of at most ``QUERY_BLOCK`` rows, and both are written. In each phase a vector
+block moves once, to its lane, and a task pairs its lane's blocks with the query blocks that
+it reads, about ``QUERY_BYTES`` of them: with more, other tasks read the lane again, one for
+each further part. No side is broadcast or copied on the way, so none passes through the
+driver.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no
 part, as query or as candidate; missing components of a shorter vector count as zero;
@@ -39,6 +41,8 @@ from assay.session import ship_package
 SCALE = 1024
 QUERY_BLOCK = 256
 ROW_BLOCK = 2048
+#: Components of queries that a task pairs with its vectors.
+QUERY_BYTES = 32 << 20
 SLICES = 4
 
 
@@ -52,7 +56,7 @@ def to_integer(x: float) -> int:
 
 def _pack(ids: list, rows: list[np.ndarray]) -> dict:
     width = max((len(r) for r in rows), default=0)
-    mat = np.zeros((len(rows), width))
+    mat = np.zeros((len(rows), width), rows[0].dtype if rows else np.float64)
     for i, r in enumerate(rows):
         mat[i, :len(r)] = r
     return {"ids": np.array(ids, np.int64).tobytes(), "mat": mat.tobytes(), "width": width}
@@ -64,7 +68,8 @@ def _usable(ids, vectors) -> tuple[list, list[np.ndarray]]:
     for i, v in zip(ids.to_pylist(), vectors, strict=True):
         if i is None or not v.is_valid or v.values.null_count:
             continue
-        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        x = v.values.to_numpy(zero_copy_only=False)
+        x = x.astype(np.float32 if x.dtype == np.float32 else np.float64, copy=False)
         if np.isfinite(x).all():
             got.append(i)
             rows.append(x)
@@ -88,8 +93,9 @@ def _packed(df: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
     return df.select(id_col, vec_col).mapInArrow(run, BLOCK_SCHEMA)
 
 
-def _matrix(mat: bytes, width: int, wide: int) -> np.ndarray:
-    m = np.frombuffer(mat, np.float64).reshape(-1, width) if width else np.zeros((0, 0))
+def _matrix(mat: bytes, n: int, width: int, wide: int) -> np.ndarray:
+    """The ``n`` rows of a block in doubles, ``wide`` components each."""
+    m = np.frombuffer(mat, np.float32 if len(mat) == 4 * n * width else np.float64).reshape(n, width).astype(np.float64, copy=False)
     return m if width == wide else np.pad(m, ((0, 0), (0, wide - width)))
 
 
@@ -164,8 +170,8 @@ def _search(pairs: DataFrame, fn, k: int, slices: int) -> DataFrame:
             for n in range(batch.num_rows):
                 r = batch.slice(n, 1).to_pylist()[0]
                 wide = max(r["width"], r["q_width"])
-                d, q = _matrix(r["mat"], r["width"], wide), _matrix(r["q_mat"], r["q_width"], wide)
                 ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                d, q = _matrix(r["mat"], len(ids), r["width"], wide), _matrix(r["q_mat"], len(qids), r["q_width"], wide)
                 cutoffs = {c["place"]: c["cutoff"] for c in r.get("cutoffs") or ()}
                 out = [(r["qb"], *x) for x in fn(q, qids, cutoffs, d, ids, k, slices)]
                 if out:
@@ -183,21 +189,26 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     lanes = max(8, shuffle_width(spark))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("vec")).filter("id is not null and vec is not null")
     asked = rows.filter(F.col("id") % every == 0)
-    queries = written(_packed(asked.repartition(lanes), "id", "vec", QUERY_BLOCK).select(
+    queries = written(_packed(asked.hint("rebalance"), "id", "vec", QUERY_BLOCK).select(
         F.monotonically_increasing_id().alias("qb"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "mat", "width")]), "queries")
-    blocks = written(_packed(rows, "id", "vec", ROW_BLOCK).select(
-        "*", F.monotonically_increasing_id().alias("block")), "vectors")
-    # a vector block's lane spreads the blocks over tasks
-    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
-    asked_by = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    spread = blocks.select("ids", "mat", "width", lane.alias("lane"))
-
-    listed = _search(spread.join(asked_by, "lane"), _listed, k, slices)
+    blocks = written(_packed(rows, "id", "vec", ROW_BLOCK), "vectors")
+    # lanes spread the blocks over tasks, evenly
+    spread = blocks.repartition(max(1, min(lanes, blocks.count())))
+    size = queries.agg(F.sum(F.octet_length("q_ids") * F.col("q_width").cast("long"))).first()[0] or 0
+    parts = max(1, -(-size // QUERY_BYTES))
+
+    def paired(asked_by: DataFrame) -> DataFrame:
+        """Each vector block with each query block. Without the hint Spark would send the
+        queries through the driver, by an estimate that knows the files' size alone."""
+        return spread.crossJoin(asked_by.coalesce(parts).hint("shuffle_replicate_nl"))
+
+    listed = _search(paired(queries), _listed, k, slices)
     by_score = Window.partitionBy("qb", "place").orderBy(F.desc("score"), "vec_id")
     cutoffs = written(listed.withColumn("r", F.row_number().over(by_score)).filter(f"r = {k}")
                       .select("qb", "place", F.col("score").alias("cutoff")), "cutoffs")
 
     held = cutoffs.groupBy("qb").agg(F.collect_list(F.struct("place", "cutoff")).alias("cutoffs"))  # of a block's queries
-    found = _search(spread.join(asked_by.join(held, "qb", "left"), "lane"), _resolved, k, slices)
+    cut = written(queries.join(held.hint("merge"), "qb", "left"), "cut-queries")
+    found = _search(paired(cut), _resolved, k, slices)
     return (found.withColumn("rank", F.row_number().over(by_score)).filter(f"rank <= {k}")
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

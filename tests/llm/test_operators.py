@@ -345,6 +345,47 @@ def test_top_k_of_large_components_and_repeated_ids(spark):
     assert got == sorted(brute([(i, v) for i, v in rows if i % 50 == 0]), key=repr)
 
 
+def test_top_k_sends_no_vectors_through_the_driver(spark, monkeypatch):
+    """Every step's plan: nothing is broadcast and no query is copied for the lanes, small as the files look."""
+    plans, put = [], topk.written
+
+    def seen(df, what):
+        plans.append(df._jdf.queryExecution().toString())
+        return put(df, what)
+
+    monkeypatch.setattr(topk, "written", seen)
+    rows = [(i, [float(i % 7 - 3), 0.5, -2.0], 0) for i in range(400)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").repartition(3))
+    plans.append(got._jdf.queryExecution().toString())
+    assert len(plans) >= 3 and any("mapInArrow" in p or "MapInArrow" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p or "Generate" in p]
+    assert listed(got, "query_id", "rank", "vec_id", "score") == sorted(brute_top_k(rows), key=repr)
+
+
+def test_top_k_of_floats_and_many_parts_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=5).astype(np.float32).astype(float).tolist(), 0) for i in range(300)]
+    rows += [(300, [], 0), (301, [3.0e38] * 5, 0), (302, [math.inf], 0), (400, [], 0), (None, [1.0], 0), (500, None, 0), (600, [1.5], 0)]
+
+    def held(s):
+        return min(max(s, topk.LEAST), topk.GREATEST)
+
+    brute = list(brute_top_k(rows, every=20))
+    scored = {(q, v): s for q, _, v, s in brute_top_k(rows, every=20, k=len(rows))}
+    want = []
+    for q in {q for q, *_ in brute}:
+        best = sorted((-held(s), v) for (o, v), s in scored.items() if o == q)[:10]
+        want += [(q, r, v, -s) for r, (s, v) in enumerate(best, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    for limit in (1 << 20, 64):
+        monkeypatch.setattr(topk, "QUERY_BYTES", limit)
+        assert listed(topk.top_k(df, every=20), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    empty = spark.createDataFrame([(i, [], 0) for i in range(5)], "vec_id long, embedding array<float>, rank int")
+    assert listed(topk.top_k(empty, every=4, k=2), "query_id", "rank", "vec_id", "score") == sorted([(0, 1, 1, 0), (0, 2, 2, 0), (4, 1, 0, 0), (4, 2, 1, 0)], key=repr)
+
+
 # ---- main text
 
 PAGES = {
